@@ -250,16 +250,22 @@ def merge_duplicate_genes(df: DataFrame, feature: str = "gene", sample: str = "s
 def size_factors(df: DataFrame, feature: str, sample: str, value: str) -> DataFrame:
     """Median-of-ratios size factor per sample.
 
-    Reference level of a feature: geometric mean over samples, features with any zero left out. The factor is
-    the exact median of value / reference over features.
+    Reference level of a feature: geometric mean over samples; features with a zero or a missing sample are left
+    out. The factor is exp of the exact median of ln(value / reference) over features.
     """
-    ref = df.groupBy(feature).agg(F.min(value).alias("_min"), F.avg(F.ln(value)).alias("_logmean")).where(F.col("_min") > 0)
+    n_samples = df.agg(F.count_distinct(sample).alias("_k"))
+    ref = (
+        df.groupBy(feature)
+        .agg(F.min(value).alias("_min"), F.count(value).alias("_rows"), F.avg(F.ln(value)).alias("_logmean"))
+        .where(F.col("_min") > 0)
+        .crossJoin(n_samples)  # one-row right side
+        .where(F.col("_rows") == F.col("_k"))
+    )
     ratios = df.join(ref.select(feature, "_logmean"), feature).withColumn("_ratio", F.ln(value) - F.col("_logmean"))
     mid = order_statistics(
         ratios, sample, "_ratio", {"_lo": F.floor((F.col("n") - 1) / 2), "_hi": F.floor(F.col("n") / 2)}
     )
-    # The median is taken on the ratio scale: exponentiate the two middle values before averaging them.
-    return mid.select(sample, ((F.exp("_lo") + F.exp("_hi")) / 2).alias("size_factor"))
+    return mid.select(sample, F.exp((F.col("_lo") + F.col("_hi")) / 2).alias("size_factor"))
 
 
 def normalise_counts(df: DataFrame, feature: str, sample: str, value: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries on the star-schema test tables, each with its SQL counterpart."""
 
-from . import group_stats  # noqa: F401
+from . import cohorts, group_stats  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -467,7 +467,7 @@ r AS (SELECT 'A' AS source, ssa AS ss, ka - 1 AS df, true AS eff FROM s UNION AL
   {inter} UNION ALL SELECT 'Error', sse, n - ({err_df}), false FROM s UNION ALL SELECT 'Total', sst, n - 1, false FROM s),
 e AS (SELECT r.*, sizes = 1 AS balanced, (SELECT ss / df FROM r WHERE source = 'Error') AS mse,
   (SELECT df FROM r WHERE source = 'Error') AS dfe FROM r, s)
-SELECT source, round(ss, 4) AS ss, df::BIGINT AS df, CASE WHEN source <> 'Total' THEN round(ss / df, 4) END AS ms,
+SELECT source, round(ss, 2) AS ss, df::BIGINT AS df, CASE WHEN source <> 'Total' THEN round(ss / df, 2) END AS ms,
   CASE WHEN eff THEN round(ss / df / mse, 6) END AS f,
   CASE WHEN eff THEN round({sql_f_upper('ss / df / mse', 'df', 'dfe')}, 6) END AS p_value, balanced FROM e"""
 
@@ -475,13 +475,13 @@ SELECT source, round(ss, 4) AS ss, df::BIGINT AS df, CASE WHEN source <> 'Total'
 @query("anova_twoway", _twoway_sql(3, True, "lineitem", "l_returnflag", "l_linestatus", "l_quantity"))
 def q_twoway(spark, sf):
     res = anova.anova_twoway(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity")
-    return rounded(res, 6, ss=4, ms=4)
+    return rounded(res, 6, ss=2, ms=2)
 
 
 @query("anova_twoway_additive", _twoway_sql(3, False, "lineitem", "l_returnflag", "l_linestatus", "l_quantity"))
 def q_twoway_additive(spark, sf):
     res = anova.anova_twoway(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", 3, False)
-    return rounded(res, 6, ss=4, ms=4)
+    return rounded(res, 6, ss=2, ms=2)
 
 
 # Balanced design from whole tables: every embedding has the same 64 positions, so cells of
@@ -500,12 +500,12 @@ def _balanced(spark, sf):
 
 @query("anova_twoway_type1", _twoway_sql(1, True, _BAL, "half", "par", "v"))
 def q_twoway_t1(spark, sf):
-    return rounded(anova.anova_twoway(_balanced(spark, sf), "half", "par", "v", 1), 6, ss=4, ms=4)
+    return rounded(anova.anova_twoway(_balanced(spark, sf), "half", "par", "v", 1), 6, ss=2, ms=2)
 
 
 @query("anova_twoway_type2", _twoway_sql(2, True, _BAL, "half", "par", "v"))
 def q_twoway_t2(spark, sf):
-    return rounded(anova.anova_twoway(_balanced(spark, sf), "half", "par", "v", 2), 6, ss=4, ms=4)
+    return rounded(anova.anova_twoway(_balanced(spark, sf), "half", "par", "v", 2), 6, ss=2, ms=2)
 
 
 # The second value column gives main effects by construction: part price by size class and type.
