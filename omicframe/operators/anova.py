@@ -85,8 +85,10 @@ def welch_from_groups(table: DataFrame, by, reference_formula: bool = True) -> D
         .agg(
             F.max("k").alias("k"),
             F.sum(F.col("_w") * F.pow(F.col("mean") - F.col("_gm"), 2)).alias("_num"),
-            F.sum(share * share / (F.col("n") - 1)).alias("_lam"),
+            # A group of one value makes lambda infinite, hence F 0 and p 1.
+            F.sum(F.when(F.col("n") > 1, share * share / (F.col("n") - 1)).otherwise(F.lit(float("inf")))).alias("_lam"),
         )
+        .where(F.col("k") >= 2)
     )
     k = F.col("k").cast("double")
     scale = k * k - 1
@@ -121,7 +123,7 @@ def tukey_from_groups(table: DataFrame, by, group: str) -> DataFrame:
         by,
         k=F.count(F.lit(1)),
         n_total=F.sum("n"),
-        _mse=F.sum((F.col("n") - 1) * F.col("var")) / (F.sum("n") - F.count(F.lit(1))),
+        _mse=F.try_divide(F.sum((F.col("n") - 1) * F.col("var")), F.sum("n") - F.count(F.lit(1))),
     ).where(F.col("n_total") > F.col("k"))
     pairs = null_safe_join(unordered_pairs(table, by, group, ["n", "mean", "var"]), err, by)
     return (

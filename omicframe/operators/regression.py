@@ -80,9 +80,9 @@ def linreg_test(df: DataFrame, by, x: str, y: str, table_form: bool = False) ->
     s = _pair_sums(df, by, x, y)
     n = F.col("n")
     has_y = F.col("_syy") > 0
-    slope = F.col("_sxy") / F.col("_sxx")
+    slope = F.try_divide("_sxy", "_sxx")
     residual = F.greatest(F.col("_syy") - slope * F.col("_sxy"), F.lit(0.0))
-    se = F.sqrt(F.when(n > 2, residual / (n - 2)).otherwise(0.0) / F.col("_sxx"))
+    se = F.sqrt(F.try_divide(F.when(n > 2, residual / (n - 2)).otherwise(0.0), F.col("_sxx")))
     full = (
         s.withColumn("slope", slope)
         .withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx"))

@@ -30,7 +30,7 @@ def _sql_bh(src: str, p: str, part: str, out: str = "fdr") -> str:
 _DIFF = f"""
 m AS ({_LOG_TWO.format(by='l_returnflag, l_partkey', g='l_linestatus', a='F', b='O', v='log2(l_quantity + 1)', t='lineitem')}),
 w AS ({sql_welch('m', '')}),
-k AS (SELECT l_returnflag, l_partkey, mean1 - mean2 AS log2_fold_change, round(p_value, 10) AS p_value, mean1, mean2 FROM w
+k AS (SELECT l_returnflag, l_partkey, mean1 - mean2 AS log2_fold_change, p_value, mean1, mean2 FROM w
   WHERE n1 >= 3 AND n2 >= 3 AND p_value > 0),
 d AS ({_sql_bh('k', 'p_value', 'l_returnflag')})"""
 
@@ -95,7 +95,7 @@ p AS (SELECT l_shipmonth, {', '.join(f"coalesce(max({c}) FILTER (l_linestatus =
   FROM g GROUP BY l_shipmonth),
 m AS ({_LOG_TWO.format(by='l_shipmonth', g='l_linestatus', a='F', b='O', v='v', t='v')}),
 w AS ({sql_welch('m', '')}),
-j AS (SELECT p.*, CASE WHEN n1 >= 3 AND n2 >= 3 THEN round(p_value, 10) ELSE 1 END AS p_value FROM p JOIN w USING (l_shipmonth)),
+j AS (SELECT p.*, CASE WHEN n1 >= 3 AND n2 >= 3 THEN p_value ELSE 1 END AS p_value FROM p JOIN w USING (l_shipmonth)),
 q AS ({_sql_bh('j', 'p_value', '1')})
 SELECT l_shipmonth, {', '.join(f'n_{i}, ' + ', '.join(f'round({c}_{i}, 6) AS {c}_{i}' for c in ('mean', 'sd', 'q1', 'median', 'q3')) for i in (1, 2))},
   round(p_value, 6) AS p_value, round(fdr, 5) AS fdr FROM q""",
@@ -304,7 +304,7 @@ def _long(spark, sf):
     "coexpression",
     f"""WITH x AS ({_LONG}), t AS (SELECT vec_id, v AS t FROM x WHERE pos = 0),
 c AS (SELECT pos, corr(v, t) AS r, count(*) AS n FROM x JOIN t USING (vec_id) WHERE pos <> 0 GROUP BY pos HAVING count(*) >= 5),
-p AS (SELECT *, round({sql_t_two('r * sqrt((n - 2) / (1 - r * r))', 'n - 2')}, 12) AS p_value FROM c),
+p AS (SELECT *, {sql_t_two('r * sqrt((n - 2) / (1 - r * r))', 'n - 2')} AS p_value FROM c),
 q AS ({_sql_bh('p', 'p_value', '1')})
 SELECT pos, round(r, 6) AS r, round(p_value, 6) AS p_value, n, round(fdr, 5) AS fdr,
   CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM q""",
@@ -319,7 +319,7 @@ def q_coexpression(spark, sf):
     f"""WITH x AS ({_LONG}), t AS (SELECT vec_id, label, v AS t FROM x WHERE pos = 5),
 c AS (SELECT x.label, pos, corr(v, t) AS r, count(*) AS n FROM x JOIN t USING (vec_id, label) WHERE pos <> 5
   GROUP BY x.label, pos HAVING count(*) >= 5),
-p AS (SELECT *, round({sql_t_two('r * sqrt((n - 2) / (1 - r * r))', 'n - 2')}, 12) AS p_value FROM c),
+p AS (SELECT *, {sql_t_two('r * sqrt((n - 2) / (1 - r * r))', 'n - 2')} AS p_value FROM c),
 q AS ({_sql_bh('p', 'p_value', 'label')})
 SELECT label, pos, round(r, 6) AS r, row_number() OVER (PARTITION BY label ORDER BY r DESC, pos)::INT AS rank FROM q
 WHERE fdr < 0.9 AND abs(r) >= 0.1""",

@@ -21,7 +21,7 @@ TABLES = (
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if hasattr(v, "tolist"):
             v = v.tolist()
