@@ -4,3 +4,10 @@ Every operator takes DataFrames and returns a DataFrame; nothing here runs a Spa
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# The Arrow functions travel to the executors by value, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

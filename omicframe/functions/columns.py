@@ -39,3 +39,10 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def guarded(cond: Column, value: Column, otherwise) -> Column:
     """``value`` where ``cond`` holds, else ``otherwise``; an unknown condition counts as false."""
     return F.when(F.coalesce(cond, F.lit(False)), value).otherwise(otherwise)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute rows by ``keys`` over spark.sql.shuffle.partitions tasks before row-wise work that is heavy for
+    its bytes (a short text that becomes thousands of candidates). The number is explicit, so adaptive execution
+    does not merge the small partitions again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

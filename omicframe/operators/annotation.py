@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import spread
 from ..functions.sequences import ascii_upper, reverse_complement_n
 
 
@@ -152,7 +153,7 @@ def annotate_features(
     literal = F.array(
         *[F.struct(F.lit(p.name).alias("name"), F.lit(p.type).alias("type"), F.lit(p.length).alias("length")) for p in probes]
     )
-    text = constructs.select(key, ascii_upper(sequence).alias("_f")).where(F.length("_f") >= 50)
+    text = spread(constructs.select(key, ascii_upper(sequence).alias("_f")).where(F.length("_f") >= 50), key)
     found = text.select(key, F.length("_f").alias("n"), _search(probes)("_f", reverse_complement_n("_f")).alias("_hits"))
     hits = found.select(key, "n", F.inline("_hits")).withColumn("_p", literal[F.col("probe_no")])
     centre = F.col("at") + F.floor(F.col("size") / 2)

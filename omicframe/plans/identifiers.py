@@ -82,7 +82,7 @@ def q_not_found(spark, sf):
     return im.not_found(_ids(spark, sf), _db(spark, sf))
 
 
-_SYM = f"""{_TYPED}, sy AS (SELECT ids.pos, ids.id, (SELECT arg_min(symbol, gene_ord) FROM mt JOIN db USING (gene_ord) WHERE mt.pos = ids.pos) AS symbol FROM ids)"""
+_SYM = f"""{_TYPED}, sy AS (SELECT ids.pos, ids.id, CASE WHEN ids.id LIKE 'hgnc:%' THEN NULL ELSE (SELECT arg_min(symbol, gene_ord) FROM mt JOIN db USING (gene_ord) WHERE mt.pos = ids.pos) END AS symbol FROM ids)"""
 
 
 @query("id_to_symbol", f"WITH {_SYM} SELECT * FROM sy")

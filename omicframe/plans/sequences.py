@@ -178,7 +178,7 @@ def q_profile(spark, sf):
 _PICK = [_ENZ[0], _ENZ[2], _ENZ[6]]
 _MARKS = f"""
 c AS ({_sql_sites(_PICK, _DNA)}), d AS (SELECT seq_id, length(s) AS n, s FROM ({_DNA}) WHERE length(s) > 0),
-m AS (SELECT seq_id, position, arg_min(enzyme, enzyme_no) AS enzyme FROM c GROUP BY ALL)"""
+m AS (SELECT seq_id, position, arg_min(enzyme, enzyme_no) AS enzyme FROM c WHERE position >= 0 GROUP BY ALL)"""
 
 
 @query(
