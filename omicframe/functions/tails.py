@@ -29,7 +29,8 @@ def beta_inc(x: Name, a: Name, b: Name) -> Column:
     x, a, b = as_col(x), as_col(a), as_col(b)
     clipped = F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
     return (
-        F.when(x <= 0, 0.0)
+        F.when(x.isNull(), F.lit(None).cast("double"))
+        .when(x <= 0, 0.0)
         .when(x >= 1, 1.0)
         .otherwise(_call(_BETA, "regularizedBeta", clipped, a, b))
     )

@@ -86,7 +86,7 @@ def linreg_test(df: DataFrame, by, x: str, y: str, table_form: bool = False) ->
     full = (
         s.withColumn("slope", slope)
         .withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx"))
-        .withColumn("r", F.when(has_y, F.col("_sxy") / F.sqrt(F.col("_sxx") * F.col("_syy"))).otherwise(0.0))
+        .withColumn("r", F.when(has_y, F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy")))).otherwise(0.0))
         .withColumn("r2", F.col("r") * F.col("r"))
         .withColumn("se_slope", se)
     )
