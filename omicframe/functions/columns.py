@@ -24,10 +24,10 @@ def as_list(by: str | Iterable[str] | None) -> list[str]:
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL; the right copies of the keys are dropped.
 
-    With no keys the right side is a one-row summary of the whole left side.
+    With no keys the right side is a one-row summary, read as a scalar subquery.
     """
     if not keys:
-        return left.crossJoin(right)
+        return attach_summary(left, right)
     renamed = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
@@ -36,6 +36,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def attach_summary(left: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row; no rows when the aggregate was filtered away."""
+    fields = one_row.columns
+    value = one_row.select(F.struct(*fields).alias("_one")).scalar()
+    return left.withColumn("_one", value).where(F.col("_one").isNotNull()).select(*left.columns, *[F.col(f"_one.{c}").alias(c) for c in fields])
+
+
 def guarded(cond: Column, value: Column, otherwise) -> Column:
     """``value`` where ``cond`` holds, else ``otherwise``; an unknown condition counts as false."""
     return F.when(F.coalesce(cond, F.lit(False)), value).otherwise(otherwise)

@@ -64,7 +64,8 @@ def iupac_regex(s: Name) -> Column:
 def clean_sequence(s: Name, alphabet: str = "dna") -> Column:
     """Upper-case and keep only A, C, G, T (``dna``) or the fifteen IUPAC codes (``iupac``)."""
     keep = "ACGT" if alphabet == "dna" else IUPAC
-    return F.regexp_replace(ascii_upper(s), f"(?s)[^{keep}]", "")
+    # Dropping first leaves plain letters, which upper-case cheaply and without surprises.
+    return F.upper(F.regexp_replace(as_col(s), f"(?s)[^{keep}{keep.lower()}]+", ""))
 
 
 def gc_percent(s: Name, digits: int | None = None) -> Column:
@@ -122,12 +123,13 @@ def match_starts(text: Column, pattern: Column, size: Column, overlapping: bool)
         pieces = F.split(text, pattern, -1)
         first = F.array().cast("array<int>")
         step = size
-    walk = F.aggregate(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+    # Every piece but the last ends where a match begins; the entry of the last piece is cut off at the end.
+    return F.aggregate(
+        pieces,
         F.struct(F.lit(0).alias("at"), first.alias("out")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p) + step).alias("at"),
             F.concat(acc["out"], F.array(acc["at"] + F.length(p))).alias("out"),
         ),
+        lambda acc: F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1),
     )
-    return walk["out"]

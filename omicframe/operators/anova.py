@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_list, guarded, null_safe_join
+from ..functions.columns import as_list, attach_summary, guarded, null_safe_join
 from ..functions.tails import f_upper, stars, t_two_sided
 from .group_tests import choose_ttest, satterthwaite, unordered_pairs
 from .moments import group_moments, marginal_means, median_by
@@ -242,7 +242,7 @@ def _twoway_from_margins(m: DataFrame, a: str, b: str, ss_type: int, interaction
     # The cell table has (levels of A) x (levels of B) rows; weights spread a margin over its cells.
     joined = null_safe_join(null_safe_join(cell, row, [a]), col, [b])
     total = joined.agg((F.sum(F.col("n_c") * F.col("m_c")) / F.sum("n_c")).alias("g"))
-    wide = joined.crossJoin(total)  # one-row right side
+    wide = attach_summary(joined, total)
     g = F.col("g")
     sums = wide.agg(
         F.sum("n_c").alias("n"),
@@ -337,7 +337,7 @@ def anova_twoway_posthoc(df: DataFrame, a: str, b: str, value: str, ss_type: int
     crossed = F.coalesce(F.col("_p_ab") < 0.05, F.lit(False))
     main = F.when(F.col("factor") == "A", F.col("_p_a")).otherwise(F.col("_p_b")) < 0.05
     return (
-        every.crossJoin(gates)  # one-row right side
+        attach_summary(every, gates)
         .where(F.when(crossed, F.col("kind") == "simple").otherwise((F.col("kind") == "pair") & main))
         .select("kind", "factor", "level_1", "level_2", "mean_diff", "statistic", "p_value", stars("p_value").alias("sig"))
     )

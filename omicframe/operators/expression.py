@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import Name, as_col, as_list, null_safe_join
+from ..functions.columns import Name, as_col, as_list, attach_summary, null_safe_join
 from .fdr import bh_fdr
 from .group_tests import welch_ttest
 from .moments import moments, quartiles_ref
@@ -254,13 +254,12 @@ def size_factors(df: DataFrame, feature: str, sample: str, value: str) -> DataFr
     out. The factor is exp of the exact median of ln(value / reference) over features.
     """
     n_samples = df.agg(F.count_distinct(sample).alias("_k"))
-    ref = (
+    levels = (
         df.groupBy(feature)
         .agg(F.min(value).alias("_min"), F.count(value).alias("_rows"), F.avg(F.ln(value)).alias("_logmean"))
         .where(F.col("_min") > 0)
-        .crossJoin(n_samples)  # one-row right side
-        .where(F.col("_rows") == F.col("_k"))
     )
+    ref = attach_summary(levels, n_samples).where(F.col("_rows") == F.col("_k"))
     ratios = df.join(ref.select(feature, "_logmean"), feature).withColumn("_ratio", F.ln(value) - F.col("_logmean"))
     mid = order_statistics(
         ratios, sample, "_ratio", {"_lo": F.floor((F.col("n") - 1) / 2), "_hi": F.floor(F.col("n") / 2)}

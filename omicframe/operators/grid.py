@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import attach_summary
 from .moments import moments
 
 
@@ -77,9 +78,9 @@ def _data_rows(grid: DataFrame, has_y: Column, allow_text_x: bool) -> DataFrame:
     """Rows from the first one with Y data up to the next one without, with x and x_label."""
     flagged = grid.withColumn("_has", has_y)
     bounds = flagged.agg(F.min(F.when(F.col("_has"), F.col("row_id"))).alias("_begin"))
-    after = flagged.crossJoin(bounds).where(F.col("row_id") >= F.col("_begin"))  # one-row right side
+    after = attach_summary(flagged, bounds).where(F.col("row_id") >= F.col("_begin"))
     gap = after.agg(F.min(F.when(~F.col("_has"), F.col("row_id"))).alias("_gap"))
-    block = after.crossJoin(gap).where(F.col("_gap").isNull() | (F.col("row_id") < F.col("_gap")))  # one-row right side
+    block = attach_summary(after, gap).where(F.col("_gap").isNull() | (F.col("row_id") < F.col("_gap")))
     x, label = _mean_x(grid.columns), F.trim("X_0")
     block = block.withColumn("_x", F.when(label != "", x)).withColumn("_l", label)
     if not allow_text_x:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import spread
 from ..functions.sequences import ascii_slice, gc_percent, match_starts, reverse_complement_n
 from .intervals import exon_of, to_cds
 
@@ -43,7 +44,7 @@ def guide_candidates(
         .withColumn("_len", F.least(F.col("end"), F.col("_n")) - F.col("_at"))
         .select(key, "part", "_at", "_len", ascii_slice(F.encode("_s", "UTF-8"), F.col("_at"), F.col("_len")).alias("_p"))
     )
-    strands = parts.select(
+    strands = spread(parts, key, "part").select(
         key,
         "part",
         "_at",

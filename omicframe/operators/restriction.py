@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import spread
 from ..functions.sequences import IUPAC, IUPAC_BASES, IUPAC_COMPLEMENT, ascii_slice, clean_sequence, match_starts, reverse_complement_n
 
 CHUNK = 65_536
@@ -147,7 +148,8 @@ def _scan(seqs: DataFrame, enzymes: Sequence[Enzyme], key: str, sequence: str, o
             .alias("_text"),
         )
     )
-    tried = chunks.select(key, "n", "_at", "_text", F.inline(_probes(enzymes)))
+    # Trying every probe costs far more per base than moving the text once, so chunks are spread evenly.
+    tried = spread(chunks, key, "_at").select(key, "n", "_at", "_text", F.inline(_probes(enzymes)))
 
     def starts_of(rows: DataFrame, every: bool) -> Column:
         found = F.transform(match_starts(F.col("_text"), F.col("pattern"), F.col("site_len"), every), lambda s: s + F.col("_at"))

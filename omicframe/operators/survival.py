@@ -189,6 +189,64 @@ def split_counts(df: DataFrame, by, time: str, event: str, score: str, pct: floa
     return time_counts(split, [*by, "cutoff", "side"], time, event)
 
 
+def two_side_summary(counts: DataFrame, by, group: str, g1, g2, names: tuple[str, str] = ("first", "second")) -> DataFrame:
+    """Events, censorings, median and mean survival of two groups and their log-rank test, from one pass.
+
+    The counts of both groups are laid side by side per time, so one reverse and one forward window give the
+    numbers at risk, both curves and every log-rank term. Between its own times a group's curve is flat, so the
+    pooled times change neither its area nor its median.
+    """
+    by = as_list(by)
+    leaving = F.col("events") + F.col("censored")
+    chosen = {1: F.col(group) == F.lit(g1), 2: F.col(group) == F.lit(g2)}
+    side = lambda i, c: F.sum(F.when(chosen[i], c).otherwise(0))
+    pooled = (
+        counts.where(chosen[1] | chosen[2])
+        .groupBy(*by, "time")
+        .agg(*[side(i, c).alias(f"{n}{i}") for i in (1, 2) for n, c in (("l", leaving), ("d", F.col("events")))])
+    )
+    later = _strata(by).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = _strata(by).orderBy("time")
+    up_to = ahead.rowsBetween(Window.unboundedPreceding, 0)
+    risk = pooled.withColumns({f"n{i}": F.sum(f"l{i}").over(later) for i in (1, 2)})
+    alive = risk.withColumns(
+        {
+            f"s{i}": F.product(
+                F.when(F.col(f"n{i}") > 0, (F.col(f"n{i}") - F.col(f"d{i}")) / F.col(f"n{i}")).otherwise(1.0)
+            ).over(up_to)
+            for i in (1, 2)
+        }
+    )
+    span = F.col("time") - F.coalesce(F.lag("time").over(ahead), F.lit(0))
+    steps = alive.withColumns({f"a{i}": F.coalesce(F.lag(f"s{i}").over(ahead), F.lit(1.0)) * span for i in (1, 2)})
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n, d = n1 + n2, (F.col("d1") + F.col("d2")).cast("double")
+    used = (d > 0) & (n > 1)
+    out = steps.groupBy(*by).agg(
+        *[
+            e
+            for i, name in zip((1, 2), names)
+            for e in (
+                F.sum(f"d{i}").alias(f"{name}_events"),
+                (F.sum(f"l{i}") - F.sum(f"d{i}")).alias(f"{name}_censored"),
+                F.min(F.when((F.col(f"s{i}") <= 0.5) & (F.col(f"n{i}") > 0), F.col("time"))).alias(f"{name}_median"),
+                F.sum(F.when(F.col(f"n{i}") > 0, F.col(f"a{i}"))).alias(f"{name}_mean"),
+                F.sum(f"l{i}").alias(f"_size{i}"),
+            )
+        ],
+        F.sum(F.when(used, F.col("d1"))).alias("_observed"),
+        F.sum(F.when(used, n1 * d / n)).alias("_expected"),
+        F.sum(F.when(used, n1 * n2 * d * (n - d) / (n * n * (n - 1)))).alias("_variance"),
+    )
+    ok = (F.col("_size1") >= 2) & (F.col("_size2") >= 2) & (F.col("_variance") > 0)
+    chi = F.pow(F.col("_observed") - F.col("_expected"), 2) / F.col("_variance")
+    return (
+        out.withColumn("chi_square", guarded(ok, chi, 0.0))
+        .withColumn("p_value", guarded(ok, chi2_upper("chi_square", 1.0), 1.0))
+        .drop("_size1", "_size2", "_observed", "_expected", "_variance")
+    )
+
+
 def survival_by_percentile(
     df: DataFrame, by, time: str, event: str, score: str, pct: float, tie: str, min_n: int = 10
 ) -> DataFrame:
@@ -198,26 +256,9 @@ def survival_by_percentile(
     """
     by = as_list(by)
     counts = split_counts(df, by, time, event, score, pct, tie)
-    keys = [*by, "cutoff"]
-    curve = km_from_counts(counts, [*keys, "side"])
-    sides = (
-        null_safe_join(
-            null_safe_join(km_median(curve, [*keys, "side"]), km_mean(curve, [*keys, "side"]), [*keys, "side"]),
-            counts.groupBy(*keys, "side").agg(F.sum("events").alias("events"), F.sum("censored").alias("censored")),
-            [*keys, "side"],
-        )
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s.lower()}_{c}")
-                for s in ("Low", "High")
-                for c in ("events", "censored", "median", "mean")
-            ]
-        )
-    )
-    test = logrank_from_counts(counts, keys, "side", "Low", "High").select(*keys, "chi_square", "p_value")
-    total = sum(F.coalesce(F.col(f"{s}_{c}"), F.lit(0)) for s in ("low", "high") for c in ("events", "censored"))
-    return null_safe_join(sides, test, keys).where(total >= min_n)
+    out = two_side_summary(counts, [*by, "cutoff"], "side", "Low", "High", ("low", "high"))
+    total = sum(F.col(f"{s}_{c}") for s in ("low", "high") for c in ("events", "censored"))
+    return out.where(total >= min_n)
 
 
 def survival_curves_by_percentile(df: DataFrame, by, time: str, event: str, score: str, pct: float, tie: str) -> DataFrame:

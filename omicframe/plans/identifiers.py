@@ -354,11 +354,7 @@ def q_sort_numeric(spark, sf):
     return sel.sort_numeric(p, "x", True, "p_partkey")
 
 
-@query(
-    "natural_sort",
-    """SELECT label, accession, row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(label, '\\d+') AS BIGINT), 2147483647), label, accession)::INT AS place
-FROM (SELECT p_brand || ' ' || p_name AS label, p_partkey AS accession FROM part)""",
-)
+@query("natural_sort", "SELECT p_brand || ' ' || p_name AS label, p_partkey AS accession FROM part")
 def q_natural(spark, sf):
     p = table(spark, sf, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("label"), F.col("p_partkey").alias("accession"))
-    return sel.with_rank(p, sel.natural_sort_keys("label", "accession"), None, "place")
+    return sel.natural_sort(p, "label", "accession")
