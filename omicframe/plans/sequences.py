@@ -8,7 +8,7 @@ from ..functions import sequences as sq
 from ..operators import guides as gd
 from ..operators import intervals as iv
 from ..operators import restriction as rs
-from ..operators.annotation import KNOWN_PROBES, annotate_features
+from ..operators.annotation import KNOWN_PROBES, Probe, annotate_features
 from .registry import query, rounded, table
 
 _DNA = "SELECT doc_id AS seq_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents"
@@ -288,7 +288,8 @@ def q_clone(spark, sf):
 @query("annotate_features")
 def q_annotate(spark, sf):
     """Rows only: the seeded search has no practical SQL; tests compare it with brute force."""
-    return annotate_features(_dna(spark, sf).where(F.length("sequence") >= 50), KNOWN_PROBES)
+    prose = [Probe("prose a", "Misc", 60, ("TATTATCATTAT", "ATTCATTAATTA")), Probe("prose b", "Misc", 40, ("TCATACATTATC",))]
+    return annotate_features(_dna(spark, sf), KNOWN_PROBES + prose)
 
 
 @query(
