@@ -376,3 +376,16 @@ def test_singular_spillover(spark):
     df = spark.createDataFrame([("a", ["A", "B"], [[100.0, 100.0], [100.0, 100.0]]), ("b", ["A", "zz"], [[0.0, 50.0], [100.0, 0.0]])], "file string, channels array<string>, matrix array<array<double>>")
     inv = {r["file"]: r["compensation"] for r in gating.invert_spillover(df).collect()}
     assert inv["a"] is None and inv["b"] == [[0.0, 1.0], [2.0, 0.0]]
+
+
+def test_pair_summary(spark):
+    pairs = [(dna(20), dna(22)) for _ in range(6)] + [("ACGTACGTACGTACGTACGT", "GGGGGGGGGGGGGGGGGGGG")]
+    rows = [(f, slow_tm(f), *slow_scores(f)[:2], r, slow_tm(r), *slow_scores(r)[:2]) for f, r in pairs]
+    df = spark.createDataFrame(rows, "f_sequence string, f_tm double, f_self_comp int, f_hairpin int, r_sequence string, r_tm double, r_self_comp int, r_hairpin int")
+    for s in primers.primer_pair_summary(df).collect():
+        hd, diff = slow_hetero(s["f_sequence"], s["r_sequence"]), abs(s["f_tm"] - s["r_tm"])
+        score = 100 - 3 * diff - 2 * hd
+        for p in ("f", "r"):
+            score -= abs(60 - s[f"{p}_tm"]) + 2 * s[f"{p}_self_comp"] + 3 * s[f"{p}_hairpin"]
+        assert s["hetero_dimer"] == hd and s["overall"] == pytest.approx(max(0, score))
+        assert ("hetero-dimer risk" in s["warnings"]) == (hd >= 4) and ("Tm difference above 5 C" in s["warnings"]) == (diff > 5)
