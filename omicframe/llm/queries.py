@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cuckoo, shards, simhash
+from . import cuckoo, shards, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,10 @@ def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cuckoo.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+@query("op10_warc_records")
+def op10_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of_payload = {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": warc.base32_sha1(F.col("payload"))}
+    records = warc.round_trip(table(spark, sf_dir, "pages"), of_payload)
+    return warc.resolved(records, list(of_payload)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
