@@ -54,13 +54,13 @@ def features(text: str | None) -> np.ndarray:
     return np.sqrt(out)
 
 
-def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.03, decay: float = 1e-4) -> dict:
+def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.04, decay: float = 1e-4) -> dict:
     """A linear score that minimises the non-negative unbiased risk
     prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)]) with the logistic loss; where the second part
     is negative its gradient is turned round. Adam on the whole sample; the same sample gives the same weights."""
     both = np.vstack([positive, unlabelled])
     mean, spread = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.hstack([(x - mean) / spread, np.ones((len(x), 1))]).clip(-8, 8) for x in (positive, unlabelled))
+    p, u = (np.hstack([(x - mean) / spread, np.ones((len(x), 1))]).clip(-8, 8).astype(np.float32) for x in (positive, unlabelled))
     w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-z.clip(-30, 30)))
     softplus = lambda z: np.logaddexp(0, z)
@@ -80,7 +80,6 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
-@F.pandas_udf("array<double>")
 def _featured(texts: pd.Series) -> pd.Series:
     return pd.Series([features(t) for t in texts])
 
@@ -112,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, fold, id_col: str = "doc_id", text
     u = _nearest(ids.where(fold(F.col("id"))).distinct(), unlabelled).withColumn("positive", F.lit(False))
     wanted = p.union(u)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sample = texts.join(F.broadcast(wanted), "id").select("id", "positive", _featured("text").alias("x")).toPandas()  # at most positives + unlabelled rows
+    sample = texts.join(F.broadcast(wanted), "id").select("id", "positive", F.pandas_udf(_featured, "array<double>")("text").alias("x")).toPandas()  # at most positives + unlabelled rows
     sample = sample.drop_duplicates(["id", "positive"]).sort_values(["positive", "id"])
     pos, unl = (np.array(sample.loc[sample["positive"] == k, "x"].tolist(), float).reshape(-1, N_FEATURES) for k in (True, False))
     return fitted(pos, unl, prior) if len(pos) and len(unl) else None

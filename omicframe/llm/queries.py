@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cuckoo, shards, simhash, warc
+from . import cuckoo, decontam, quality, shards, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,37 @@ def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), n_shards=40, overhead=16)
 
 
+@query(
+    "op6_minhash_decontamination",
+    r"""
+    WITH dw AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM documents
+    ), ds AS (
+        SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM dw)
+    ), iw AS (
+        SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM benchmark
+    ), items AS (
+        SELECT DISTINCT item_id, array_to_string(words[i : i + 4], ' ') AS shingle
+        FROM (SELECT item_id, words, unnest(range(1, len(words) - 3)) AS i FROM iw)
+    ), sized AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id),
+    shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN items USING (shingle) GROUP BY doc_id, item_id)
+    SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+    FROM shared JOIN sized USING (item_id) WHERE n_shared >= 0.8 * n_item
+    """,
+)
+def op6_minhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
+@query("op7_pu_quality")
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), lambda i: ~quality.held_out(i))
+    found = quality.scored(docs, model)
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query(
     "op8_cuckoo_exact_dedup",
     r"""
