@@ -14,6 +14,7 @@ from .common import cut, dropped
 from .components import components
 
 BITS = 64
+EACH_TASK = 20_000  # fingerprints; each becomes some 67 index keys
 EXACT = BITS  # tags 0 to 63 name the bit left out of a segment; EXACT + s means all of segment s
 
 
@@ -110,17 +111,17 @@ def _masks(positions: list[int], reach: int) -> list[int]:
 def links(fps: DataFrame, distance: int = 4, large: int = 2000) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints (column ``fp``) that connect exactly those at ``distance`` or fewer bits.
 
-    Keys held by one fingerprint are dropped; in a bucket of up to ``large`` members the pairs are checked inside the
-    join, so at most ``large`` comparisons fall to a member; larger buckets are linked through midpoints, with a fixed
+    In a bucket of up to ``large`` members the pairs are checked inside the join, so at most ``large`` comparisons fall
+    to a member of each; larger buckets are linked through midpoints, with a fixed
     number of rows for each member. ``distance`` is 2 or 4: with an odd one, members near one point could be further
     apart; with a larger one, segments are too short to select.
     """
     if distance not in (2, 4):
         raise ValueError("distance: 2 or 4")
     keys = variants(fps, distance)
-    shared = keys.groupBy("tag", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    near = cut(keys.join(shared, ["tag", "bits"]), "simhash-keys")
-    light = near.where(F.col("n") <= large)
+    buckets = keys.groupBy("tag", "bits").agg(F.count("*").alias("n"))
+    over = cut(buckets.where(F.col("n") > large).select("tag", "bits"), "simhash-large")
+    light = keys.join(over, ["tag", "bits"], "left_anti")
     a, b = light.alias("a"), light.alias("b")
     pair = (
         (F.col("a.tag") == F.col("b.tag"))
@@ -130,7 +131,7 @@ def links(fps: DataFrame, distance: int = 4, large: int = 2000) -> DataFrame:
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
     )
     found = a.join(b, pair).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    heavy = near.where(F.col("n") > large)
+    heavy = keys.join(over, ["tag", "bits"], "left_semi")
     return found.union(_midpoints(heavy, distance)).distinct()
 
 
@@ -146,8 +147,9 @@ def near_duplicates(
     """
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = cut(read.select("id", fingerprint(words_each)("text").alias("fp")), "simhash")
-    first = marked.groupBy("fp").agg(F.min("id").alias("id"))
-    roots = components(links(first.select("fp"), distance, large))
+    first = cut(marked.groupBy("fp").agg(F.min("id").alias("id")), "simhash-first")
+    tasks = max(1, first.count() // EACH_TASK)
+    roots = components(links(first.select("fp").repartition(tasks), distance, large))
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut(named, "simhash-roots")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
