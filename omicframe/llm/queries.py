@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cuckoo, decontam, linededup, quality, shards, simhash, warc
+from . import cuckoo, decontam, htmltext, linededup, packing, quality, shards, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,19 @@ def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), n_shards=40, overhead=16)
 
 
+@query("op3_bin_completion_packing")
+def op3_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed_documents(table(spark, sf_dir, "documents"), size=2048)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op4_page_main_text")
+def op4_page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = pages.withColumn("text", htmltext.main_text(F.col("html")))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query("op5_line_runs")
 def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=30)
