@@ -18,10 +18,12 @@ EACH_TASK = 20_000  # fingerprints; each becomes some 67 index keys
 EXACT = BITS  # tags 0 to 63 name the bit left out of a segment; EXACT + s means all of segment s
 
 
-def _one(text: str | None, words_each: int, seed: int) -> int:
+def _one(text: str | None, words_each: int, seed: int, once: bool = False) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
+    if once:
+        words = list(dict.fromkeys(words))
     n = max(1, len(words) - words_each + 1)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
@@ -36,14 +38,15 @@ def _one(text: str | None, words_each: int, seed: int) -> int:
     return int(np.packbits(2 * total > n).view(">u8")[0])
 
 
-def fingerprint(words_each: int = 4, seed: int = 42):
+def fingerprint(words_each: int = 4, seed: int = 42, once: bool = False):
     """Column function: the 64-bit SimHash of a text as a long. Bytes A-Z are lower-cased, words are runs without
     ASCII white space, features are the XXH64 of ``words_each`` words joined by a space, repeats included (fewer
-    words: all of them); a bit is set when more than half of the features have it. No words or null: 0."""
+    words: all of them; ``once``: of each word's first place only); a bit is set when more than half of the features
+    have it. No words or null: 0."""
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([_one(t, words_each, seed) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([_one(t, words_each, seed, once) for t in texts], np.uint64).view(np.int64))
 
     return simhash
 
@@ -135,6 +138,11 @@ def links(fps: DataFrame, distance: int = 4, large: int = 2000) -> DataFrame:
     return found.union(_midpoints(heavy, distance)).distinct()
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints of a stored table over tasks of about ``EACH_TASK``, as each becomes many index keys."""
+    return fps.select("fp").repartition(max(1, fps.count() // EACH_TASK))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, words_each: int = 4, large: int = 2000
 ) -> DataFrame:
@@ -148,10 +156,81 @@ def near_duplicates(
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = cut(read.select("id", fingerprint(words_each)("text").alias("fp")), "simhash")
     first = cut(marked.groupBy("fp").agg(F.min("id").alias("id")), "simhash-first")
-    tasks = max(1, first.count() // EACH_TASK)
-    roots = components(links(first.select("fp").repartition(tasks), distance, large))
+    roots = components(links(_spread(first), distance, large))
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut(named, "simhash-roots")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def _shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+    return np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The (a, b) pairs whose texts share at least ``threshold`` of their distinct shingles (Jaccard)."""
+
+    @F.pandas_udf("boolean")
+    def alike(one: pd.Series, two: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(one, two):
+            x, y = _shingle_hashes(s, k), _shingle_hashes(t, k)
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(same >= threshold * (len(x) + len(y) - same) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    one, two = texts.select(F.col("th").alias("a"), F.col("text").alias("t1")), texts.select(F.col("th").alias("b"), F.col("text").alias("t2"))
+    return cut(pairs.join(one, "a").join(two, "b").where(alike("t1", "t2")).select("a", "b"), "simhash-alike")
+
+
+def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, views: int = 3, id_col: str = "doc_id", text_col: str = "text", large: int = 2000) -> DataFrame:
+    """(id, th, keep): for every row the hash of its text and the smallest id of its near-duplicate class.
+
+    Classes are connected by pairs of texts that share at least ``threshold`` of their distinct ``shingle``-word
+    shingles. Candidates: fingerprints of the distinct words of a text under ``views`` independent hashes, linked at 4
+    or fewer bits in any of them (of pairs at 0.8 to 0.85 about nine in ten are linked, above 0.9 nearly all: measured
+    on the test tables). Each candidate is verified on the texts: first every member of a candidate component against
+    its smallest text, which settles most of a large group of copies in as many checks as it has members; then the
+    links that still join different classes. Equal texts are one text. Texts without words are equal to each other and
+    to no other. Rows that repeat id and text have the same result; null ids count as the smallest. No rows: none.
+    """
+    read = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    fps = [fingerprint(1, 42 + v, once=True)("text").alias(f"f{v}") for v in range(views)]
+    marked = cut(read.select("id", F.xxhash64("text").alias("th"), *fps), "simhash-views")
+    distinct = cut(marked.groupBy("th").agg(*[F.first(f"f{v}").alias(f"f{v}") for v in range(views)]), "simhash-texts")
+    found = None
+    for v in range(views):
+        own = distinct.select("th", F.col(f"f{v}").alias("fp"))
+        first = cut(own.groupBy("fp").agg(F.min("th").alias("head")), "simhash-first")
+        linked = links(_spread(first), 4, large)
+        ends = [first.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in ("a", "b")]
+        between = linked.join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+        within = own.join(first, "fp").where("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
+        here = cut(between.union(within), "simhash-links")
+        found = here if found is None else found.union(here)
+    edges = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-edges")
+    stars = components(edges)
+    nodes = edges.select(F.col("a").alias("th")).union(edges.select("b")).distinct()
+    texts = cut(read.withColumn("th", F.xxhash64("text")).join(nodes, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text")), "simhash-compared")
+    sure = _verified(stars.select(F.col("root").alias("a"), F.col("node").alias("b")), texts, threshold, shingle)
+    roots = cut(components(sure), "simhash-roots")
+    at = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+    open_ = edges.join(at[0], "a", "left").join(at[1], "b", "left")
+    open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    more = _verified(open_.join(stars.select(F.col("root").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"), texts, threshold, shingle)
+    roots = components(sure.union(more))
+    classed = distinct.select("th").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    named = cut(marked.select("id", "th").distinct().join(classed, "th"), "simhash-classes")
+    least = named.groupBy("root").agg(F.min("id").alias("keep"))
+    return named.join(least, "root").select("id", "th", "keep")
+
+
+def without_near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, less those whose near-duplicate class (``similar_texts``) has a smaller id."""
+    classes = similar_texts(docs, threshold, shingle, id_col=id_col, text_col=text_col)
+    gone = cut(classes.where("id <> keep").select(F.col("id").alias("_id"), F.col("th").alias("_th")), "simhash-gone")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    return docs.join(gone, (key == F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_th")), "left_anti")
