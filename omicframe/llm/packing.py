@@ -65,46 +65,50 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int, most: int, tries: int = 2000) -> Iterator[tuple[int, dict[int, int]]]:
-    """(waste, filling) of undominated fillings of ``room``, least waste first, at most ``most``; larger pieces first,
-    so a single piece comes before the smaller ones that it dominates. ``lengths`` is in descending order."""
-    if room in counts and counts[room]:
-        yield 0, {room: 1}  # one piece that fits exactly dominates every other filling
-        return
-    found = 0
-    for w in range(min(waste, room) + 1):
-        target, budget = room - w, [tries]
-        if target == 0:
-            yield w, {}
-            return
-        stack = [(0, target, ())]
-        here = 0
-        while stack and budget[0] > 0 and here < most:
-            k, rest, chosen = stack.pop()
-            budget[0] -= 1
-            if rest == 0:
-                here += 1
-                found += 1
-                filling: dict[int, int] = {}
-                for x in chosen:
-                    filling[x] = filling.get(x, 0) + 1
-                yield w, filling
-                continue
-            later = []
-            for i in range(k, len(lengths)):
-                x = lengths[i]
-                if x > rest:
-                    continue
-                if chosen.count(x) < counts[x]:
-                    later.append((i, rest - x, (*chosen, x)))
-                    if len(later) >= 6:
-                        break
-            stack += reversed(later)
-        if found >= most:
-            return
-
-
-def bin_completion(counts: dict[int, int], capacity: int, width: int = 3, dives: int = 9) -> list[Pattern]:
+def fillings(lengths: np.ndarray, counts: np.ndarray, room: int, waste: int, most: int, plain: bool = False, deep: int = 24) -> list[tuple[int, dict[int, int]]]:
+    """(waste, filling) of fillings of ``room`` by one, two or three pieces, least waste first, at most ``most``; of
+    equal waste those whose pieces are plentiful come first (``plain``: those with the largest pieces), as a length
+    that many pieces share is the one that is hard to fill up later. ``lengths``: those left, descending; ``counts`` by
+    length. Fillings that leave more than the largest piece that fits are dominated by it and not listed. Three pieces
+    are tried, with the ``deep`` most plentiful ones, where fewer don't fill the same room."""
+    fit = lengths[np.searchsorted(-lengths, -room) :]
+    if not len(fit):
+        return [(room, {})] if room <= waste else []
+    single = room - int(fit[0])
+    found: list[tuple[int, dict[int, int]]] = []
+
+    def pair(target: int) -> list[tuple[int, int]]:
+        """The most plentiful two pieces that fill ``target`` exactly."""
+        one = fit[np.searchsorted(-fit, 1 - target) :]
+        one = one[2 * one >= target]
+        two = target - one
+        stock = np.where(two != one, np.minimum(counts[one], counts[two]), counts[one] // 2)
+        at = np.argsort(stock == 0 if plain else -stock, kind="stable")[:most]
+        return [(int(one[k]), int(two[k])) for k in at if stock[k] > 0]
+
+    plenty = fit[np.argsort(-counts[fit], kind="stable")[:deep]]
+    for w in range(min(waste, single) + 1):
+        target, here = room - w, []
+        if w == single:
+            here.append((target,))
+        here += pair(target)
+        if not here:
+            for x in plenty:
+                if x + 2 <= target:
+                    here += [(int(x), *two) for two in pair(target - int(x))]
+        for chosen in here:
+            filling: dict[int, int] = {}
+            for x in chosen:
+                filling[x] = filling.get(x, 0) + 1
+            if all(counts[k] >= n for k, n in filling.items()):
+                found.append((w, filling))
+        if len(found) >= most:
+            break
+    stock_of = lambda filling: min(counts[k] // n for k, n in filling.items())
+    return sorted(found, key=lambda x: (x[0], -max(x[1]) if plain else -stock_of(x[1]), len(x[1])))[:most]
+
+
+def bin_completion(counts: dict[int, int], capacity: int, width: int = 3, dives: int = 4) -> list[Pattern]:
     """A packing of the counted lengths into as few bins as the search finds.
 
     Branch and bound: a node takes the largest piece left and one of its undominated fillings, as often as the counts
@@ -123,43 +127,47 @@ def bin_completion(counts: dict[int, int], capacity: int, width: int = 3, dives:
         return best
     state = [best]
 
-    def dive(left: dict[int, int], made: list[Pattern], waste: int, skip: int, depth: int) -> None:
-        """Follow first choices; ``skip`` counts the places where a later filling is taken instead."""
-        steps = 0
-        while left:
+    def dive(skip: int, depth: int, plain: bool) -> None:
+        """Follow first choices; at ``depth`` take the filling number ``skip`` instead."""
+        left = np.zeros(capacity + 1, np.int64)
+        left[list(counts)] = list(counts.values())
+        made: list[Pattern] = []
+        waste = n_made = steps = 0
+        while True:
+            lengths = np.nonzero(left)[0][::-1]
+            if not len(lengths):
+                break
             allowed = (bins(state[0]) - 1) * capacity - total - waste
             if allowed < 0:
                 return
-            lengths = sorted(left, reverse=True)
-            top = lengths[0]
+            top = int(lengths[0])
             left[top] -= 1
-            options = list(fillings(lengths, left, capacity - top, min(allowed, capacity), width))
+            options = fillings(lengths if left[top] else lengths[1:], left, capacity - top, min(allowed, capacity), width if steps == depth else 1, plain)
             left[top] += 1
             if not options:
                 return
             w, filling = options[min(skip, len(options) - 1) if steps == depth else 0]
             uses = {**filling, top: filling.get(top, 0) + 1}
-            times = min(left[k] // n for k, n in uses.items())
+            times = min(int(left[k]) // n for k, n in uses.items())
             if w:
                 times = min(times, max(1, allowed // w))
             made.append((times, uses))
+            n_made += times
             waste += times * w
             for k, n in uses.items():
                 left[k] -= times * n
-                if not left[k]:
-                    del left[k]
             steps += 1
             if steps % 50 == 0:
-                rest = best_fit(left, capacity)
-                if bins(made) + bins(rest) < bins(state[0]):
+                rest = best_fit({int(k): int(left[k]) for k in np.nonzero(left)[0]}, capacity)
+                if n_made + bins(rest) < bins(state[0]):
                     state[0] = made + rest
                     if bins(state[0]) == least:
                         return
-        if bins(made) < bins(state[0]):
-            state[0] = list(made)
+        if n_made < bins(state[0]):
+            state[0] = made
 
     for n in range(dives):
-        dive(dict(counts), [], 0, n % width if n else 0, 0 if n < width else 7 * (n // width))
+        dive(n // 2 % width, 7 * (n // 2 // width), n % 2 == 1)
         if bins(state[0]) == least:
             break
     return state[0]
