@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cuckoo, decontam, htmltext, linededup, packing, quality, shards, simhash, warc
+from . import cuckoo, decontam, htmltext, linededup, packing, quality, shards, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,6 +107,12 @@ def op8_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+@query("op9_difference_cover_dedup")
+def op9_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op10_warc_records")
 def op10_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_payload = {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": warc.base32_sha1(F.col("payload"))}
