@@ -43,13 +43,7 @@ def polygon_gate(x: Name, y: Name, points: Sequence[tuple[float, float]], log_x:
         return F.lit(False)
     # One crossing test per side that is not horizontal (a horizontal side is never crossed).
     sides = [(a, b) for a, b in zip(points, [points[-1], *points[:-1]]) if a[1] != b[1]]
-    if len(sides) > 200:
-        inside = _polygon_over_array(x, y, sides)
-    else:
-        inside = F.lit(False)
-        for (xa, ya), (xb, yb) in sides:
-            crossed = ((F.lit(ya) > y) != (F.lit(yb) > y)) & (x < (xb - xa) * (y - ya) / (yb - ya) + xa)
-            inside = inside != crossed
+    inside = _crossed_oddly(x, y, sides)
     positive = F.lit(True)
     if log_x:
         positive = positive & (x > 0)
@@ -58,8 +52,10 @@ def polygon_gate(x: Name, y: Name, points: Sequence[tuple[float, float]], log_x:
     return positive & inside
 
 
-def _polygon_over_array(x: Column, y: Column, sides) -> Column:
-    """The same test folded over a literal array, for polygons whose expression would be too long."""
+def _crossed_oddly(x: Column, y: Column, sides) -> Column:
+    """Whether a ray crosses an odd number of sides, folded over a literal array: one form for any number of sides."""
+    if not sides:
+        return F.lit(False)
     literal = F.array(
         *[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("xa", "ya", "xb", "yb"), (*a, *b))]) for a, b in sides]
     )

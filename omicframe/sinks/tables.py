@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import attach_summary
 from ..operators.expression import regulation
 
 
@@ -139,20 +140,33 @@ def write_primer_pairs(df: DataFrame, path: str) -> None:
     _csv(out.toDF("Rank", "Forward", "Reverse", "Fwd Tm", "Rev Tm", "dTm", "Product", "Score"), path)
 
 
-def write_gene_db(genes: DataFrame, path: str) -> None:
-    """Gene records as JSON lines, NULL fields left out, in table order."""
-    genes.orderBy("gene_ord").drop("gene_ord").write.mode("overwrite").option("ignoreNullFields", True).json(path)
+def write_gene_db(genes: DataFrame, path: str, species: str = "", version: str = "") -> None:
+    """One ``{Info, Genes[]}`` document that ``read_gene_db`` reads back: a line per gene in table order, NULL fields left
+    out. The form is one file, so one task writes it."""
+    named = [(c, "".join(w.title() for w in c.split("_"))) for c in genes.columns if c != "gene_ord"]
+    lines = genes.select("gene_ord", F.to_json(F.struct(*[F.col(c).alias(n) for c, n in named])).alias("value"))
+    least = genes.agg(F.min("gene_ord").alias("low"))
+    lines = attach_summary(lines, least).select("gene_ord", F.concat(F.when(F.col("gene_ord") == F.col("low"), F.lit("")).otherwise(F.lit(",")), "value").alias("value"))
+    head = genes.agg(F.count(F.lit(1)).cast("int").alias("GeneCount")).select(F.to_json(_gene_db_info(species, version)).alias("i"))
+    head = head.select(F.lit(-(2**63)).alias("gene_ord"), F.concat(F.lit('{"Info":'), "i", F.lit(',"Genes":[')).alias("value"))
+    foot = genes.sparkSession.range(1).select(F.lit(2**63 - 1).alias("gene_ord"), F.lit("]}").alias("value"))
+    whole = head.union(lines).union(foot).repartition(1).sortWithinPartitions("gene_ord")
+    whole.select("value").write.mode("overwrite").text(path)
 
 
-def write_gene_db_info(genes: DataFrame, path: str, species: str, version: str) -> None:
-    """One-row header of a gene table."""
-    genes.agg(F.count(F.lit(1)).cast("int").alias("GeneCount")).select(
+def _gene_db_info(species: str, version: str) -> Column:
+    return F.struct(
         F.lit(species).alias("Species"),
         F.lit(version).alias("Version"),
         "GeneCount",
         F.current_timestamp().alias("LastUpdate"),
         F.lit("HGNC" if species == "human" else "NCBI Gene").alias("Sources"),
-    ).write.mode("overwrite").json(path)
+    )
+
+
+def write_gene_db_info(genes: DataFrame, path: str, species: str, version: str) -> None:
+    """One-row header of a gene table."""
+    genes.agg(F.count(F.lit(1)).cast("int").alias("GeneCount")).select(_gene_db_info(species, version).alias("i")).select("i.*").write.mode("overwrite").json(path)
 
 
 def write_cohort(expression: DataFrame, genes: DataFrame, samples: DataFrame, path: str) -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,9 +72,9 @@ def read_cohort_meta(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 def read_matrix(spark: SparkSession, path: str, meta_path: str, block_genes: int = 512) -> DataFrame:
     """Row-major little-endian float32 matrices -> (project_id, gene_idx, sample_idx, value).
 
-    ``path`` is a glob of ``<project>_matrix.bin`` on storage the executors can open; sizes come from the
-    metadata. Files are listed without their content and cut into blocks of genes; a task opens the file and
-    reads only its block. Write the result to Parquet once, partitioned by project_id.
+    ``path`` is a glob of ``<project>_matrix.bin``; sizes come from the metadata, and a file whose length is not that of
+    its genes times samples is an error. Files are listed without their content and cut into blocks of genes; a task
+    opens the file at its own URI and reads only its block. Write the result to Parquet once, partitioned by project_id.
     """
     shapes = _raw_meta(spark, meta_path).select(
         "project_id", F.col("n_genes").cast("int").alias("n_genes"), F.col("n_samples").cast("int").alias("n_samples")
@@ -80,9 +82,12 @@ def read_matrix(spark: SparkSession, path: str, meta_path: str, block_genes: int
     files = (
         spark.read.format("binaryFile")
         .load(path)
-        .select(F.col("path"), F.regexp_extract("path", r"([^/]+)_matrix\.bin$", 1).alias("project_id"))
+        .select(F.col("path"), F.col("length"), F.regexp_extract("path", r"([^/]+)_matrix\.bin$", 1).alias("project_id"))
     )
-    blocks = files.join(shapes, "project_id").select(
+    want = F.col("n_genes").cast("long") * F.col("n_samples") * 4
+    said = F.format_string("%s has %d bytes, not %d", F.col("path"), F.col("length"), want)
+    files = files.join(shapes, "project_id").withColumn("n_genes", F.when(F.col("length") == want, F.col("n_genes")).otherwise(F.raise_error(said)))
+    blocks = files.select(
         "project_id", "path", "n_samples", "n_genes", F.explode(F.sequence(F.lit(0), F.col("n_genes") - 1, F.lit(block_genes))).alias("first")
     )
     schema = "project_id STRING, gene_idx INT, sample_idx INT, value FLOAT"
@@ -91,22 +96,21 @@ def read_matrix(spark: SparkSession, path: str, meta_path: str, block_genes: int
         for pdf in batches:
             for project, path_, n_samples, n_genes, first in pdf.itertuples(index=False):
                 rows = min(block_genes, n_genes - first)
-                local = path_.removeprefix("file:")
-                with open(local, "rb") as f:
+                store, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", path_))
+                with store.open_input_file(name) as f:
                     f.seek(first * n_samples * 4)
                     values = np.frombuffer(f.read(rows * n_samples * 4), dtype="<f4")
                 gene, sample = np.indices((rows, n_samples), dtype="int32")
                 yield pd.DataFrame(
                     {
                         "project_id": pd.Series([project] * values.size, dtype=object),
-                        "gene_idx": (gene + np.int32(first)).ravel()[: values.size],
-                        "sample_idx": sample.ravel()[: values.size],
+                        "gene_idx": (gene + np.int32(first)).ravel(),
+                        "sample_idx": sample.ravel(),
                         "value": values,
                     }
                 )
 
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(partitions, "path", "first").mapInPandas(decode, schema)
+    return blocks.repartition(max(1, blocks.count()), "path", "first").mapInPandas(decode, schema)
 
 
 def read_id_list(spark: SparkSession, path: str, extra_space: bool = False) -> DataFrame:

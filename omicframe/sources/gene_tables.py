@@ -6,28 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FIELDS = ["symbol", "ensembl_id", "entrez_id", "hgnc_id", "full_name", "biotype", "chromosome", "mgi_id", "rgd_id", "zfin_id"]
-_RECORD = ", ".join(f"{c.title().replace('_', '')}: STRING" for c in _FIELDS) + ", Aliases: ARRAY<STRING>"
+
+
+def _keyed(text: Column, kind: str) -> Column:
+    """JSON object(s) as maps from lower-case key to value; nested values stay JSON text."""
+    lower = lambda m: F.transform_keys(m, lambda k, _: F.lower(k))
+    parsed = F.from_json(text, kind)
+    return F.transform(parsed, lower) if kind.startswith("ARRAY") else lower(parsed)
 
 
 def read_gene_db(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON ``{info, genes[]}`` (keys in any case) -> (genes with gene_ord, one-row header)."""
-    schema = (
-        f"Info STRUCT<Species: STRING, Version: STRING, GeneCount: INT, LastUpdate: TIMESTAMP, Sources: STRING>, "
-        f"Genes ARRAY<STRUCT<{_RECORD}>>"
+    """JSON ``{info, genes[]}`` (keys in any case) -> (genes with gene_ord, one-row header). Values are not changed."""
+    doc = spark.read.text(path, wholetext=True).select(_keyed(F.col("value"), "MAP<STRING, STRING>").alias("d"))
+    genes = doc.select(F.posexplode(_keyed(F.col("d")["genes"], "ARRAY<MAP<STRING, STRING>>")).alias("gene_ord", "g"))
+    out = genes.select(
+        "gene_ord",
+        *[F.col("g")[c.replace("_", "")].alias(c) for c in _FIELDS],
+        F.from_json(F.col("g")["aliases"], "ARRAY<STRING>").alias("aliases"),
+    )
+    info = doc.select(_keyed(F.col("d")["info"], "MAP<STRING, STRING>").alias("i"))
+    return out, info.select(
+        F.col("i")["species"].alias("species"),
+        F.col("i")["version"].alias("version"),
+        F.col("i")["genecount"].cast("int").alias("gene_count"),
+        F.col("i")["lastupdate"].try_cast("timestamp").alias("last_update"),
+        F.col("i")["sources"].alias("sources"),
     )
-    text = spark.read.text(path, wholetext=True)
-    # Keys are matched in any case: lower-case every key before the typed parse.
-    lowered = F.regexp_replace("value", r'"(\w+)"\s*:', r'"~$1":')
-    parts = F.split(lowered, '"~')
-    keyed = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(
-        F.concat(F.lit('"'), F.lower(F.substring_index(p, '"', 1)), F.substr(p, F.length(F.substring_index(p, '"', 1)) + 1, F.length(p)))
-    )), "")
-    doc = text.select(F.from_json(keyed, schema.lower().replace("string", "STRING")).alias("d"))
-    genes = doc.select(F.posexplode("d.genes").alias("gene_ord", "g"))
-    lower = lambda c: f"g.{c.replace('_', '')}"
-    out = genes.select("gene_ord", *[F.col(lower(c)).alias(c) for c in _FIELDS], F.col("g.aliases").alias("aliases"))
-    info = doc.select("d.info.*").toDF("species", "version", "gene_count", "last_update", "sources")
-    return out, info
 
 
 def _tsv(spark: SparkSession, path: str) -> DataFrame:

@@ -13,12 +13,27 @@ MAX_ENZYMES = 5000
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sequence) per record; header lines dropped, only A, C, G, T kept, upper-cased."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    body = F.regexp_replace("value", r"^[^\r\n]*", "")
-    return records.select(
-        F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1)).alias("name"),
-        F.regexp_replace(ascii_upper(body), "[^ACGT]", "").alias("sequence"),
+    """(name, sequence) per record; only A, C, G, T kept, upper-cased.
+
+    A record starts at a line that begins with ``>``; the rest of that line is its name, other ``>`` in it included.
+    Text before the first such line, or a file without one, is a record with an empty name (if it has any base).
+    """
+    parts = spark.read.option("lineSep", "\n>").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    first = parts.where("block = 0").groupBy("file").agg(F.min("at").alias("first_at"))
+    records = parts.join(first, "file", "left").withColumn("leading", F.coalesce(F.col("at") == F.col("first_at"), F.lit(False)))
+    named = ~F.col("leading") | F.startswith("value", F.lit(">"))
+    text = F.when(F.col("leading") & named, F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    body = F.when(named, F.regexp_replace(text, r"^[^\r\n]*", "")).otherwise(text)
+    return (
+        records.select(
+            F.when(named, F.trim(F.regexp_extract(text, r"^([^\r\n]*)", 1))).otherwise(F.lit("")).alias("name"),
+            F.regexp_replace(ascii_upper(body), "[^ACGT]", "").alias("sequence"),
+            named.alias("named"),
+        )
+        .where("named or sequence <> ''")
+        .drop("named")
     )
 
 
@@ -54,15 +69,17 @@ def load_enzymes(table: DataFrame) -> list[Enzyme]:
 
 
 # Keywords that decide a feature's type and a vector's category.
-RESISTANCE = (
-    "ampr amp(r) bla beta-lactamase ampicillin kanr kan(r) kanamycin aph(3 nptii neor neo(r) neomycin cmr cat "
-    "chloramphenicol tetr tet(r) tetracycline genr gentamicin hygr hygromycin zeor zeocin bler puror puromycin pac "
-    "specr spectinomycin aada blasticidin bsr nourseothricin nat resistance"
-).split()
-REPORTER = (
-    "gfp egfp eyfp ecfp mcherry rfp dsred tdtomato venus cerulean citrine luciferase luc2 fluc firefly renilla rluc "
-    "nanoluc nluc lacz beta-gal β-gal seap reporter"
-).split()
+RESISTANCE = [
+    "ampr", "amp(r)", "bla", "beta-lactamase", "ampicillin", "kanr", "kan(r)", "kanamycin", "aph(3", "nptii", "neor",
+    "neo(r)", "neomycin", "cmr", "cat", "chloramphenicol", "tetr", "tet(r)", "tetracycline", "genr", "gentamicin",
+    "hygr", "hygromycin", "zeor", "zeocin", "bler", "puror", "puromycin", "pac", "specr", "spectinomycin", "aada",
+    "blasticidin", "bsr", "nourseothricin", "nat", "resistance",
+]
+REPORTER = [
+    "gfp", "egfp", "eyfp", "ecfp", "mcherry", "rfp", "dsred", "tdtomato", "venus", "cerulean", "citrine",
+    "luciferase", "luc2", "fluc", "firefly", "renilla", "rluc", "nanoluc", "nluc", "lacz", "beta-gal", "β-gal",
+    "seap", "reporter",
+]
 TAG = [
     "his-tag", "his tag", "6xhis", "his6", "histag", "polyhistidine", "flag", "ha-tag", "ha tag", "myc-tag", "myc tag",
     "c-myc", "v5-tag", "v5 tag", "gst", "glutathione", "mbp", "maltose", "strep-tag", "strep tag", "sumo", "thioredoxin",

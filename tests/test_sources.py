@@ -71,7 +71,30 @@ def test_gene_tables(spark, tmp_path):
     assert info.collect()[0]["species"] == "human" and info.collect()[0]["gene_count"] == 2
     sink.write_gene_db(genes, str(tmp_path / "out"))
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part*"))
-    assert '"symbol":"S2"' in text and "null" not in text
+    assert '"Symbol":"S2"' in text and "null" not in text
+    back, head = gene_tables.read_gene_db(spark, str(tmp_path / "out" / "part*"))
+    assert sorted(map(str, back.drop("gene_ord").collect())) == sorted(map(str, genes.drop("gene_ord").collect()))
+    assert head.collect()[0]["gene_count"] == 2
+
+
+def test_gene_db_values_are_not_changed(spark, tmp_path):
+    db = {"INFO": {"Species": "a : \"b\": c"}, "Genes": [{"FullName": "~5KB Protein", "Aliases": ["~B", 'say "X": y'], "Symbol": "S{1}"}]}
+    (tmp_path / "db.json").write_text(json.dumps(db))
+    genes, info = gene_tables.read_gene_db(spark, str(tmp_path / "db.json"))
+    g = genes.collect()[0]
+    assert (g["full_name"], g["aliases"], g["symbol"]) == ("~5KB Protein", ["~B", 'say "X": y'], "S{1}")
+    assert info.collect()[0]["species"] == 'a : "b": c'
+    sink.write_gene_db(genes.limit(0), str(tmp_path / "none"), "human", "1")
+    none, head = gene_tables.read_gene_db(spark, str(tmp_path / "none" / "part*"))
+    assert none.count() == 0 and head.collect()[0]["gene_count"] == 0 and head.collect()[0]["sources"] == "HGNC"
+
+
+def test_a_short_matrix_is_an_error(spark, tmp_path):
+    meta = {"project_id": "P", "n_genes": 3, "n_samples": 2, "gene_ids": ["a", "b", "c"], "gene_names": ["", "", ""], "sample_ids": ["s", "t"]}
+    (tmp_path / "P_meta.json").write_text(json.dumps(meta))
+    np.arange(4, dtype="<f4").tofile(tmp_path / "P_matrix.bin")
+    with pytest.raises(Exception, match="has 16 bytes, not 24"):
+        cf.read_matrix(spark, str(tmp_path / "*_matrix.bin"), str(tmp_path / "*_meta.json")).collect()
 
 
 def _fcs(path, kind, order, bits, rows, extra=(), total=None):
@@ -109,6 +132,11 @@ def test_fasta_and_enzymes(spark, tmp_path):
     (tmp_path / "s.fa").write_text(">one x\nacgtN\nTTaa\n>two\r\nGG-CC\r\n")
     got = {r["name"]: r["sequence"] for r in sequence_files.read_fasta(spark, str(tmp_path / "s.fa")).collect()}
     assert got == {"one x": "ACGTTTAA", "two": "GGCC"}
+    (tmp_path / "s.fa").write_text(">seq1 A->G mutant\nAC>GT\nTT\n>empty\n>last > one\nGGG")
+    (tmp_path / "t.fa").write_text("acgt\nNNAC\n>named\nTTT\n")
+    (tmp_path / "u.fa").write_text("ggcc\n")
+    got = sorted(tuple(r) for r in sequence_files.read_fasta(spark, str(tmp_path / "*.fa")).collect())
+    assert got == [("", "ACGTAC"), ("", "GGCC"), ("empty", ""), ("last > one", "GGG"), ("named", "TTT"), ("seq1 A->G mutant", "ACGTTT")]
     (tmp_path / "e.txt").write_text("# list\n\nEcoRI;gaattc;1;5\nbad;line\nNo;AC;x;1\n BamHI ; GGATCC;1;5\necori;AAAAAA;0;0\n")
     t = sequence_files.read_enzymes(spark, str(tmp_path / "e.txt"))
     assert [tuple(r) for r in t.collect()] == [("BamHI", "GGATCC", 1, 5), ("EcoRI", "GAATTC", 1, 5)]

@@ -202,3 +202,16 @@ def test_natural_order(spark):
     assert got == [("v2", "a"), ("v2", "b"), ("v10", "a"), ("none", "c")]
     nums = [r["x"] for r in selection.sort_numeric(frame(spark, [("10",), ("x",), (" 9 ",), ("",), ("-1e1",)], "x string", 3), "x").collect()]
     assert nums == ["-1e1", " 9 ", "10"]
+
+
+def test_narrow_ranges_are_spread_over_parts(spark):
+    """Large numbers in a narrow range share an arithmetic bucket; no part of it may hold more than a few percent."""
+    from omicframe.operators import ordering
+
+    df = spark.range(200_000).select((F.col("id") + 10**12).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
+    totals = ordering.running_totals(ordering.value_counts(df, "g", "v"), "g", "v", ["n_equal"])
+    sizes = [r["count"] for r in totals.groupBy("g", "_bucket").count().collect()]
+    assert max(sizes) < 0.02 * sum(sizes)
+    assert totals.where("before_n_equal <> floor((v - 1e12) / 2)").count() == 0
+    stats = ordering.order_statistics(df, "g", "v", {"low": F.lit(0), "mid": F.floor(F.col("n") / 2), "high": F.col("n") - 1}).orderBy("g").collect()
+    assert [(r.n, r.low - 1e12, r.mid - 1e12, r.high - 1e12, r.mid_below) for r in stats] == [(100_000, 0, 100_000, 199_998, 50_000), (100_000, 1, 100_001, 199_999, 50_000)]
