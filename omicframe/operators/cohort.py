@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .expression import filter_low_counts, merge_duplicate_genes, normalise_counts
-from .idmap import condition_of, patient_id
+from .idmap import condition_of, patient_id, strip_version
 from .selection import top_k
 from .sets import common_samples
 
@@ -49,12 +49,13 @@ def with_index_views(index: DataFrame) -> DataFrame:
 
 
 def preprocess_counts(
-    counts: DataFrame, samples: DataFrame, clinical: DataFrame, project_id: str, min_total: float = 10
+    counts: DataFrame, samples: DataFrame, clinical: DataFrame, project_id: str, min_total: float = 10, names: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Raw counts (gene, sample, value), sample types and clinical rows -> (expression, genes, samples).
 
     All-zero genes go, versions are stripped and duplicates merged, low totals go, samples without description
-    go, and values are normalised by size factors. Gene and sample numbers follow name order.
+    go, and values are normalised by size factors. Gene and sample numbers follow name order. ``names`` (gene,
+    gene_name; versions are ignored, the first name in order counts) fills gene_name, which is '' without one.
     """
     nonzero = filter_low_counts(counts, "gene", "value", min_total=0)
     kept = filter_low_counts(merge_duplicate_genes(nonzero), "gene", "value", min_total)
@@ -64,9 +65,11 @@ def preprocess_counts(
         out, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(c)) - 1
     )
     # Name lists of one cohort: tens of thousands of genes, thousands of samples.
-    genes = number(common, "gene", "gene_idx").select(
-        F.lit(project_id).alias("project_id"), "gene_idx", F.col("gene").alias("gene_id"), F.lit("").alias("gene_name")
-    )
+    genes = number(common, "gene", "gene_idx").withColumn("gene_name", F.lit(""))
+    if names is not None:
+        known = names.groupBy(strip_version("gene").alias("gene")).agg(F.min("gene_name").alias("_name"))
+        genes = genes.join(known, "gene", "left").withColumn("gene_name", F.coalesce("_name", "gene_name"))
+    genes = genes.select(F.lit(project_id).alias("project_id"), "gene_idx", F.col("gene").alias("gene_id"), "gene_name")
     numbered = number(common, "sample", "sample_idx").join(samples, "sample")
     dim = join_clinical(
         numbered.select(

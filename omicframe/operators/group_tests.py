@@ -42,11 +42,14 @@ def _cols() -> tuple[Column, ...]:
     return tuple(F.col(c) for c in ("n1", "mean1", "var1", "n2", "mean2", "var2"))
 
 
-def with_welch(df: DataFrame) -> DataFrame:
-    """Add t, df, p of the cohort form: a group under two values or no variance gives t 0, p 1."""
+def with_welch(df: DataFrame, least_se: float = 0.0) -> DataFrame:
+    """Add t, df, p of the cohort form: a group under two values or no variance gives t 0, p 1.
+
+    The table form takes a standard error under ``least_se`` (there 1e-10) as none.
+    """
     n1, m1, v1, n2, m2, v2 = _cols()
     se2 = v1 / n1 + v2 / n2
-    ok = (n1 >= 2) & (n2 >= 2) & (se2 > 0)
+    ok = (n1 >= 2) & (n2 >= 2) & (se2 > 0) & (F.sqrt(se2) >= least_se)
     return (
         df.withColumn("t", guarded(ok, (m1 - m2) / F.sqrt(se2), 0.0))
         .withColumn("df", guarded(ok, satterthwaite(v1 / n1, n1, v2 / n2, n2), n1 + n2 - 2))
@@ -129,28 +132,34 @@ def paired_ttest(df: DataFrame, by, pair_id: str, group: str, value: str, g1, g2
     )
 
 
+_BLOCKS = 8  # tasks that one group's pairs are spread over
+
+
 def unordered_pairs(table: DataFrame, by, key: str, columns: list[str]) -> DataFrame:
     """All pairs key_1 < key_2 within ``by`` of an *aggregated* table, columns suffixed 1 and 2.
 
-    The table has one row per group level, so the output is the report itself (k(k-1)/2 comparisons).
+    The table has one row per group level, so the output is the report itself (k(k-1)/2 comparisons). Left levels are
+    dealt into blocks and right levels go to each block, so the join has a key also where ``by`` is empty.
     """
     by = as_list(by)
-    left = table.select(*by, F.col(key).alias(f"{key}_1"), *[F.col(c).alias(f"{c}1") for c in columns])
+    block = F.pmod(F.xxhash64(key), F.lit(_BLOCKS)).cast("int")
+    left = table.select(*by, block.alias("__block"), F.col(key).alias(f"{key}_1"), *[F.col(c).alias(f"{c}1") for c in columns])
     right = table.select(
         *[F.col(b).alias(f"__{b}") for b in by],
+        F.explode(F.sequence(F.lit(0), F.lit(_BLOCKS - 1))).alias("__to"),
         F.col(key).alias(f"{key}_2"),
         *[F.col(c).alias(f"{c}2") for c in columns],
     )
-    cond = F.col(f"{key}_1") < F.col(f"{key}_2")
+    cond = (F.col("__block") == F.col("__to")) & (F.col(f"{key}_1") < F.col(f"{key}_2"))
     for b in by:
         cond = cond & left[b].eqNullSafe(right[f"__{b}"])
-    return left.join(right, cond).drop(*[f"__{b}" for b in by])
+    return left.join(right, cond).drop("__block", "__to", *[f"__{b}" for b in by])
 
 
 def choose_ttest(pairs: DataFrame, auto_variance: bool = True, tail: str = "two") -> DataFrame:
     """Welch or Student per pair (by the variance test when ``auto_variance``), then the tail rule."""
     tested = with_variance_ratio(pairs)
-    w = with_welch(tested).withColumnsRenamed({"t": "t_w", "df": "df_w", "p_value": "p_w"})
+    w = with_welch(tested, least_se=1e-10).withColumnsRenamed({"t": "t_w", "df": "df_w", "p_value": "p_w"})
     s = with_student(w).withColumnsRenamed({"t": "t_s", "df": "df_s", "p_value": "p_s"})
     welch = (F.col("p_f") <= 0.05) if auto_variance else F.lit(True)
     out = (

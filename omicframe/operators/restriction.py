@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import spread
 from ..functions.sequences import IUPAC, IUPAC_BASES, IUPAC_COMPLEMENT, ascii_slice, clean_sequence, match_starts, reverse_complement_n
 
-CHUNK = 65_536
+CHUNK = 2048
 
 
 @dataclass(frozen=True)
@@ -115,15 +116,20 @@ def _probes(enzymes: Sequence[Enzyme]) -> Column:
 
 
 def _greedy(starts: Column, size: Column) -> Column:
-    """Leftmost non-overlapping subset of ascending starts."""
-    walk = F.aggregate(
-        starts,
-        F.struct(F.lit(-1).alias("free"), F.array().cast("array<int>").alias("out")),
-        lambda acc, s: F.when(
-            s >= acc["free"], F.struct((s + size).alias("free"), F.concat(acc["out"], F.array(s)).alias("out"))
-        ).otherwise(F.struct(acc["free"].alias("free"), acc["out"].alias("out"))),
-    )
-    return walk["out"]
+    """Leftmost non-overlapping subset of ascending starts, in one linear walk."""
+
+    def walk(lists: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for places, n in zip(lists, sizes):
+            kept, free = [], -1
+            for at in places.tolist():
+                if at >= free:
+                    kept.append(at)
+                    free = at + n
+            out.append(kept)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(walk, "array<int>")(starts, size)
 
 
 def _scan(seqs: DataFrame, enzymes: Sequence[Enzyme], key: str, sequence: str, overlapping: bool, wrap_origin: bool, chunk: int):
@@ -157,15 +163,12 @@ def _scan(seqs: DataFrame, enzymes: Sequence[Enzyme], key: str, sequence: str, o
         return F.filter(found, lambda s: (s < F.col("_at") + chunk) & (s < F.col("n")))
 
     cols = [key, "n", "enzyme_no", "enzyme", "site_len", "shift", "is_reverse"]
-    crossing = F.col("can_overlap") & (F.col("n") > chunk)
+    crossing = F.col("can_overlap")
     if overlapping:
         return tried.select(*cols, starts_of(tried, True).alias("starts"))
-    # A site that cannot overlap itself, or a sequence in one chunk, is settled row by row. Chains of overlapping
-    # matches that may cross a chunk border are settled per sequence, on the starts alone.
-    local = tried.where(~crossing).select(
-        *cols,
-        F.when(F.col("can_overlap"), starts_of(tried, False)).otherwise(starts_of(tried, True)).alias("starts"),
-    )
+    # A site that cannot overlap itself is settled row by row. Chains of overlapping matches, which may cross a chunk
+    # border, are settled per sequence, on the starts alone, whatever its length.
+    local = tried.where(~crossing).select(*cols, starts_of(tried, True).alias("starts"))
     if not any(_can_overlap(s) for e in enzymes for s in (e.site, e.rc)):
         return local
     chained = (
@@ -271,6 +274,11 @@ def fragments(cuts: DataFrame, lengths: DataFrame, key: str = "seq_id", circular
     )
 
 
+def by_size(found: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Fragments with their 1-based ``size_rank`` in their sequence: longest first, of equal ones the earlier."""
+    return found.withColumn("size_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("size"), "start", "end")))
+
+
 def digest(
     seqs: DataFrame,
     enzymes: Sequence[Enzyme],
@@ -283,7 +291,7 @@ def digest(
 ) -> DataFrame:
     """Fragments of every sequence under the given enzymes, with their text when ``with_sequence``.
 
-    Order by size descending for the report. Without texts only positions are shuffled.
+    ``by_size`` ranks them for the report. Without texts only positions are shuffled.
     """
     cleaned = seqs.select(key, clean_sequence(sequence, "iupac").alias("_s")).where(F.length("_s") > 0)
     out = fragments(

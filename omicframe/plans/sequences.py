@@ -181,19 +181,24 @@ c AS ({_sql_sites(_PICK, _DNA)}), d AS (SELECT seq_id, length(s) AS n, s FROM ({
 m AS (SELECT seq_id, position, arg_min(enzyme, enzyme_no) AS enzyme FROM c WHERE position >= 0 GROUP BY ALL)"""
 
 
-@query(
-    "digest_linear",
-    f"""WITH {_MARKS},
+_FRAGMENTS = f"""WITH {_MARKS},
 b AS (SELECT seq_id, n, position AS p, enzyme FROM m JOIN d USING (seq_id) UNION ALL SELECT seq_id, n, 0, NULL FROM d
   WHERE seq_id NOT IN (SELECT seq_id FROM m WHERE position <= 0)),
 f AS (SELECT seq_id, n, p AS start, enzyme AS enzyme5, lead(p) OVER w AS nx, lead(enzyme) OVER w AS enzyme3 FROM b WINDOW w AS (PARTITION BY seq_id ORDER BY p)),
 g AS (SELECT seq_id, n, start, coalesce(nx, n) AS stop, enzyme5, CASE WHEN nx IS NOT NULL THEN enzyme3 END AS enzyme3 FROM f)
-SELECT seq_id, start, stop - 1 AS "end", stop - start AS size, enzyme5, enzyme3 FROM g WHERE stop > start AND stop <= n""",
-)
+SELECT seq_id, start, stop - 1 AS "end", stop - start AS size, enzyme5, enzyme3 FROM g WHERE stop > start AND stop <= n"""
+
+
+@query("digest_linear", _FRAGMENTS)
 def q_digest(spark, sf):
     return rs.digest(_dna(spark, sf), _PICK)
 
 
+@query("digest_by_size", f"SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY size DESC, start, \"end\") AS size_rank FROM ({_FRAGMENTS})")
+def q_digest_by_size(spark, sf):
+    return rs.by_size(rs.digest(_dna(spark, sf), _PICK))
+
+
 @query(
     "digest_circular",
     f"""WITH {_MARKS},
