@@ -389,3 +389,33 @@ def test_pair_summary(spark):
             score -= abs(60 - s[f"{p}_tm"]) + 2 * s[f"{p}_self_comp"] + 3 * s[f"{p}_hairpin"]
         assert s["hetero_dimer"] == hd and s["overall"] == pytest.approx(max(0, score))
         assert ("hetero-dimer risk" in s["warnings"]) == (hd >= 4) and ("Tm difference above 5 C" in s["warnings"]) == (diff > 5)
+
+
+def test_intervals_across_bins(spark, monkeypatch):
+    """The same rows whatever the bins: exons, coding positions and fragments that touch several bins."""
+    from omicframe.operators import intervals as iv
+
+    points = spark.createDataFrame([(1, p) for p in range(0, 90, 4)] + [(2, 5), (3, None)], "seq_id long, position int")
+    parts = spark.createDataFrame([(1, 1, 3, 20), (1, 2, 18, 60), (2, 1, 5, 5)], "seq_id long, exon int, start int, end int")
+    marks = spark.createDataFrame([(1, a, a + n) for a in range(0, 80, 7) for n in (1, 9, 30)], "seq_id long, start int, end int")
+    pieces = spark.createDataFrame([(1, 0, 40), (1, 40, 50), (2, 0, 9)], "seq_id long, start int, size int")
+
+    def rows():
+        cds = parts.where("exon = 1 or start > 20").select("seq_id", "start", "end")
+        found = (iv.exon_of(points, parts), iv.to_cds(points, cds), iv.features_in_fragments(marks, pieces))
+        return [sorted(map(str, f.collect())) for f in found]
+
+    whole = rows()
+    assert len(whole[0]) == 25 and any("exon=2" in r for r in whole[0]) and len(whole[2]) > 10
+    for width in (3, 8, 64):
+        monkeypatch.setattr(iv, "BIN", width)
+        assert rows() == whole
+
+
+def test_windows_with_other_letters_are_left_out():
+    from omicframe.functions import oligos as og
+
+    text = "ACGTTGCANACGGTCATGCC"
+    got = og.window_table(text, 5, 7, "", og.Ions())
+    want = {(i, k) for k in (5, 6, 7) for i in range(len(text) - k + 1) if "N" not in text[i : i + k]}
+    assert set(zip(got["start"], got["length"])) == want
