@@ -43,9 +43,9 @@ def sketches(items: DataFrame, threshold: float, k: int = SHINGLE) -> DataFrame:
     by size, a class for each power of two."""
     each = shingles(items.select(F.col("item_id"), words(F.col("text")).alias("words")), ["item_id"], k)
     each = each.select("item_id", "h").distinct()
-    sized = each.groupBy("item_id").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("item_id").orderBy("h"))
-    kept = each.join(sized, "item_id").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
+    item = W.partitionBy("item_id")
+    ranked = each.withColumn("n", F.count("*").over(item)).withColumn("rank", F.row_number().over(item.orderBy("h")))
+    kept = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
     return kept.select("item_id", "n", F.floor(F.log2("n")).cast("int").alias("size_class"), "h")
 
 

@@ -75,7 +75,7 @@ def test_contained(spark):
             at = rng.randint(0, len(t))
             t[at:at] = item
         rows.append((i, ", ".join(t).upper()))
-    rows += [(500, None), (501, ""), (5, items[0][1]), (None, items[4][1]), (502, (items[5][1] + " ") * 3000)]
+    rows += [(500, None), (501, ""), (5, items[0][1]), (None, items[4][1]), (503, items[-1][1]), (502, (items[5][1] + " ") * 3000)]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n int")
     got = decontam.contained(docs(spark, rows), bench)
     want = {}
