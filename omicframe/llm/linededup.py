@@ -30,10 +30,10 @@ def _ranked(keys: DataFrame, name: str) -> DataFrame:
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, th, idx, words, r0): every place of a line that stands in more than one place of the table; idx counts the
     lines of its document that are not blank, r0 is the line's id. Lines are equal without white space at their ends."""
-    each = _own(docs, id_col, text_col).distinct().select(*DOC, F.posexplode("lines").alias("idx", "line"))
+    each = _own(docs, id_col, text_col).select(*DOC, F.posexplode("lines").alias("idx", "line"))
     bare = F.regexp_replace("line", rf"^{BLANK}+|{BLANK}+$", "")
     n = F.size(F.split(bare, f"{BLANK}+"))
-    each = cut(each.select(*DOC, "idx", n.alias("words"), F.unhex(F.md5(bare)).alias("digest")), "lines")
+    each = cut(each.select(*DOC, "idx", n.alias("words"), F.unhex(F.md5(bare)).alias("digest")).distinct(), "lines")  # repeated rows once
     ids = _ranked(each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "r0")
     return each.join(ids, "digest").drop("digest")
 
