@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the fitting sample: rows nearest to 0 by a hash of their id.
-POSITIVES, UNLABELLED = 6000, 12_000
+POSITIVES, UNLABELLED = 4000, 8000
 
 
 def _classes() -> np.ndarray:
@@ -58,8 +58,9 @@ def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
     """A linear score that minimises the non-negative unbiased risk
     prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)]) with the logistic loss; where the second part
     is negative its gradient is turned round. Adam on the whole sample; the same sample gives the same weights."""
-    both = np.vstack([positive, unlabelled])
-    mean, spread = both.mean(0), both.std(0) + 1e-3
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(0, dtype=float) + unlabelled.sum(0, dtype=float)) / n
+    spread = np.sqrt((((positive - mean) ** 2).sum(0) + ((unlabelled - mean) ** 2).sum(0)) / n) + 1e-3
     p, u = (np.hstack([(x - mean) / spread, np.ones((len(x), 1))]).clip(-8, 8).astype(np.float32) for x in (positive, unlabelled))
     w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-z.clip(-30, 30)))
@@ -81,7 +82,7 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def _featured(texts: pd.Series) -> pd.Series:
-    return pd.Series([features(t) for t in texts])
+    return pd.Series([features(t).astype("<f4").tobytes() for t in texts])
 
 
 def _nearest(ids: DataFrame, n: int) -> DataFrame:
@@ -111,9 +112,12 @@ def train(docs: DataFrame, labels: DataFrame, fold, id_col: str = "doc_id", text
     u = _nearest(ids.where(fold(F.col("id"))).distinct(), unlabelled).withColumn("positive", F.lit(False))
     wanted = p.union(u)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sample = texts.join(F.broadcast(wanted), "id").select("id", "positive", F.pandas_udf(_featured, "array<double>")("text").alias("x")).toPandas()  # at most positives + unlabelled rows
-    sample = sample.drop_duplicates(["id", "positive"]).sort_values(["positive", "id"])
-    pos, unl = (np.array(sample.loc[sample["positive"] == k, "x"].tolist(), float).reshape(-1, N_FEATURES) for k in (True, False))
+    sample = texts.join(F.broadcast(wanted), "id").select("positive", "id", F.pandas_udf(_featured, "binary")("text").alias("x"))
+    rows: dict[tuple[bool, int], bytes] = {}
+    for r in sample.collect():  # at most positives + unlabelled ids, about 1 KB each
+        rows[r.positive, r.id] = min(r.x, rows.get((r.positive, r.id), r.x))
+    pos, unl = (np.frombuffer(b"".join(rows[k] for k in sorted(rows) if k[0] == want), "<f4").reshape(-1, N_FEATURES) for want in (True, False))
+    del rows
     return fitted(pos, unl, prior) if len(pos) and len(unl) else None
 
 

@@ -63,7 +63,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def variants(fps: DataFrame, distance: int) -> DataFrame:
+def variants(fps: DataFrame, distance: int, within: tuple[str, ...] = ()) -> DataFrame:
     """Every fingerprint's index keys: each segment whole, and each segment with one bit left out (with that bit's
     value as ``side``). Two fingerprints whose segment is equal share the whole one; two whose segment differs in one
     bit share the variant without it, from opposite sides."""
@@ -80,10 +80,10 @@ def variants(fps: DataFrame, distance: int) -> DataFrame:
         )
         for tag, mask, p in keys
     ]
-    return fps.select("fp", F.explode(F.array(*rows)).alias("k")).select("fp", "k.*")
+    return fps.select(*within, "fp", F.explode(F.array(*rows)).alias("k")).select(*within, "fp", "k.*")
 
 
-def _midpoints(hot: DataFrame, distance: int) -> DataFrame:
+def _midpoints(hot: DataFrame, distance: int, within: tuple[str, ...]) -> DataFrame:
     """Links inside very large buckets without pairing their members. Members agree on a segment (but for the bit left
     out), so two linked ones have a point between them: at most half the distance from each in the other bits, or one
     step less on one side where the left-out bit differs. Conversely, all that reach one point are within ``distance``
@@ -94,12 +94,13 @@ def _midpoints(hot: DataFrame, distance: int) -> DataFrame:
         one_out = F.col("tag").between(low, low + bits - 1)
         for members, reach in ((F.col("tag") == EXACT + s, half), (one_out & (F.col("side") == 0), half), (one_out & (F.col("side") == 1), half - 1)):
             flips = F.array(*[F.lit(_signed(m)) for m in _masks(others, reach)])
-            parts.append(hot.where(members).select("tag", "bits", "side", "fp", F.explode(flips).alias("flip")))
+            parts.append(hot.where(members).select(*within, "tag", "bits", "side", "fp", F.explode(flips).alias("flip")))
     points = reduce(DataFrame.union, parts)
     out = F.when(F.col("side") == 1, F.expr("shiftleft(1L, cast(tag as int))")).otherwise(F.lit(0))
-    keyed = points.select("tag", "bits", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseXOR(out).alias("point"), "fp")
-    least = keyed.groupBy("tag", "bits", "point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(least, ["tag", "bits", "point"]).select("a", F.col("fp").alias("b")).where("a <> b").distinct()
+    at = [*within, "tag", "bits", "point"]
+    keyed = points.select(*within, "tag", "bits", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseXOR(out).alias("point"), "fp")
+    least = keyed.groupBy(*at).agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(least, at).select(*within, "a", F.col("fp").alias("b")).where("a <> b").distinct()
 
 
 def _masks(positions: list[int], reach: int) -> list[int]:
@@ -111,8 +112,9 @@ def _masks(positions: list[int], reach: int) -> list[int]:
     return found
 
 
-def links(fps: DataFrame, distance: int = 4, large: int = 2000) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints (column ``fp``) that connect exactly those at ``distance`` or fewer bits.
+def links(fps: DataFrame, distance: int = 4, large: int = 2000, within: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (within, a, b) of distinct fingerprints (column ``fp``) that connect exactly those at ``distance`` or fewer
+    bits that agree in the columns ``within``.
 
     In a bucket of up to ``large`` members the pairs are checked inside the join, so at most ``large`` comparisons fall
     to a member of each; larger buckets are linked through midpoints, with a fixed
@@ -121,26 +123,27 @@ def links(fps: DataFrame, distance: int = 4, large: int = 2000) -> DataFrame:
     """
     if distance not in (2, 4):
         raise ValueError("distance: 2 or 4")
-    keys = variants(fps, distance)
-    buckets = keys.groupBy("tag", "bits").agg(F.count("*").alias("n"))
-    over = cut(buckets.where(F.col("n") > large).select("tag", "bits"), "simhash-large")
-    light = keys.join(over, ["tag", "bits"], "left_anti")
+    at = [*within, "tag", "bits"]
+    keys = variants(fps, distance, within)
+    buckets = keys.groupBy(*at).agg(F.count("*").alias("n"))
+    over = cut(buckets.where(F.col("n") > large).select(*at), "simhash-large")
+    light = keys.join(over, at, "left_anti")
     a, b = light.alias("a"), light.alias("b")
+    pair = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in at])
     pair = (
-        (F.col("a.tag") == F.col("b.tag"))
-        & (F.col("a.bits") == F.col("b.bits"))
+        pair
         & (F.col("a.fp") < F.col("b.fp"))
         & ((F.col("a.tag") >= EXACT) | (F.col("a.side") != F.col("b.side")))
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
     )
-    found = a.join(b, pair).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    heavy = keys.join(over, ["tag", "bits"], "left_semi")
-    return found.union(_midpoints(heavy, distance)).distinct()
+    found = a.join(b, pair).select(*[F.col(f"a.{c}").alias(c) for c in within], F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    heavy = keys.join(over, at, "left_semi")
+    return found.union(_midpoints(heavy, distance, within)).distinct()
 
 
-def _spread(fps: DataFrame) -> DataFrame:
+def _spread(fps: DataFrame, *columns: str) -> DataFrame:
     """Distinct fingerprints of a stored table over tasks of about ``EACH_TASK``, as each becomes many index keys."""
-    return fps.select("fp").repartition(max(1, fps.count() // EACH_TASK))
+    return fps.select(*columns, "fp").repartition(max(1, fps.count() // EACH_TASK))
 
 
 def near_duplicates(
@@ -201,26 +204,23 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
     fps = [fingerprint(1, 42 + v, once=True)("text").alias(f"f{v}") for v in range(views)]
     marked = cut(read.select("id", F.xxhash64("text").alias("th"), *fps), "simhash-views")
     distinct = cut(marked.groupBy("th").agg(*[F.first(f"f{v}").alias(f"f{v}") for v in range(views)]), "simhash-texts")
-    found = None
-    for v in range(views):
-        own = distinct.select("th", F.col(f"f{v}").alias("fp"))
-        first = cut(own.groupBy("fp").agg(F.min("th").alias("head")), "simhash-first")
-        linked = links(_spread(first), 4, large)
-        ends = [first.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in ("a", "b")]
-        between = linked.join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-        within = own.join(first, "fp").where("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
-        here = cut(between.union(within), "simhash-links")
-        found = here if found is None else found.union(here)
+    each = F.array(*[F.struct(F.lit(v).alias("view"), F.col(f"f{v}").alias("fp")) for v in range(views)])
+    own = distinct.select("th", F.explode(each).alias("v")).select("th", "v.view", "v.fp")
+    first = cut(own.groupBy("view", "fp").agg(F.min("th").alias("head")), "simhash-first")
+    linked = links(_spread(first, "view"), 4, large, ("view",))
+    ends = [first.select("view", F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in ("a", "b")]
+    between = linked.join(ends[0], ["view", "a"]).join(ends[1], ["view", "b"]).select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    within = own.join(first, ["view", "fp"]).where("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
+    found = between.union(within).where("a <> b")
     edges = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-edges")
-    stars = components(edges)
+    stars = components(edges).select(F.col("root").alias("a"), F.col("node").alias("b"))
     nodes = edges.select(F.col("a").alias("th")).union(edges.select("b")).distinct()
     texts = cut(read.withColumn("th", F.xxhash64("text")).join(nodes, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text")), "simhash-compared")
-    sure = _verified(stars.select(F.col("root").alias("a"), F.col("node").alias("b")), texts, threshold, shingle)
-    roots = cut(components(sure), "simhash-roots")
-    at = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+    sure = _verified(stars, texts, threshold, shingle)  # stars again: each text is checked against one other
+    at = [sure.select(F.col("b").alias(c), F.col("a").alias(f"{c}_root")) for c in ("a", "b")]
     open_ = edges.join(at[0], "a", "left").join(at[1], "b", "left")
-    open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    more = _verified(open_.join(stars.select(F.col("root").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"), texts, threshold, shingle)
+    open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").join(stars, ["a", "b"], "left_anti")
+    more = _verified(open_, texts, threshold, shingle)
     roots = components(sure.union(more))
     classed = distinct.select("th").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     named = cut(marked.select("id", "th").distinct().join(classed, "th"), "simhash-classes")
