@@ -66,8 +66,9 @@ def made(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_removed_bytes(spark, monkeypatch, seed):
+@pytest.mark.parametrize("seed, hot", [(1, 500), (2, 2)])
+def test_removed_bytes(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "CHUNK", 3000)
     monkeypatch.setattr(substrings, "BUCKET_GRAMS", 300)
     monkeypatch.setattr(substrings, "SORT_BYTES", 2000)
