@@ -5,6 +5,8 @@ Raw rows are aggregated once (Levene once more, around the medians); all else wo
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,28 +225,28 @@ def anova_posthoc(df: DataFrame, by, group: str, value: str, reference_formula:
 
 
 def anova_twoway(
-    df: DataFrame, a: str, b: str, value: str, ss_type: int = 3, interaction: bool = True
+    df: DataFrame, a: str, b: str, value: str, ss_type: int = 3, interaction: bool = True, by=None
 ) -> DataFrame:
-    """Two-way ANOVA table: one row each for A, B, the interaction, error and total.
+    """Two-way ANOVA table: one row each for A, B, the interaction, error and total, for each ``by``.
 
     Sums of squares use the raw marginal means, also for unbalanced designs (where type III is forced), and
     the interaction is not pooled into the error when it is left out. A missing cell gives an empty table.
     """
-    return _twoway_from_margins(marginal_means(df, a, b, value), a, b, ss_type, interaction)
+    return _twoway_from_margins(marginal_means(df, a, b, value, by), a, b, ss_type, interaction, as_list(by))
 
 
-def _twoway_from_margins(m: DataFrame, a: str, b: str, ss_type: int, interaction: bool) -> DataFrame:
+def _twoway_from_margins(m: DataFrame, a: str, b: str, ss_type: int, interaction: bool, by: Sequence[str] = ()) -> DataFrame:
     cell = m.where(F.col("level") == "cell").select(
-        a, b, F.col("n").alias("n_c"), F.col("mean").alias("m_c"), F.col("ss").alias("ss_c")
+        *by, a, b, F.col("n").alias("n_c"), F.col("mean").alias("m_c"), F.col("ss").alias("ss_c")
     )
-    row = m.where(F.col("level") == "a").select(a, F.col("n").alias("n_a"), F.col("mean").alias("m_a"))
-    col = m.where(F.col("level") == "b").select(b, F.col("n").alias("n_b"), F.col("mean").alias("m_b"))
+    row = m.where(F.col("level") == "a").select(*by, a, F.col("n").alias("n_a"), F.col("mean").alias("m_a"))
+    col = m.where(F.col("level") == "b").select(*by, b, F.col("n").alias("n_b"), F.col("mean").alias("m_b"))
     # The cell table has (levels of A) x (levels of B) rows; weights spread a margin over its cells.
-    joined = null_safe_join(null_safe_join(cell, row, [a]), col, [b])
-    total = joined.agg((F.sum(F.col("n_c") * F.col("m_c")) / F.sum("n_c")).alias("g"))
-    wide = attach_summary(joined, total)
+    joined = null_safe_join(null_safe_join(cell, row, [*by, a]), col, [*by, b])
+    total = joined.groupBy(*by).agg((F.sum(F.col("n_c") * F.col("m_c")) / F.sum("n_c")).alias("g"))
+    wide = null_safe_join(joined, total, by)
     g = F.col("g")
-    sums = wide.agg(
+    sums = wide.groupBy(*by).agg(
         F.sum("n_c").alias("n"),
         F.count_distinct(a).alias("ka"),
         F.count_distinct(b).alias("kb"),
@@ -284,11 +286,11 @@ def _twoway_from_margins(m: DataFrame, a: str, b: str, ss_type: int, interaction
     f = F.when(effect, guarded(ms_err > _TINY, F.col("ms") / ms_err, 0.0))
     return (
         sums.withColumn("df_err", df_err)
-        .select("ss_err", "df_err", balanced.alias("balanced"), F.inline(F.array(*rows)))
+        .select(*by, "ss_err", "df_err", balanced.alias("balanced"), F.inline(F.array(*rows)))
         .withColumn("ms", F.when(F.col("source") != "Total", guarded(F.col("df") > 0, F.col("ss") / F.col("df"), 0.0)))
         .withColumn("f", f)
         .withColumn("p_value", F.when(effect, f_upper("f", "df", "df_err")))
-        .select("source", "ss", "df", "ms", "f", "p_value", "balanced")
+        .select(*by, "source", "ss", "df", "ms", "f", "p_value", "balanced")
     )
 
 

@@ -139,15 +139,16 @@ def error_value(kind: str, sd: str = "sd", sem: str = "sem", n: str = "n", t_tab
     return F.lit(0.0)
 
 
-def marginal_means(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
-    """n, mean, sum of squares about the cell mean for cells, rows, columns and the total in one pass.
+def marginal_means(df: DataFrame, a: str, b: str, value: str, by=None) -> DataFrame:
+    """n, mean, sum of squares about the cell mean for cells, rows, columns and the total in one pass, for each ``by``.
 
     ``level`` is cell, a, b or total; the columns not in the level are NULL.
     """
+    by = as_list(by)
     level = F.grouping_id()
     return (
         df.where(F.col(value).isNotNull())
-        .groupingSets([(a, b), (a,), (b,), ()], a, b)
+        .groupingSets([(*by, a, b), (*by, a), (*by, b), tuple(by)], *by, a, b)
         .agg(
             F.count(value).alias("n"),
             F.avg(value).alias("mean"),
@@ -155,6 +156,7 @@ def marginal_means(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
             level.alias("_gid"),
         )
         .select(
+            *by,
             F.element_at(
                 F.create_map(F.lit(0), F.lit("cell"), F.lit(1), F.lit("a"), F.lit(2), F.lit("b"), F.lit(3), F.lit("total")),
                 F.col("_gid").cast("int"),

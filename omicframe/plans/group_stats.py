@@ -478,6 +478,18 @@ def q_twoway(spark, sf):
     return rounded(res, 6, ss=2, ms=2)
 
 
+_TWO_BY = " UNION ALL ".join(
+    f"SELECT {k} AS l_linenumber, * FROM ({_twoway_sql(3, True, f'(SELECT * FROM lineitem WHERE l_linenumber = {k})', 'l_returnflag', 'l_linestatus', 'l_quantity')})"
+    for k in range(1, 8)
+)
+
+
+@query("anova_twoway_by", _TWO_BY)
+def q_twoway_by(spark, sf):
+    res = anova.anova_twoway(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", by="l_linenumber")
+    return rounded(res, 6, ss=2, ms=2)
+
+
 @query("anova_twoway_additive", _twoway_sql(3, False, "lineitem", "l_returnflag", "l_linestatus", "l_quantity"))
 def q_twoway_additive(spark, sf):
     res = anova.anova_twoway(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", 3, False)
