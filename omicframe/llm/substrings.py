@@ -3,13 +3,15 @@
 Texts lie in chunks of some documents each. Every window of ``length`` bytes names its least 20-byte gram; equal windows
 name equal grams, so windows are compared only under one gram. Four passes, each over chunks or over buckets of grams:
 
-1. each chunk sends the hashes of its grams to their buckets, which tell the chunks which ones lie in two documents;
-2. for those, each chunk sends its different stretches of windows under one gram, with the smallest document of each;
+1. each chunk sends the hashes of the least grams of shorter windows to their buckets, which tell the chunks which ones
+   lie in two documents;
+2. for windows all of whose grams do, each chunk sends its different stretches of windows under one gram, with the smallest document of each;
 3. each bucket sorts the suffixes of its stretches and tells for each window the smallest document that has it;
 4. each chunk removes what its documents share with smaller ones.
 
 A chunk sends a gram, or a stretch, once, whatever the number of its documents that hold it, so a passage that a third
-of all documents share costs its bucket one row a chunk.
+of all documents share costs its bucket one row a chunk. A gram of very many chunks, which may stand in as many different
+texts (where a common line ends, say), has its windows dealt out singly by their last eight bytes too.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .suffixes import least_owner, minimizers
+from .suffixes import GRAM, gram_hashes, least_owner, minimizers
 
-CHUNK, BUCKET_GRAMS, SORT_BYTES = 2_000_000, 400_000, 1_000_000
+CHUNK, BUCKET_GRAMS, SORT_BYTES = 1_000_000, 400_000, 250_000
+#: A gram that so many chunks hold is dealt out by its windows' last bytes as well.
+HOT = 1000
 _NO_ID = -(2**63)
 
 
@@ -72,14 +76,14 @@ class Chunk:
     def digests(self) -> list[bytes]:
         return [hashlib.blake2b(self.raw[a : a + n], digest_size=16).digest() for a, n in zip(self.first.tolist(), self.lengths.tolist())]
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts of windows, places of their grams, hashes of those) without windows of texts that are copies."""
-        starts, places, h = minimizers(self.b, self.lengths, self.length)
-        return starts, places, h[places] if len(places) else np.zeros(0, np.uint64)
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, places of their grams, gram hashes) of shorter windows, some of which lie in every window."""
+        h = gram_hashes(self.b)
+        return *minimizers(h, self.lengths, self.length - (self.length - GRAM) // 2), h
 
     def document(self, at: np.ndarray) -> np.ndarray:
-        """The document that each place lies in (empty documents hold none)."""
-        return np.searchsorted(self.first + self.lengths, at, side="right")
+        """The document that each place lies in."""
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)[at]
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -118,15 +122,13 @@ def _asked(length: int, bits: int):
         for batch in batches:
             for r in batch.to_pylist():
                 c, rows = Chunk(r["ids"], r["lengths"], r["text"], length), []
-                starts, places, h = c.grams()
+                starts, places, h = c.asked()
                 new = np.concatenate([[True], places[1:] != places[:-1]]) if len(places) else np.zeros(0, bool)
-                h, doc = h[new], c.document(starts[new])
-                order = np.lexsort((doc, h))
+                h, doc = h[places[new]], c.document(starts[new])
+                order = np.argsort(h)
                 h, doc = h[order], doc[order]
-                first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-                edges = np.nonzero(first)[0]
-                last = np.concatenate([edges[1:], [len(h)]])[: len(edges)] - 1
-                several = doc[edges] != doc[last] if len(edges) else np.zeros(0, bool)
+                edges = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0] if len(h) else np.zeros(0, np.int64)
+                several = np.minimum.reduceat(doc, edges) != np.maximum.reduceat(doc, edges) if len(h) else np.zeros(0, bool)
                 h = h[edges]
                 for b, a, z in _split(h, bits):
                     rows.append((b, r["chunk"], 0, _gram_keys(h[a:z], bits).tobytes(), np.packbits(several[a:z]).tobytes()))
@@ -144,8 +146,8 @@ def _asked(length: int, bits: int):
 
 
 def _answered(t: pa.Table) -> pa.Table:
-    """Pass 1, a bucket: for each row's keys in order, whether two documents hold the gram, or the smallest document of
-    the text."""
+    """Pass 1, a bucket: for each row's keys in order, whether two documents hold the gram (marks) and whether very many
+    chunks do (keys), or the smallest document of the text."""
     rows = t.to_pylist()
     out = []
     grams = [r for r in rows if r["kind"] == 0]
@@ -153,14 +155,17 @@ def _answered(t: pa.Table) -> pa.Table:
         keys = [np.frombuffer(r["keys"], np.uint32) for r in grams]
         several = [np.unpackbits(np.frombuffer(r["marks"], np.uint8), count=len(k)).astype(bool) for r, k in zip(grams, keys)]
         every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        s = every[order]
-        twice = np.concatenate([s[1:] == s[:-1], [False]]) | np.concatenate([[False], s[1:] == s[:-1]])
-        known = np.concatenate([s[:0], s[twice], every[np.concatenate(several)]])
-        hit = np.isin(every, known)
+        order = np.argsort(every)
+        s, twice = every[order], np.concatenate(several)[order]
+        edges = np.concatenate([[0], np.nonzero(s[1:] != s[:-1])[0] + 1])
+        n = np.diff(np.append(edges, len(s)))
+        hit, hot = np.empty(len(s), bool), np.empty(len(s), bool)
+        hit[order] = np.repeat((n > 1) | np.logical_or.reduceat(twice, edges), n)
+        hot[order] = np.repeat(n > HOT, n)
         at = 0
         for r, k in zip(grams, keys):
-            out.append((r["bucket"], r["chunk"], 0, None, np.packbits(hit[at : at + len(k)]).tobytes()))
+            here = slice(at, at + len(k))
+            out.append((r["bucket"], r["chunk"], 0, np.packbits(hot[here]).tobytes(), np.packbits(hit[here]).tobytes()))
             at += len(k)
     least: dict[bytes, int] = {}
     texts = [(r, [r["keys"][k : k + 16] for k in range(0, len(r["keys"]), 16)]) for r in rows if r["kind"] == 1]
@@ -176,28 +181,50 @@ def _stretches(c: Chunk, marks: pa.Table, bits: int) -> tuple[list[tuple[int, by
     """(stretches (gram hash, bytes) ascending, the (document, place) of each, copies): the windows of documents that
     are no copy of a smaller one, under grams of two documents, joined where they are neighbours under one gram. The
     same at each call."""
-    rows = {(r["kind"], r["bucket"]): r["marks"] for r in marks.to_pylist() if r["kind"] < 2}
+    rows = {(r["kind"], r["bucket"]): (r["marks"], r["keys"]) for r in marks.to_pylist() if r["kind"] < 2}
     least: dict[bytes, int] = {}
     by: dict[int, list[bytes]] = {}
     ds = c.digests()
     for d in sorted(set(ds)):
         by.setdefault(int.from_bytes(d[:8], "big") >> (64 - bits) if bits else 0, []).append(d)
     for b, group in by.items():
-        least.update(zip(group, np.frombuffer(rows[1, b], "<i8").tolist()))
+        least.update(zip(group, np.frombuffer(rows[1, b][0], "<i8").tolist()))
     copy = np.array([least[d] for d in ds], np.int64) < c.ids if len(ds) else np.zeros(0, bool)
-    starts, places, h = c.grams()
-    if not len(starts):
+    inner, inner_places, h = c.asked()
+    if not len(inner):
         return [], [], copy
-    every = np.unique(h)
-    hit = np.zeros(len(every), bool)
+    edges = np.concatenate([[0], np.nonzero(inner_places[1:] != inner_places[:-1])[0] + 1])
+    asked_at = inner_places[edges]
+    order = np.argsort(h[asked_at])
+    ordered = h[asked_at][order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    every = ordered[new]
+    hit, hot = np.zeros(len(every), bool), np.zeros(len(every), bool)
     for b, a, z in _split(every, bits):
-        hit[a:z] = np.unpackbits(np.frombuffer(rows[0, b], np.uint8), count=z - a)
+        hit[a:z], hot[a:z] = (np.unpackbits(np.frombuffer(x, np.uint8), count=z - a) for x in rows[0, b])
+    # a window lies in two documents only if the grams of all shorter windows in it do
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    shared = hit[number]
+    alone = np.zeros(len(c.raw) + 2, np.int32)
+    alone[inner[~np.repeat(shared, np.diff(np.append(edges, len(inner))))] + 1] = 1
+    alone = np.cumsum(alone, dtype=np.int32)
+    starts, places = minimizers(h, c.lengths, c.length)
+    keep = alone[starts + (c.length - GRAM) // 2 + 1] == alone[starts]
+    starts, places = starts[keep], places[keep]
     doc = c.document(starts)
-    keep = hit[np.searchsorted(every, h)] & ~copy[doc]
-    starts, places, h, doc = starts[keep], places[keep], h[keep], doc[keep]
+    keep = ~copy[doc]
+    starts, places, doc = starts[keep], places[keep], doc[keep]
     if not len(starts):
         return [], [], copy
+    h = h[places]
     new = np.concatenate([[True], (places[1:] != places[:-1]) | (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])])
+    if hot.any():
+        often = np.zeros(len(c.raw) + 1, bool)
+        often[asked_at[hot[number]]] = True
+        single = often[places]
+        new |= single | np.concatenate([[False], single[:-1]])
+        h[single] = gram_hashes(c.b, (c.length - 8,))[starts[single]] ^ h[single]
     edges = np.nonzero(new)[0]
     last = np.concatenate([edges[1:], [len(starts)]]) - 1
     found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
@@ -220,7 +247,8 @@ def _sent(length: int, bits: int):
             c = Chunk(r["ids"], r["lengths"], r["text"], length)
             keys, places, _ = _stretches(c, marks, bits)
             g = np.array([k for k, _ in keys], np.uint64)
-            least = np.array([min(int(c.ids[d]) for d, _ in p) for p in places], "<i8")
+            ids = c.ids.tolist()
+            least = np.array([ids[p[0][0]] if len(p) == 1 else min(ids[d] for d, _ in p) for p in places], "<i8")
             sizes = np.array([len(t) for _, t in keys], "<i4")
             for b, a, z in _split(g, bits):
                 rows.append((b, r["chunk"], g[a:z].tobytes(), sizes[a:z].tobytes(), least[a:z].tobytes(), b"".join(t for _, t in keys[a:z])))
@@ -294,7 +322,7 @@ def _removed(length: int, bits: int):
         for r in chunk.to_pylist():
             c = Chunk(r["ids"], r["lengths"], r["text"], length)
             keys, places, copy = _stretches(c, marks, bits)
-            cover = np.zeros(len(c.raw) + length + 1, np.int32)
+            cover, ids = np.zeros(len(c.raw) + length + 1, np.int32), c.ids.tolist()
             for b, a, _ in _split(np.array([k for k, _ in keys], np.uint64), bits):
                 n_own, n_flat = np.frombuffer(told[b][0], "<i8").tolist()
                 data = told[b][1]
@@ -304,7 +332,7 @@ def _removed(length: int, bits: int):
                 at = 0
                 for k, n in enumerate(runs):
                     for d, s in places[a + k]:
-                        own = int(c.ids[d])
+                        own = ids[d]
                         for m, low in zip(counts[at : at + n], owners[at : at + n]):
                             if low < own:
                                 cover[s] += 1
@@ -341,8 +369,8 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
         raise ValueError("length: 24 to 4096 bytes")
     stored = chunks(docs, id_col, text_col)
     total = stored.agg(F.sum("n")).first()[0] or 0
-    # about one gram in (length - 20) / 2 bytes
-    bits = min(24, max(0, int(2 * total / (length - 18) / BUCKET_GRAMS).bit_length()))
+    # about two grams in (length - 20) / 2 bytes
+    bits = min(24, max(0, int(4 * total / (length - 16) / BUCKET_GRAMS).bit_length()))
     asked = stored.mapInArrow(_asked(length, bits), _ASK)
     marks = cut(asked.groupBy("bucket").applyInArrow(_answered, _ASK), "gram-marks")
     sent = stored.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_sent(length, bits), _SEND)

@@ -19,16 +19,20 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     one = np.arange(1, n + (n % 3 == 1), 3)  # with a place past the end where that evens the halves
     sample = np.concatenate([one, np.arange(2, n, 3)])
     key = (t[sample] * base + t[sample + 1]) * base + t[sample + 2]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     names = np.empty(len(sample), np.int64)
     names[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
-    sa12 = sample[order] if names.max() == len(sample) else sample[suffix_array(names)]
+    sa12 = sample[order]
+    del key, order, ordered  # the deeper levels need the room
+    if names.max() < len(sample):
+        sa12 = sample[suffix_array(names)]
+    del names
     rank = np.zeros(n + 4, np.int64)
     rank[sa12] = np.arange(1, len(sa12) + 1)
     top = len(sa12) + 2
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(t[rest] * top + rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort(t[rest] * top + rank[rest + 1])]
     sa12 = sa12[sa12 < n]
     j1, j2 = sa12[sa12 % 3 == 1], sa12[sa12 % 3 == 2]
     two = t[:-1] * base + t[1:]
@@ -73,10 +77,16 @@ _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 GRAM = 20
 
 
-def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 20 bytes from each place (``b`` ends in 24 bytes of padding)."""
+def gram_hashes(b: np.ndarray, tail: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of the 20 bytes from each place, or of the 8 bytes that are ``tail[0]`` further on (``b`` ends in
+    24 bytes of padding; what lies beyond counts as 0)."""
     n = len(b) - 24
     at = lambda k, kind: np.lib.stride_tricks.as_strided(np.frombuffer(b, kind, 1, k), (n,), (1,))
+    if tail:
+        h = np.zeros(n, np.uint64)
+        h[: max(0, n - tail[0])] = at(0, "<u8")[tail[0] :]
+        h = (h ^ (h >> np.uint64(29))) * _B
+        return h ^ (h >> np.uint64(32))
     h = at(0, "<u8") * _A
     h += at(8, "<u8") * _B
     h ^= h >> np.uint64(31)
@@ -86,11 +96,10 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
     return h
 
 
-def minimizers(b: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, places, hashes): for each window of ``length`` bytes that lies in one of the documents laid end to end
-    in ``b`` (padded), the leftmost place of its least gram, and the hashes of all places. The choice follows the
-    window's bytes alone, so equal windows choose equal grams."""
-    h = gram_hashes(b)
+def minimizers(h: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, places): for each window of ``length`` bytes that lies in one of the documents laid end to end, whose
+    gram hashes are ``h``, the leftmost place of its least gram. The choice follows the window's bytes alone, so equal
+    windows choose equal grams."""
     n, grams = len(h), length - GRAM + 1
     packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     width = 1
@@ -99,6 +108,6 @@ def minimizers(b: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndar
         width *= 2
     left = grams - width
     least = np.minimum(packed[: max(0, len(packed) - left)], packed[left:]) if left else packed
-    ends = np.repeat(np.cumsum(lengths), np.maximum(lengths, 0))
+    ends = np.repeat(np.cumsum(lengths), lengths)
     starts = np.nonzero(np.arange(len(ends)) + length <= ends)[0]
-    return starts, (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64), h
+    return starts, (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
