@@ -200,6 +200,7 @@ def _pairwise_sql(tail: str) -> str:
     p = {
         "two": "p0",
         "greater": "(CASE WHEN t > 0 THEN p0 / 2 ELSE 1 - p0 / 2 END)",
+        "less": "(CASE WHEN t < 0 THEN p0 / 2 ELSE 1 - p0 / 2 END)",
     }[tail]
     return f"""
 WITH g AS (SELECT yr, l_returnflag AS g, count(*) AS n, avg(l_extendedprice) AS mean, var_samp(l_extendedprice) AS var
@@ -243,6 +244,11 @@ def q_pairwise_greater(spark, sf):
     return _pairwise(spark, sf, "greater")
 
 
+@query("pairwise_ttests_less", _pairwise_sql("less"))
+def q_pairwise_less(spark, sf):
+    return _pairwise(spark, sf, "less")
+
+
 @query(
     "paired_ttest",
     f"""

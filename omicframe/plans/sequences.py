@@ -161,20 +161,34 @@ def q_cut_sites(spark, sf):
     return rs.cut_sites(_dna(spark, sf), _ENZ)
 
 
-@query(
-    "enzyme_profile",
-    f"""WITH c AS ({_sql_sites(_ENZ, _DNA)}), e AS (SELECT unnest(range(0, {len(_ENZ)})) AS enzyme_no, unnest({[e.name for e in _ENZ]}) AS enzyme),
+_PROFILE = f"""WITH c AS ({_sql_sites(_ENZ, _DNA)}), e AS (SELECT unnest(range(0, {len(_ENZ)})) AS enzyme_no, unnest({[e.name for e in _ENZ]}) AS enzyme),
 d AS (SELECT seq_id FROM ({_DNA}) WHERE length(s) > 0)
 SELECT d.seq_id, e.enzyme_no, e.enzyme, count(c.position) AS cut_count,
   coalesce(string_agg(c.position::VARCHAR, ', ' ORDER BY c.position), 'None') AS positions_text
-FROM d CROSS JOIN e LEFT JOIN c ON c.seq_id = d.seq_id AND c.enzyme_no = e.enzyme_no GROUP BY ALL""",
-)
+FROM d CROSS JOIN e LEFT JOIN c ON c.seq_id = d.seq_id AND c.enzyme_no = e.enzyme_no GROUP BY ALL"""
+
+
+@query("enzyme_profile", _PROFILE)
 def q_profile(spark, sf):
     return rs.enzyme_profile(_dna(spark, sf), _ENZ).select(
         "seq_id", "enzyme_no", "enzyme", "cut_count", "positions_text"
     )
 
 
+@query("multi_cutters", f"SELECT seq_id, enzyme, cut_count FROM ({_PROFILE}) WHERE cut_count > 1")
+def q_multi_cutters(spark, sf):
+    return rs.filter_cutters(rs.enzyme_profile(_dna(spark, sf), _ENZ), none=False, single=False).select("seq_id", "enzyme", "cut_count")
+
+
+_SHORT = [e for e in _ENZ if len(e.site) == 4 and e.palindromic]
+
+
+@query("filtered_enzymes", f"SELECT enzyme, count(*) AS cuts FROM ({_sql_sites(_SHORT, _DNA)}) GROUP BY enzyme")
+def q_filtered_enzymes(spark, sf):
+    picked = rs.filter_enzymes(_ENZ, lengths=[4], palindromic=True)
+    return rs.cut_sites(_dna(spark, sf), picked).groupBy("enzyme").agg(F.count("*").alias("cuts"))
+
+
 _PICK = [_ENZ[0], _ENZ[2], _ENZ[6]]
 _MARKS = f"""
 c AS ({_sql_sites(_PICK, _DNA)}), d AS (SELECT seq_id, length(s) AS n, s FROM ({_DNA}) WHERE length(s) > 0),
