@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -40,6 +41,13 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Spark removes the shuffle files and broadcasts of finished steps when the driver collects its garbage, by itself
+    every half an hour or so; jobs of many steps ask for it between them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that no later step reads."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

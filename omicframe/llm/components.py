@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut, dropped
+from .common import cut, dropped, tidy
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -32,10 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     state = None
     while True:
-        then = cut(_small(_large(now)), "edges")
+        seen = Observation()
+        totals = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
+        then = cut(_small(_large(now)).observe(seen, *totals), "edges")
         dropped(now)
+        tidy(edges.sparkSession)
         now = then
-        totals = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(totals) == state:
+        if seen.get == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = tuple(totals)
+        state = seen.get

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dropped
+from .common import cut, tidy
 from .components import components
 
 BITS = 64
@@ -136,7 +136,14 @@ def links(fps: DataFrame, distance: int = 4, large: int = 2000, within: tuple[st
         & ((F.col("a.tag") >= EXACT) | (F.col("a.side") != F.col("b.side")))
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
     )
-    found = a.join(b, pair).select(*[F.col(f"a.{c}").alias(c) for c in within], F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    # a pair that is near in several segments is taken in the first of them
+    apart = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    far, before, once = F.lit(True), [], F.lit(False)
+    for s, (low, bits) in enumerate(segments(distance)):
+        here = F.col("a.tag").between(low, low + bits - 1) | (F.col("a.tag") == EXACT + s)
+        once = once | (here & reduce(lambda x, y: x & y, before, far))
+        before.append(F.bit_count(apart.bitwiseAND(F.lit(_signed(((1 << bits) - 1) << low)))) > 1)
+    found = a.join(b, pair & once).select(*[F.col(f"a.{c}").alias(c) for c in within], F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     heavy = keys.join(over, at, "left_semi")
     return found.union(_midpoints(heavy, distance, within)).distinct()
 
@@ -195,9 +202,9 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
     Classes are connected by pairs of texts that share at least ``threshold`` of their distinct ``shingle``-word
     shingles. Candidates: fingerprints of the distinct words of a text under ``views`` independent hashes, linked at 4
     or fewer bits in any of them (of pairs at 0.8 to 0.85 about nine in ten are linked, above 0.9 nearly all: measured
-    on the test tables). Each candidate is verified on the texts: first every member of a candidate component against
-    its smallest text, which settles most of a large group of copies in as many checks as it has members; then the
-    links that still join different classes. Equal texts are one text. Texts without words are equal to each other and
+    on the test tables). Each candidate is verified on the texts: first every text against the smallest one that
+    it is linked to, which settles most of a large group of copies in as many checks as it has members; then the links
+    whose ends have not met under one text. Equal texts are one text. Texts without words are equal to each other and
     to no other. Rows that repeat id and text have the same result; null ids count as the smallest. No rows: none.
     """
     read = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -213,14 +220,16 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
     within = own.join(first, ["view", "fp"]).where("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
     found = between.union(within).where("a <> b")
     edges = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-edges")
-    stars = components(edges).select(F.col("root").alias("a"), F.col("node").alias("b"))
+    tidy(docs.sparkSession)
+    parents = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     nodes = edges.select(F.col("a").alias("th")).union(edges.select("b")).distinct()
     texts = cut(read.withColumn("th", F.xxhash64("text")).join(nodes, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text")), "simhash-compared")
-    sure = _verified(stars, texts, threshold, shingle)  # stars again: each text is checked against one other
-    at = [sure.select(F.col("b").alias(c), F.col("a").alias(f"{c}_root")) for c in ("a", "b")]
+    sure = _verified(parents, texts, threshold, shingle)
+    at = [sure.select(F.col("b").alias(c), F.col("a").alias(f"{c}_over")) for c in ("a", "b")]
     open_ = edges.join(at[0], "a", "left").join(at[1], "b", "left")
-    open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").join(stars, ["a", "b"], "left_anti")
+    open_ = open_.where(F.coalesce("a_over", "a") != F.coalesce("b_over", "b")).select("a", "b").join(parents, ["a", "b"], "left_anti")
     more = _verified(open_, texts, threshold, shingle)
+    tidy(docs.sparkSession)
     roots = components(sure.union(more))
     classed = distinct.select("th").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     named = cut(marked.select("id", "th").distinct().join(classed, "th"), "simhash-classes")
