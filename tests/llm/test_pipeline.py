@@ -8,11 +8,11 @@ import corpus_pipeline
 from omicframe.llm import simhash, stages
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, score int, row int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, score int, row int, id int, n_lines int, gone int"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, 2) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, 2, 3, 4, 5) for i, t in rows], SCHEMA)
 
 
 def say(rng, n):
@@ -70,7 +70,7 @@ def test_stages_keep_columns_and_odd_rows(spark, name, stage):
     got = stage(spark, docs(spark, rows), SF)
     assert got.columns == docs(spark, rows).columns
     found = got.collect()
-    assert all(r.th == "x" and r.score == 1 and r.row == 2 for r in found)
+    assert all((r.th, r.score, r.row, r.id, r.n_lines, r.gone) == ("x", 1, 2, 3, 4, 5) for r in found)
     assert stage(spark, docs(spark, rows).limit(0), SF).count() == 0
 
 
