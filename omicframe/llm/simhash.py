@@ -117,8 +117,7 @@ def links(fps: DataFrame, distance: int = 4, large: int = 2000, within: tuple[st
     bits that agree in the columns ``within``.
 
     In a bucket of up to ``large`` members the pairs are checked inside the join, so at most ``large`` comparisons fall
-    to a member of each; larger buckets are linked through midpoints, with a fixed
-    number of rows for each member. ``distance`` is 2 or 4: with an odd one, members near one point could be further
+    to a member of each; larger buckets are linked through midpoints, with a fixed number of rows for each member. ``distance`` is 2 or 4: with an odd one, members near one point could be further
     apart; with a larger one, segments are too short to select.
     """
     if distance not in (2, 4):
@@ -136,14 +135,14 @@ def links(fps: DataFrame, distance: int = 4, large: int = 2000, within: tuple[st
         & ((F.col("a.tag") >= EXACT) | (F.col("a.side") != F.col("b.side")))
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
     )
-    # a pair that is near in several segments is taken in the first of them
+    # A pair that is near in several segments is taken in the first of them. Written as one comparison of both sides, so
+    # that no part of it moves below the join and both sides keep sharing one shuffle.
     apart = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    far, before, once = F.lit(True), [], F.lit(False)
-    for s, (low, bits) in enumerate(segments(distance)):
-        here = F.col("a.tag").between(low, low + bits - 1) | (F.col("a.tag") == EXACT + s)
-        once = once | (here & reduce(lambda x, y: x & y, before, far))
-        before.append(F.bit_count(apart.bitwiseAND(F.lit(_signed(((1 << bits) - 1) << low)))) > 1)
-    found = a.join(b, pair & once).select(*[F.col(f"a.{c}").alias(c) for c in within], F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    own, first = F.lit(-1), F.lit(-1)
+    for s, (low, bits) in reversed(list(enumerate(segments(distance)))):
+        own = F.when(F.col("a.tag").between(low, low + bits - 1) | (F.col("a.tag") == EXACT + s), F.lit(s)).otherwise(own)
+        first = F.when(F.bit_count(apart.bitwiseAND(F.lit(_signed(((1 << bits) - 1) << low)))) <= 1, F.lit(s)).otherwise(first)
+    found = a.join(b, pair & (own == first)).select(*[F.col(f"a.{c}").alias(c) for c in within], F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     heavy = keys.join(over, at, "left_semi")
     return found.union(_midpoints(heavy, distance, within)).distinct()
 
@@ -240,6 +239,7 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
 def without_near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less those whose near-duplicate class (``similar_texts``) has a smaller id."""
     classes = similar_texts(docs, threshold, shingle, id_col=id_col, text_col=text_col)
-    gone = cut(classes.where("id <> keep").select(F.col("id").alias("_id"), F.col("th").alias("_th")), "simhash-gone")
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    return docs.join(gone, (key == F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_th")), "left_anti")
+    gone = cut(classes.where("id <> keep").select("id", "th"), "simhash-gone").alias("gone")
+    key = F.coalesce(F.col(f"docs.{id_col}").cast("long"), F.lit(-(2**63)))
+    th = F.xxhash64(F.coalesce(F.col(f"docs.{text_col}"), F.lit("")))
+    return docs.alias("docs").join(gone, (key == F.col("gone.id")) & (th == F.col("gone.th")), "left_anti")
