@@ -65,12 +65,43 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
+def subset(lengths: np.ndarray, counts: np.ndarray, room: int):
+    """Function (target) -> {length: uses} of pieces, of any number, that fill ``target`` <= ``room`` exactly, or None.
+    Bounded subset sums on the histogram: a bit for each sum, a length's pieces in parts of 1, 2, 4 ... uses, largest
+    lengths first; a sum is made of the earliest parts that reach it."""
+    sums, parts, full = [1], [], (1 << (room + 1)) - 1
+    for x in lengths.tolist():
+        left, uses = min(int(counts[x]), room // x), 1
+        while left > 0:
+            uses = min(uses, left)
+            grown = (sums[-1] | sums[-1] << (uses * x)) & full
+            if grown != sums[-1]:
+                sums.append(grown)
+                parts.append((x, uses))
+            left -= uses
+            uses *= 2
+
+    def filling(target: int) -> dict[int, int] | None:
+        if not sums[-1] >> target & 1:
+            return None
+        found: dict[int, int] = {}
+        for k in range(len(parts) - 1, -1, -1):
+            if not sums[k] >> target & 1:
+                x, uses = parts[k]
+                found[x] = found.get(x, 0) + uses
+                target -= uses * x
+        return found
+
+    return filling
+
+
 def fillings(lengths: np.ndarray, counts: np.ndarray, room: int, waste: int, most: int, plain: bool = False, deep: int = 24) -> list[tuple[int, dict[int, int]]]:
-    """(waste, filling) of fillings of ``room`` by one, two or three pieces, least waste first, at most ``most``; of
+    """(waste, filling) of fillings of ``room`` by any number of pieces, least waste first, at most ``most``; of
     equal waste those whose pieces are plentiful come first (``plain``: those with the largest pieces), as a length
     that many pieces share is the one that is hard to fill up later. ``lengths``: those left, descending; ``counts`` by
     length. Fillings that leave more than the largest piece that fits are dominated by it and not listed. Three pieces
-    are tried, with the ``deep`` most plentiful ones, where fewer don't fill the same room."""
+    are tried, with the ``deep`` most plentiful ones, where fewer don't fill the same room; where those don't either,
+    any number of any pieces (``subset``)."""
     fit = lengths[np.searchsorted(-lengths, -room) :]
     if not len(fit):
         return [(room, {})] if room <= waste else []
@@ -86,13 +117,19 @@ def fillings(lengths: np.ndarray, counts: np.ndarray, room: int, waste: int, mos
         at = np.argsort(stock == 0 if plain else -stock, kind="stable")[:most]
         return [(int(one[k]), int(two[k])) for k in at if stock[k] > 0]
 
+    any_number = None
     plenty = fit[np.argsort(-counts[fit], kind="stable")[:deep]]
     for w in range(min(waste, single) + 1):
         target, here = room - w, []
         if w == single:
             here.append((target,))
         here += pair(target)
+        more = None
         if not here:
+            any_number = any_number or subset(fit, counts, room)
+            more = any_number(target)
+            if not more:
+                continue
             for x in plenty:
                 if x + 2 <= target:
                     here += [(int(x), *two) for two in pair(target - int(x))]
@@ -102,6 +139,9 @@ def fillings(lengths: np.ndarray, counts: np.ndarray, room: int, waste: int, mos
                 filling[x] = filling.get(x, 0) + 1
             if all(counts[k] >= n for k, n in filling.items()):
                 found.append((w, filling))
+                more = None
+        if more:
+            found.append((w, more))
         if len(found) >= most:
             break
     stock_of = lambda filling: min(counts[k] // n for k, n in filling.items())

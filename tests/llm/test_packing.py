@@ -117,3 +117,22 @@ def test_numbers_within_a_hot_length(spark):
     for r in got:
         counts[r.length] = counts.get(r.length, 0) + 1
     assert len({r.sequence_id for r in got}) == sum(t for t, _ in packing.bin_completion(counts, 16)) <= sum(t for t, _ in packing.best_fit(counts, 16))
+
+
+def test_fillings_of_many_pieces():
+    n = 600
+    found = packing.bin_completion({430: n, 389: n}, 2048)
+    used = {}
+    for times, filling in found:
+        assert sum(k * u for k, u in filling.items()) <= 2048
+        for k, u in filling.items():
+            used[k] = used.get(k, 0) + times * u
+    assert used == {430: n, 389: n}
+    assert sum(t for t, _ in found) == 250 < sum(t for t, _ in packing.best_fit({430: n, 389: n}, 2048)) == 270
+    counts = np.zeros(21, np.int64)
+    counts[[7, 3, 2]] = 1, 2, 2
+    of = packing.subset(np.array([7, 3, 2]), counts, 20)
+    for target in range(21):
+        ways = [(a, b, c) for a in range(2) for b in range(3) for c in range(3) if 7 * a + 3 * b + 2 * c == target]
+        got = of(target)
+        assert (got is None) == (not ways) and (got is None or tuple(got.get(k, 0) for k in (7, 3, 2)) in ways)
