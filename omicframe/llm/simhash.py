@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import cut, tidy
+from .common import cut, dropped, tidy
 from .components import components
 
 BITS = 64
@@ -195,15 +199,112 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> D
     return cut(pairs.join(one, "a").join(two, "b").where(alike("t1", "t2")).select("a", "b"), "simhash-alike")
 
 
+SLOTS = 1 << 18  # of the table that estimates how common a shingle is; it orders shingles and decides nothing
+
+
+class _Words(dict):
+    """Hashes of the words met so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = code = xxhash.xxh64_intdigest(word, 7)
+        return code
+
+
+def _shingle_codes(text: str | None, k: int, known: _Words) -> np.ndarray:
+    """The ``k``-word shingles of a text as 64-bit codes, repeats included, from the hashes of the words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - k + 1)
+    total = np.zeros(n, np.uint64)
+    for j in range(min(k, len(words))):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
+    total ^= total >> np.uint64(31)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(29))
+
+
+def _commonness(texts: DataFrame, k: int) -> np.ndarray:
+    """For each of ``SLOTS`` parts of the codes, the power of two of the number of shingles that fall there, estimated
+    from an eighth of the texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, known = np.zeros(SLOTS, np.int64), _Words()
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(total, (_shingle_codes(t.as_py(), k, known) % np.uint64(SLOTS)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["total"])
+
+    total = np.zeros(SLOTS, np.int64)
+    for r in texts.where(F.pmod("th", F.lit(8)) == 0).select("text").mapInArrow(count, "total binary").toLocalIterator():
+        total += np.frombuffer(r.total, "<i8")
+    return np.log2(1 + total).astype(np.uint8)
+
+
+def _prefixes(texts: DataFrame, threshold: float, k: int, common: np.ndarray) -> DataFrame:
+    """(h, th, root, n, pos) of the first n - ceil(threshold n) + 1 of each text's n distinct shingles, rarest first.
+    Two texts that share ``threshold`` of their shingles (Jaccard) share one of these. Texts without words have one row
+    with n = 0. A text comes once from each task."""
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, known = set(), _Words()
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        for b in batches:
+            parts: list[tuple] = []
+            held = 0
+            for th, root, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if th in seen:
+                    continue
+                seen.add(th)
+                codes = _shingle_codes(t.as_py(), k, known)
+                # the part of the table in the low bits gives its rank to the high ones, so that one sort does
+                rank = common[(codes % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64)
+                codes = np.unique(rank << np.uint64(58) | codes >> np.uint64(6))
+                n = len(codes)
+                codes = codes[: n - math.ceil(threshold * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)
+                m = len(codes)
+                parts.append((codes.view(np.int64), np.full(m, th), np.full(m, root), np.full(m, n, np.int32), np.arange(m, dtype=np.int32)))
+                held += m
+                if held >= 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*parts), kinds)], ["h", "th", "root", "n", "pos"])
+                    parts, held = [], 0
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*parts), kinds)], ["h", "th", "root", "n", "pos"])
+
+    return texts.select("th", "root", "text").mapInArrow(prefix, "h long, th long, root long, n int, pos int")
+
+
+def _between_classes(texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b) pairs among which is every pair of different roots that shares ``threshold`` of its shingles: texts that
+    share one of their first shingles and whose remaining ones suffice. ``texts``: (th, root, text), repeats allowed.
+    Shingles that one class alone holds make no pair."""
+    rows = _prefixes(texts, threshold, k, _commonness(texts, k))
+    at = W.partitionBy("h")
+    live = rows.withColumn("lo", F.min("root").over(at)).withColumn("hi", F.max("root").over(at)).where("lo <> hi").drop("lo", "hi")
+    live = cut(live.distinct(), "simhash-prefixes")
+    tidy(texts.sparkSession)
+    a, b = live.alias("a"), live.alias("b")
+    need = F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    enough = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.th") < F.col("b.th")) & (F.col("a.root") != F.col("b.root")) & enough)
+    pairs = cut(met.select(F.col("a.th").alias("a"), F.col("b.th").alias("b")).distinct(), "simhash-met")
+    dropped(live)
+    return pairs
+
+
 def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, views: int = 3, id_col: str = "doc_id", text_col: str = "text", large: int = 2000) -> DataFrame:
     """(id, th, keep): for every row the hash of its text and the smallest id of its near-duplicate class.
 
     Classes are connected by pairs of texts that share at least ``threshold`` of their distinct ``shingle``-word
-    shingles. Candidates: fingerprints of the distinct words of a text under ``views`` independent hashes, linked at 4
-    or fewer bits in any of them (of pairs at 0.8 to 0.85 about nine in ten are linked, above 0.9 nearly all: measured
-    on the test tables). Each candidate is verified on the texts: first every text against the smallest one that
-    it is linked to, which settles most of a large group of copies in as many checks as it has members; then the links
-    whose ends have not met under one text. Equal texts are one text. Texts without words are equal to each other and
+    shingles, all of them. First candidates: fingerprints of the distinct words of a text under ``views`` independent
+    hashes, linked at 4 or fewer bits in any of them. Each is verified on the texts: first every text against the
+    smallest one that it is linked to, which settles most of a large group of copies in as many checks as it has
+    members; then the links whose ends have not met under one text. Last, whatever SimHash or the representatives
+    missed: every pair of texts of different classes so far that shares one of its first shingles
+    (``_between_classes``, exact), verified likewise. Equal texts are one text. Texts without words are equal to each other and
     to no other. Rows that repeat id and text have the same result; null ids count as the smallest. No rows: none.
     """
     read = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -229,7 +330,15 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
     open_ = open_.where(F.coalesce("a_over", "a") != F.coalesce("b_over", "b")).select("a", "b").join(parents, ["a", "b"], "left_anti")
     more = _verified(open_, texts, threshold, shingle)
     tidy(docs.sparkSession)
-    roots = components(sure.union(more))
+    roots = cut(components(sure.union(more)), "simhash-first-roots")
+    so_far = roots.select(F.col("node").alias("th"), "root")
+    apart = read.select(F.xxhash64("text").alias("th"), "text").join(so_far, "th", "left").withColumn("root", F.coalesce("root", "th"))
+    met = _between_classes(apart, threshold, shingle)
+    ends = met.select(F.col("a").alias("th")).union(met.select("b")).distinct()
+    texts = cut(read.withColumn("th", F.xxhash64("text")).join(ends, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text")), "simhash-compared")
+    late = _verified(met, texts, threshold, shingle)
+    tidy(docs.sparkSession)
+    roots = components(so_far.select(F.col("root").alias("a"), F.col("th").alias("b")).union(late))
     classed = distinct.select("th").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     named = cut(marked.select("id", "th").distinct().join(classed, "th"), "simhash-classes")
     least = named.groupBy("root").agg(F.min("id").alias("keep"))

@@ -64,6 +64,37 @@ def test_near_duplicate_classes(spark):
     assert simhash.without_near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def classes(texts):
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if texts[a] == texts[b] or alike(texts[a], texts[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("large", [3, 2000])
+def test_near_copies_within_orders_of_one_word_set(spark, large):
+    rng = random.Random(3)
+    words, texts = list(dict.fromkeys(say(rng, 90).split())), []
+    for _ in range(12):
+        order = rng.sample(words, len(words))
+        swapped = list(order)
+        swapped[3], swapped[4] = swapped[4], swapped[3]
+        texts += [" ".join(order), " ".join(swapped)]
+    rng.shuffle(texts)
+    want = classes(texts)
+    assert len(set(want.values())) == 12
+    assert {r.id: r.keep for r in simhash.similar_texts(docs(spark, list(enumerate(texts))), large=large).collect()} == want
+
+
 @pytest.mark.parametrize("name, stage", stages.STAGES[:-1])
 def test_stages_keep_columns_and_odd_rows(spark, name, stage):
     rows = [(1, None), (2, ""), (3, "a quiet text of a few words."), (3, "a quiet text of a few words."), (None, "no id here, but some words."), (4, "long text. " * 30_000)]
