@@ -95,6 +95,17 @@ def test_near_copies_within_orders_of_one_word_set(spark, large):
     assert {r.id: r.keep for r in simhash.similar_texts(docs(spark, list(enumerate(texts))), large=large).collect()} == want
 
 
+def test_copies_with_missing_tails_and_short_copies(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in (20, 20, 20, 20, 60, 60, 60, 60, 200, 200, 200, 200):
+        words = say(rng, n).split()
+        texts += [" ".join(words), " ".join(words[:-1] + ["changed"]) if n == 20 else " ".join(words[: n * 85 // 100])]
+    want = classes(texts)
+    assert len(set(want.values())) == 12
+    assert {r.id: r.keep for r in simhash.similar_texts(docs(spark, list(enumerate(texts)))).collect()} == want
+
+
 @pytest.mark.parametrize("name, stage", stages.STAGES[:-1])
 def test_stages_keep_columns_and_odd_rows(spark, name, stage):
     rows = [(1, None), (2, ""), (3, "a quiet text of a few words."), (3, "a quiet text of a few words."), (None, "no id here, but some words."), (4, "long text. " * 30_000)]
