@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cuckoo, decontam, htmltext, linededup, packing, quality, shards, simhash, substrings, warc
+from . import crosspolytope, cuckoo, decontam, htmltext, linededup, packing, phrases, quality, shards, simhash, substrings, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,55 @@ def op10_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_payload = {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": warc.base32_sha1(F.col("payload"))}
     records = warc.round_trip(table(spark, sf_dir, "pages"), of_payload)
     return warc.resolved(records, list(of_payload)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_chebyshev_whitening")
+def op11_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"), components=8)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op12_cross_polytope_links")
+def op12_cross_polytope_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query(
+    "op13_quotient_phrases",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    one AS (SELECT lang, w[i] AS x, count(*) AS f FROM places GROUP BY ALL),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+    two AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM places WHERE i < len(w) GROUP BY ALL),
+    three AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM places WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= 10),
+    covers AS (
+        SELECT lang, x, y, max(f) AS cover
+        FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL
+    ), cuts AS (
+        SELECT t.lang, concat(x, ' ', y) AS phrase, t.f AS a, 1 AS k, p.f AS l, q.f AS r
+        FROM two t LEFT JOIN covers c USING (lang, x, y)
+        JOIN one p USING (lang, x) JOIN one q ON q.lang = t.lang AND q.x = t.y
+        WHERE t.f >= 10 AND (cover IS NULL OR 100 * cover < 50 * t.f)
+        UNION ALL
+        SELECT t.lang, concat(t.x, ' ', t.y, ' ', t.z), t.f, 1, p.f, q.f
+        FROM three t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+        UNION ALL
+        SELECT t.lang, concat(t.x, ' ', t.y, ' ', t.z), t.f, 2, p.f, q.f
+        FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN one q ON q.lang = t.lang AND q.x = t.z
+    ), scored AS (
+        SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+    ), best AS (
+        SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM best JOIN totals USING (lang)
+    QUALIFY rank <= 2000
+    """,
+)
+def op13_quotient_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

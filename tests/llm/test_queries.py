@@ -7,16 +7,19 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from omicframe.llm import ORACLES, QUERIES
 from tools.check import TABLES, normal, same
 
+from .test_crosspolytope import brute as brute_links
 from .test_dedup import brute_components, brute_fp
 from .test_packing import full
 from .test_substrings import brute
 from .test_text import brute_lines
 from .test_warc import expected
+from .test_whitening import want as brute_whitened
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -116,3 +119,19 @@ def test_op10(spark, duck):
     got = run(spark, "op10_warc_records").astype(object)
     rows = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, None if r.refers_to != r.refers_to else r.refers_to) for r in got.itertuples()]
     assert sorted(rows, key=str) == want
+
+
+def test_op11(spark, duck):
+    rows = duck.execute("select vec_id, embedding from embeddings order by vec_id").fetchall()
+    got = run(spark, "op11_chebyshev_whitening").sort_values(["vec_id", "component"])
+    dev, w, e, share = brute_whitened([v for _, v in rows], 8)
+    assert got.vec_id[::8].tolist() == [i for i, _ in rows] and (got.deviation.to_numpy().reshape(-1, 8) == dev.astype(float)[:, None]).all()
+    mine = got.whitened.to_numpy().reshape(-1, 8)
+    assert np.allclose(mine, w * np.sign((mine * w).sum(axis=0)) / np.sqrt(e), atol=1e-9)
+    assert np.allclose(got.explained[:8], share, rtol=1e-10) and got.identity_error.nunique() == 1 and got.identity_error.max() < 1e-10
+
+
+def test_op12(spark, duck):
+    rows = duck.execute("select vec_id, embedding from embeddings order by vec_id").fetchall()
+    got = run(spark, "op12_cross_polytope_links")
+    assert sorted(zip(got.vec_id, got.n_links, got.component_id, got.kept), key=str) == brute_links(rows)
