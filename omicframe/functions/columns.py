@@ -48,8 +48,18 @@ def guarded(cond: Column, value: Column, otherwise) -> Column:
     return F.when(F.coalesce(cond, F.lit(False)), value).otherwise(otherwise)
 
 
+#: Bytes of text that a task of heavy row-wise work should get.
+SPREAD_BYTES = 32 << 20
+UNKNOWN = 1 << 60  # Spark's estimate for a relation of unknown size is beyond
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute rows by ``keys`` over spark.sql.shuffle.partitions tasks before row-wise work that is heavy for
-    its bytes (a short text that becomes thousands of candidates). The number is explicit, so adaptive execution
-    does not merge the small partitions again."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """Redistribute rows by ``keys`` before row-wise work that is heavy for its bytes (a short text that becomes
+    thousands of candidates): to spark.sql.shuffle.partitions tasks, or more where the files that the plan reads have
+    more than ``SPREAD_BYTES`` for one. The number is explicit, so adaptive execution does not merge small partitions
+    again."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    read = sum(n for n in sizes if n < UNKNOWN)
+    return df.repartition(max(least, read // SPREAD_BYTES), *keys)

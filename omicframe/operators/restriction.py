@@ -1,57 +1,14 @@
-"""Restriction-site scan, digests, enzyme profiles, cloning sites and probe annotation.
-
-Enzymes are a short reference list known when the job is written. They enter the plan as an array literal that
-is exploded next to each sequence, so no join is needed to try every enzyme. Long sequences are cut into
-overlapping chunks first, which bounds the work of a row and spreads one chromosome over many tasks.
-"""
+"""Digests, enzyme profiles, cloning sites and clones, from the places of restriction sites (``operators.sites``)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import spread
-from ..functions.sequences import IUPAC, IUPAC_BASES, IUPAC_COMPLEMENT, ascii_slice, clean_sequence, match_starts, reverse_complement_n
-
-CHUNK = 2048
-
-
-@dataclass(frozen=True)
-class Enzyme:
-    """Recognition site with the two cut positions, 0-based from the start of the site."""
-
-    name: str
-    site: str
-    cut5: int
-    cut3: int
-
-    @property
-    def rc(self) -> str:
-        return self.site.upper().translate(str.maketrans(IUPAC, IUPAC_COMPLEMENT))[::-1]
-
-    @property
-    def palindromic(self) -> bool:
-        return self.site.upper() == self.rc
-
-    @property
-    def overhang(self) -> str:
-        return "blunt" if self.cut5 == self.cut3 else "5'" if self.cut5 < self.cut3 else "3'"
-
-
-def site_regex(site: str) -> str:
-    return "".join(b if len(b) == 1 else f"[{b}]" for b in (IUPAC_BASES[c] for c in site.upper()))
-
-
-def _can_overlap(site: str) -> bool:
-    """Whether two matches of the site can share bases."""
-    bases = [set(IUPAC_BASES[c]) for c in site.upper()]
-    n = len(bases)
-    return any(all(bases[i + d] & bases[i] for i in range(n - d)) for d in range(1, n))
-
+from ..functions.sequences import ascii_slice, clean_sequence, reverse_complement_n
+from .sites import BLOCK, CHUNK, Enzyme, Enzymes, site_hits, site_regex, usable_enzymes
 
 def filter_enzymes(
     enzymes: Sequence[Enzyme],
@@ -93,126 +50,65 @@ def filter_cutters(profile: DataFrame, none: bool = True, single: bool = True, m
     return profile.where(((c == 0) & F.lit(none)) | ((c == 1) & F.lit(single)) | ((c > 1) & F.lit(multi)))
 
 
-def _probes(enzymes: Sequence[Enzyme]) -> Column:
-    """Array literal with one entry per enzyme and searched strand."""
-    rows = []
-    for order, e in enumerate(enzymes):
-        strands = [(e.site, e.cut5, False)]
-        if not e.palindromic:
-            strands.append((e.rc, len(e.site) - e.cut3, True))
-        for site, shift, reverse in strands:
-            rows.append(
-                F.struct(
-                    F.lit(order).alias("enzyme_no"),
-                    F.lit(e.name).alias("enzyme"),
-                    F.lit(len(site)).alias("site_len"),
-                    F.lit(site_regex(site)).alias("pattern"),
-                    F.lit(shift).alias("shift"),
-                    F.lit(reverse).alias("is_reverse"),
-                    F.lit(_can_overlap(site)).alias("can_overlap"),
-                )
-            )
-    return F.array(*rows)
-
-
-def _greedy(starts: Column, size: Column) -> Column:
-    """Leftmost non-overlapping subset of ascending starts, in one linear walk."""
-
-    def walk(lists: pd.Series, sizes: pd.Series) -> pd.Series:
-        out = []
-        for places, n in zip(lists, sizes):
-            kept, free = [], -1
-            for at in places.tolist():
-                if at >= free:
-                    kept.append(at)
-                    free = at + n
-            out.append(kept)
-        return pd.Series(out, dtype=object)
-
-    return F.pandas_udf(walk, "array<int>")(starts, size)
-
-
-def _scan(seqs: DataFrame, enzymes: Sequence[Enzyme], key: str, sequence: str, overlapping: bool, wrap_origin: bool, chunk: int):
-    """(key, n, enzyme_no, enzyme, ..., starts): one or more rows per sequence and probe, empty lists included."""
-    longest = max(len(e.site) for e in enzymes)
-    circular = F.coalesce(F.col("is_circular"), F.lit(False)) if wrap_origin and "is_circular" in seqs.columns else F.lit(False)
-    base = (
-        seqs.select(key, clean_sequence(sequence, "iupac").alias("_s"), circular.alias("_circ"))
-        .where(F.length("_s") > 0)
-        .withColumn("n", F.length("_s"))
-        .withColumn("_s", F.when(F.col("_circ"), F.concat("_s", F.substr("_s", F.lit(1), F.lit(longest - 1)))).otherwise(F.col("_s")))
-    )
-    chunks = (
-        base.withColumn("_raw", F.encode("_s", "UTF-8"))
-        .select(key, "n", "_s", "_raw", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk))).alias("_at"))
-        .select(
-            key,
-            "n",
-            "_at",
-            F.when(F.length("_s") <= chunk, F.col("_s"))
-            .otherwise(ascii_slice(F.col("_raw"), F.col("_at"), F.lit(chunk + longest - 1)))
-            .alias("_text"),
-        )
-    )
-    # Trying every probe costs far more per base than moving the text once, so chunks are spread evenly.
-    tried = spread(chunks, key, "_at").select(key, "n", "_at", "_text", F.inline(_probes(enzymes)))
-
-    def starts_of(rows: DataFrame, every: bool) -> Column:
-        found = F.transform(match_starts(F.col("_text"), F.col("pattern"), F.col("site_len"), every), lambda s: s + F.col("_at"))
-        # A start belongs to the chunk it begins in; starts past the end are copies of the origin.
-        return F.filter(found, lambda s: (s < F.col("_at") + chunk) & (s < F.col("n")))
-
-    cols = [key, "n", "enzyme_no", "enzyme", "site_len", "shift", "is_reverse"]
-    crossing = F.col("can_overlap")
-    if overlapping:
-        return tried.select(*cols, starts_of(tried, True).alias("starts"))
-    # A site that cannot overlap itself is settled row by row. Chains of overlapping matches, which may cross a chunk
-    # border, are settled per sequence, on the starts alone, whatever its length.
-    local = tried.where(~crossing).select(*cols, starts_of(tried, True).alias("starts"))
-    if not any(_can_overlap(s) for e in enzymes for s in (e.site, e.rc)):
-        return local
-    chained = (
-        tried.where(crossing)
-        .select(*cols, "_at", starts_of(tried, True).alias("starts"))
-        .groupBy(*cols)
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "starts"))), lambda x: x["starts"])).alias("starts"))
-        .withColumn("starts", _greedy(F.col("starts"), F.col("site_len")))
-    )
-    return local.unionByName(chained)
-
-
 def cut_sites(
     seqs: DataFrame,
-    enzymes: Sequence[Enzyme],
+    enzymes: Enzymes,
     key: str = "seq_id",
     sequence: str = "sequence",
     overlapping: bool = False,
     wrap_origin: bool = False,
     chunk: int = CHUNK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Every cut: (key, n, enzyme_no, enzyme, recognition_start, position, is_reverse).
 
     Forward hits cut at start + cut5; a site that is not its own reverse complement is searched on the other
     strand as well, cutting at start + length - cut3. Matches of one probe do not overlap unless ``overlapping``;
-    sites across the origin count only with ``wrap_origin`` (needs ``is_circular``).
+    sites across the origin count only with ``wrap_origin`` (needs ``is_circular``). ``enzymes`` is a list or a table
+    (name, site, cut5, cut3); a table numbers its enzymes by a column enzyme_no or else by their names.
     """
-    hits = _scan(seqs, enzymes, key, sequence, overlapping, wrap_origin, chunk)
-    position = F.col("recognition_start") + F.col("shift")
-    return (
-        hits.select(key, "n", "enzyme_no", "enzyme", "shift", "is_reverse", F.explode("starts").alias("recognition_start"))
-        .withColumn("position", F.when(F.lit(wrap_origin), F.pmod(position, F.col("n"))).otherwise(position))
-        .drop("shift")
+    hits = site_hits(seqs, enzymes, key, sequence, overlapping, wrap_origin, chunk, block)
+    position = F.col("start") + F.col("shift")
+    return hits.select(
+        key,
+        "n",
+        "enzyme_no",
+        "enzyme",
+        "is_reverse",
+        F.col("start").alias("recognition_start"),
+        F.when(F.lit(wrap_origin), F.pmod(position, F.col("n"))).otherwise(position).alias("position"),
     )
 
 
-def enzyme_profile(seqs: DataFrame, enzymes: Sequence[Enzyme], key: str = "seq_id", sequence: str = "sequence", **options) -> DataFrame:
-    """Per sequence and enzyme: number of cuts, ascending positions, and their text (``None`` when there is none)."""
-    options = {"overlapping": False, "wrap_origin": False, "chunk": CHUNK, **options}
-    hits = _scan(seqs, enzymes, key, sequence, **options)
-    placed = hits.withColumn("_p", F.transform("starts", lambda s: s + F.col("shift")))
+def cut_counts(seqs: DataFrame, enzymes: Enzymes, key: str = "seq_id", sequence: str = "sequence", **options) -> DataFrame:
+    """(key, enzyme_no, enzyme, cut_count, first_cut) of the enzymes that cut a sequence, without its positions."""
+    cuts = cut_sites(seqs, enzymes, key, sequence, **options)
+    return cuts.groupBy(key, "enzyme_no", "enzyme").agg(F.count("*").alias("cut_count"), F.min("position").alias("first_cut"))
+
+
+def _tried(seqs: DataFrame, enzymes: Enzymes, key: str, sequence: str) -> DataFrame:
+    """(key, enzyme_no, enzyme): every enzyme for every sequence that is not empty. A table's enzymes are dealt into
+    buckets that each sequence asks for one by one; the pairs are the rows of the profile."""
+    some = seqs.where(F.length(clean_sequence(sequence, "iupac")) > 0).select(key)
+    if not isinstance(enzymes, DataFrame):
+        names = F.array(*[F.struct(F.lit(i).alias("enzyme_no"), F.lit(e.name).alias("enzyme")) for i, e in enumerate(enzymes)])
+        return some.select(key, F.inline(names))
+    number = F.col("enzyme_no") if "enzyme_no" in enzymes.columns else F.col("name")
+    dealt = enzymes.select(number.alias("enzyme_no"), F.col("name").alias("enzyme")).distinct().withColumn("_b", F.pmod(F.xxhash64("enzyme_no"), F.lit(64)))
+    return some.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).join(dealt, "_b").drop("_b")
+
+
+def enzyme_profile(seqs: DataFrame, enzymes: Enzymes, key: str = "seq_id", sequence: str = "sequence", **options) -> DataFrame:
+    """Per sequence and enzyme: number of cuts, ascending positions, and their text (``None`` when there is none).
+
+    The report holds all positions of a pair in one row; ``cut_sites`` has them one by one, ``cut_counts`` their number.
+    """
+    cuts = cut_sites(seqs, enzymes, key, sequence, **options)
+    listed = cuts.groupBy(key, "enzyme_no", "enzyme").agg(F.array_sort(F.collect_list("position")).alias("positions"))
     return (
-        placed.groupBy(key, "enzyme_no", "enzyme")
-        .agg(F.array_sort(F.flatten(F.collect_list("_p"))).alias("positions"))
+        _tried(seqs, enzymes, key, sequence)
+        .join(listed, [key, "enzyme_no", "enzyme"], "left")
+        .withColumn("positions", F.coalesce("positions", F.array().cast("array<int>")))
         .withColumn("cut_count", F.size("positions"))
         .withColumn(
             "positions_text",
@@ -221,54 +117,66 @@ def enzyme_profile(seqs: DataFrame, enzymes: Sequence[Enzyme], key: str = "seq_i
     )
 
 
-def fragments(cuts: DataFrame, lengths: DataFrame, key: str = "seq_id", circular: bool = False, drop_outside: bool = False) -> DataFrame:
+def _neighbours(marks: DataFrame, key: str, block: int) -> DataFrame:
+    """(key, position, enzyme, before, after, opening): each cut with the (position, enzyme) of the cuts before and after
+    it, null at the ends, and of the sequence's first one. Windows hold the cuts of one block of ``block`` bases; what
+    lies across a border comes from a table of the blocks' first and last cuts."""
+    at = F.struct("position", "enzyme")
+    placed = marks.withColumn("_block", F.floor(F.col("position") / block))
+    edges = placed.groupBy(key, "_block").agg(F.min_by(at, "position").alias("_first"), F.max_by(at, "position").alias("_last"))
+    w = Window.partitionBy(key).orderBy("_block")
+    edges = edges.select(
+        key,
+        "_block",
+        F.lag("_last").over(w).alias("_left"),
+        F.lead("_first").over(w).alias("_right"),
+        F.first("_first").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("opening"),
+    )
+    w = Window.partitionBy(key, "_block").orderBy("position")
+    inside = placed.withColumn("before", F.lag(at).over(w)).withColumn("after", F.lead(at).over(w))
+    return (
+        inside.join(edges, [key, "_block"])
+        .withColumn("before", F.coalesce("before", "_left"))
+        .withColumn("after", F.coalesce("after", "_right"))
+        .drop("_block", "_left", "_right")
+    )
+
+
+def fragments(
+    cuts: DataFrame, lengths: DataFrame, key: str = "seq_id", circular: bool = False, drop_outside: bool = False, block: int = BLOCK
+) -> DataFrame:
     """Fragments between neighbouring distinct cuts: (key, start, end, size, enzyme5, enzyme3).
 
     ``lengths`` has (key, n) of every sequence; one without cuts stays whole. ``end`` is the last position.
     Linear: a cut past the end still counts as the last cut, so the tail behind the cut before it is not
-    reported unless ``drop_outside`` ignores such cuts. The windows hold the cuts of one sequence.
+    reported unless ``drop_outside`` ignores such cuts. Neighbours are found inside blocks of ``block`` bases.
     """
     valid = (F.col("position") >= 0) & ((F.col("position") <= F.col("n")) | F.lit(not circular and not drop_outside))
     marks = cuts.where(valid).groupBy(key, "position").agg(F.min_by("enzyme", "enzyme_no").alias("enzyme"))
-    placed = lengths.join(marks, key, "left")
-    w = Window.partitionBy(key).orderBy("position")
-    whole = Window.partitionBy(key)
+    placed = lengths.join(_neighbours(marks, key, block), key, "left")
     pos, n = F.col("position"), F.col("n")
     if circular:
-        cols = placed.select(
-            key,
-            "n",
-            pos,
-            "enzyme",
-            F.coalesce(F.lead("position").over(w), F.min("position").over(whole)).alias("_next"),
-            F.coalesce(F.lead("enzyme").over(w), F.min_by("enzyme", "position").over(whole)).alias("_next_enzyme"),
-        )
         uncut = pos.isNull()
-        nxt = F.col("_next")
-        return cols.select(
+        follow = F.coalesce("after", "opening")
+        nxt = follow["position"]
+        return placed.select(
             key,
             F.when(uncut, 0).otherwise(pos).alias("start"),
             F.when(uncut, n - 1).when((nxt == 0) & (pos != 0), n - 1).otherwise(nxt - 1).alias("end"),
             F.when(uncut, n).when(nxt > pos, nxt - pos).otherwise(n - pos + nxt).alias("size"),
             F.col("enzyme").alias("enzyme5"),
-            F.when(~uncut, F.col("_next_enzyme")).alias("enzyme3"),
+            F.when(~uncut, follow["enzyme"]).alias("enzyme3"),
         )
-    steps = placed.select(
-        key,
-        "n",
-        pos,
-        "enzyme",
-        F.lag("position").over(w).alias("_prev"),
-        F.lag("enzyme").over(w).alias("_prev_enzyme"),
-        F.lead("position").over(w).isNull().alias("_last"),
-    )
     before = F.struct(
-        F.coalesce("_prev", F.lit(0)).alias("start"), F.coalesce(pos, n).alias("stop"), F.col("_prev_enzyme").alias("enzyme5"), F.col("enzyme").alias("enzyme3")
+        F.coalesce("before.position", F.lit(0)).alias("start"),
+        F.coalesce(pos, n).alias("stop"),
+        F.col("before.enzyme").alias("enzyme5"),
+        F.col("enzyme").alias("enzyme3"),
     )
     after = F.struct(pos.alias("start"), n.alias("stop"), F.col("enzyme").alias("enzyme5"), F.lit(None).cast("string").alias("enzyme3"))
-    parts = F.when(F.col("_last") & pos.isNotNull(), F.array(before, after)).otherwise(F.array(before))
+    parts = F.when(F.col("after").isNull() & pos.isNotNull(), F.array(before, after)).otherwise(F.array(before))
     return (
-        steps.select(key, "n", F.inline(parts))
+        placed.select(key, "n", F.inline(parts))
         .where((F.col("stop") > F.col("start")) & (F.col("stop") <= F.col("n")))
         .select(key, "start", (F.col("stop") - 1).alias("end"), (F.col("stop") - F.col("start")).alias("size"), "enzyme5", "enzyme3")
     )
@@ -281,7 +189,7 @@ def by_size(found: DataFrame, key: str = "seq_id") -> DataFrame:
 
 def digest(
     seqs: DataFrame,
-    enzymes: Sequence[Enzyme],
+    enzymes: Enzymes,
     key: str = "seq_id",
     sequence: str = "sequence",
     circular: bool = False,
@@ -307,47 +215,51 @@ def digest(
     return out.join(raw, key).withColumn("fragment", text).drop("_raw")
 
 
-def single_cutters(seqs: DataFrame, enzymes: Sequence[Enzyme], key: str = "seq_id", sequence: str = "sequence") -> DataFrame:
+def single_cutters(seqs: DataFrame, enzymes: Enzymes, key: str = "seq_id", sequence: str = "sequence") -> DataFrame:
     """Enzymes of at least six bases without N that cut a sequence exactly once: (key, enzyme_no, enzyme, position, site_len)."""
-    usable = [e for e in enzymes if len(e.site) >= 6 and "N" not in e.site.upper()]
-    sizes = F.create_map(*[x for e in usable for x in (F.lit(e.name), F.lit(len(e.site)))])
-    return (
-        enzyme_profile(seqs, usable, key, sequence)
-        .where(F.col("cut_count") == 1)
-        .select(key, "enzyme_no", "enzyme", F.element_at("positions", 1).alias("position"), F.element_at(sizes, F.col("enzyme")).alias("site_len"))
-    )
+    hits = site_hits(seqs, usable_enzymes(enzymes), key, sequence)
+    position = F.min(F.col("start") + F.col("shift"))
+    found = hits.groupBy(key, "enzyme_no", "enzyme").agg(F.count("*").alias("_cuts"), position.alias("position"), F.first("site_len").alias("site_len"))
+    return found.where("_cuts = 1").drop("_cuts")
 
 
-def densest_window(sites: DataFrame, key: str = "seq_id", span: int = 200, min_n: int = 4) -> DataFrame:
+def densest_window(sites: DataFrame, key: str = "seq_id", span: int = 200, min_n: int = 4, block: int = BLOCK) -> DataFrame:
     """Per sequence the first window of at most ``span`` bases with most sites (at least ``min_n``).
 
     A window starts at a site and takes the following sites in position order up to the first whose end lies
-    beyond the span.
+    beyond the span. Windows are opened in blocks of ``block`` bases (``span`` at least), which also get the sites
+    of the next ``span`` bases; a site looks at the sites of the following ``span`` bases alone.
     """
-    order = Window.partitionBy(key).orderBy("position", "enzyme_no")
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
-    site = F.struct("enzyme", "position", (F.col("position") + F.col("site_len")).alias("stop"))
-    opened = sites.select(key, "position", "enzyme_no", F.collect_list(site).over(ahead).alias("_rest"), F.row_number().over(order).alias("_rn"))
+    wide = max(block, span)
+    home = F.floor(F.col("position") / wide)
+    near = F.when(F.pmod("position", F.lit(wide)) <= span, F.array(home, home - 1)).otherwise(F.array(home))
+    dealt = sites.withColumn("_home", home).withColumn("_block", F.explode(near))
+    order = Window.partitionBy(key, "_block").orderBy("position").rangeBetween(0, span)
+    site = F.struct("position", "enzyme_no", "enzyme", (F.col("position") + F.col("site_len")).alias("stop"))
+    own = F.struct("position", "enzyme_no")
+    opened = dealt.withColumn("_ahead", F.collect_list(site).over(order)).where("_home = _block")
+    rest = F.array_sort(F.filter("_ahead", lambda s: F.struct(s["position"].alias("position"), s["enzyme_no"].alias("enzyme_no")) >= own))
     beyond = F.array_position(F.transform("_rest", lambda s: s["stop"] - F.col("position") > span), True)
     taken = F.when(beyond > 0, F.slice("_rest", F.lit(1), (beyond - 1).cast("int"))).otherwise(F.col("_rest"))
-    best = Window.partitionBy(key).orderBy(F.desc("n_sites"), "_rn")
+    window = F.struct(
+        F.size("_in").alias("n_sites"),
+        F.col("position").alias("first"),
+        F.element_at("_in", -1)["stop"].alias("stop"),
+        F.transform("_in", lambda s: s["enzyme"]).alias("enzymes"),
+    )
+    # most sites first, then the earlier window, then the lower enzyme number
+    rank = F.struct((-F.size("_in")).alias("a"), F.col("position").alias("b"), F.col("enzyme_no").alias("c"))
     return (
-        opened.withColumn("_in", taken)
-        .withColumn("n_sites", F.size("_in"))
-        .where(F.col("n_sites") >= min_n)
-        .withColumn("_best", F.row_number().over(best))
-        .where(F.col("_best") == 1)
-        .select(
-            key,
-            "n_sites",
-            F.col("position").alias("first"),
-            F.element_at("_in", -1)["stop"].alias("stop"),
-            F.transform("_in", lambda s: s["enzyme"]).alias("enzymes"),
-        )
+        opened.withColumn("_rest", rest)
+        .withColumn("_in", taken)
+        .where(F.size("_in") >= min_n)
+        .groupBy(key)
+        .agg(F.min_by(window, rank).alias("_best"))
+        .select(key, "_best.*")
     )
 
 
-def detect_mcs(seqs: DataFrame, enzymes: Sequence[Enzyme], key: str = "seq_id", sequence: str = "sequence") -> DataFrame:
+def detect_mcs(seqs: DataFrame, enzymes: Enzymes, key: str = "seq_id", sequence: str = "sequence") -> DataFrame:
     """Multiple cloning site: the densest window of single cutters, widened by five bases: (key, name, start, end)."""
     dense = densest_window(single_cutters(seqs, enzymes, key, sequence), key)
     n = seqs.select(key, F.length(clean_sequence(sequence, "iupac")).alias("n"))
@@ -360,12 +272,12 @@ def detect_mcs(seqs: DataFrame, enzymes: Sequence[Enzyme], key: str = "seq_id",
     )
 
 
-def cloning_sites(vectors: DataFrame, inserts: DataFrame, pairs: DataFrame, enzymes: Sequence[Enzyme], mcs: DataFrame | None = None) -> DataFrame:
+def cloning_sites(vectors: DataFrame, inserts: DataFrame, pairs: DataFrame, enzymes: Enzymes, mcs: DataFrame | None = None) -> DataFrame:
     """For each (vector_id, insert_id): enzymes that cut the vector once and the insert never, by position.
 
     ``in_mcs`` marks positions inside the vector's multiple cloning site (seq_id, start, end).
     """
-    usable = [e for e in enzymes if len(e.site) >= 6 and "N" not in e.site.upper()]
+    usable = usable_enzymes(enzymes)
     single = single_cutters(vectors, usable).withColumnRenamed("seq_id", "vector_id")
     hit = cut_sites(inserts, usable).select(F.col("seq_id").alias("insert_id"), "enzyme").distinct()
     out = pairs.join(single, "vector_id").join(hit, ["insert_id", "enzyme"], "left_anti")
@@ -379,16 +291,12 @@ def cloning_sites(vectors: DataFrame, inserts: DataFrame, pairs: DataFrame, enzy
     )
 
 
-def clone_inserts(requests: DataFrame, vectors: DataFrame, inserts: DataFrame, enzymes: Sequence[Enzyme]) -> DataFrame:
+def clone_inserts(requests: DataFrame, vectors: DataFrame, inserts: DataFrame, enzymes: Enzymes) -> DataFrame:
     """Splice inserts: ``requests`` has (vector_id, insert_id, enzyme, reverse); vectors not cut exactly once drop out.
 
     Sequences are used as stored; the insert is reverse-complemented when ``reverse``.
     """
-    once = (
-        enzyme_profile(vectors, enzymes)
-        .where(F.col("cut_count") == 1)
-        .select(F.col("seq_id").alias("vector_id"), "enzyme", F.element_at("positions", 1).alias("cut"))
-    )
+    once = cut_counts(vectors, enzymes).where("cut_count = 1").select(F.col("seq_id").alias("vector_id"), "enzyme", F.col("first_cut").alias("cut"))
     v = vectors.select(F.col("seq_id").alias("vector_id"), F.col("sequence").alias("_v"), "is_circular")
     i = inserts.select(F.col("seq_id").alias("insert_id"), F.col("sequence").alias("_i"))
     piece = F.when(F.col("reverse"), reverse_complement_n("_i")).otherwise(F.col("_i"))

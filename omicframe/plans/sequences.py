@@ -304,6 +304,68 @@ def q_clone(spark, sf):
     return rs.clone_inserts(requests, docs, docs, _SIX)
 
 
+# An enzyme for every part: six bases and two codes, made from the part's key.
+_CODES = sq.IUPAC
+_TABLE_SITE = " || ".join(
+    f"substr('ACGT', (1 + (x * 7919) % 4096 // {4**i} % 4)::INT, 1)" if i is not None else f"substr('{_CODES}', (1 + (x * 31) % 225 // {d} % 15)::INT, 1)"
+    for i, d in ((0, 0), (1, 0), (2, 0), (None, 1), (3, 0), (4, 0), (5, 0), (None, 15))
+)
+_TABLE_HITS = f"""e AS (SELECT p_partkey AS enzyme_no, 'P' || p_partkey AS enzyme, {_TABLE_SITE} AS site, p_size % 9 AS cut5, p_size // 9 AS cut3
+  FROM (SELECT *, p_partkey AS x FROM part)),
+st AS (SELECT enzyme_no, enzyme, site, cut5 AS shift, false AS is_reverse FROM e
+  UNION ALL SELECT enzyme_no, enzyme, reverse(translate(site, '{_CODES}', '{sq.IUPAC_COMPLEMENT}')), 8 - cut3, true FROM e
+  WHERE site <> reverse(translate(site, '{_CODES}', '{sq.IUPAC_COMPLEMENT}'))),
+codes AS (SELECT unnest({list(sq.IUPAC_BASES)}) AS code, unnest({list(sq.IUPAC_BASES.values())}) AS bases),
+code AS (SELECT code, unnest(string_split(bases, '')) AS base FROM codes),
+k AS (SELECT st.*, {' || '.join(f'c{i}.base' for i in range(8))} AS word FROM st
+  {' '.join(f'JOIN code c{i} ON c{i}.code = substr(site, {i + 1}, 1)' for i in range(8))}),
+w AS (SELECT seq_id, length(s) AS n, unnest(range(0, length(s) - 7)) AS pl, s FROM ({_DNA}) WHERE length(s) >= 8),
+every AS (SELECT seq_id, n, enzyme_no, enzyme, shift, is_reverse, pl FROM w JOIN k ON k.word = substr(s, pl + 1, 8)),
+h AS (SELECT * EXCLUDE (l), unnest(list_reduce(list_transform(l, lambda a: [a]),
+  lambda kept, a: CASE WHEN a[1] >= kept[-1] + 8 THEN kept || a ELSE kept END)) AS start
+  FROM (SELECT seq_id, n, enzyme_no, enzyme, shift, is_reverse, list(pl ORDER BY pl) AS l FROM every GROUP BY ALL))"""
+
+
+def _enzyme_table(spark, sf):
+    x = F.col("p_partkey")
+    base = [F.substr(F.lit("ACGT"), (1 + F.floor(x * 7919 % 4096 / 4**i) % 4).cast("int"), F.lit(1)) for i in range(6)]
+    code = [F.substr(F.lit(_CODES), (1 + F.floor(x * 31 % 225 / d) % 15).cast("int"), F.lit(1)) for d in (1, 15)]
+    site = F.concat(*base[:3], code[0], *base[3:], code[1])
+    return table(spark, sf, "part").select(
+        x.alias("enzyme_no"),
+        F.concat(F.lit("P"), x.cast("string")).alias("name"),
+        site.alias("site"),
+        (F.col("p_size") % 9).alias("cut5"),
+        F.floor(F.col("p_size") / 9).cast("int").alias("cut3"),
+    )
+
+
+@query(
+    "enzyme_table_cuts",
+    f"WITH {_TABLE_HITS} SELECT seq_id, n, enzyme_no, enzyme, is_reverse, start AS recognition_start, start + shift AS position FROM h",
+)
+def q_enzyme_table_cuts(spark, sf):
+    """As many enzymes as there are parts, joined to the text."""
+    return rs.cut_sites(_dna(spark, sf), _enzyme_table(spark, sf))
+
+
+@query(
+    "enzyme_table_counts",
+    f"WITH {_TABLE_HITS} SELECT seq_id, enzyme_no, enzyme, count(*) AS cut_count, min(start + shift) AS first_cut FROM h GROUP BY ALL",
+)
+def q_enzyme_table_counts(spark, sf):
+    return rs.cut_counts(_dna(spark, sf), _enzyme_table(spark, sf))
+
+
+@query(
+    "enzyme_table_overlapping",
+    f"""WITH {_TABLE_HITS} SELECT enzyme_no, enzyme, is_reverse, count(*) AS cuts, sum(pl)::BIGINT AS places FROM every GROUP BY ALL""",
+)
+def q_enzyme_table_overlapping(spark, sf):
+    cuts = rs.cut_sites(_dna(spark, sf), _enzyme_table(spark, sf), overlapping=True)
+    return cuts.groupBy("enzyme_no", "enzyme", "is_reverse").agg(F.count("*").alias("cuts"), F.sum("recognition_start").alias("places"))
+
+
 @query("annotate_features")
 def q_annotate(spark, sf):
     """Rows only: the seeded search has no practical SQL; tests compare it with brute force."""

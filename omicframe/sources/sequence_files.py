@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import ascii_upper
-from ..operators.restriction import Enzyme
 from ..operators.selection import natural_sort_keys, top_k
 
-MAX_ENZYMES = 5000
-
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(name, sequence) per record; only A, C, G, T kept, upper-cased.
@@ -60,14 +57,6 @@ def read_enzymes(spark: SparkSession, path: str) -> DataFrame:
     return top_k(parsed, "_key", "_line", 1, "_rn").drop("_rn", "_key", "_line").orderBy("name")
 
 
-def load_enzymes(table: DataFrame) -> list[Enzyme]:
-    """The enzyme list as plan parameters. Its size is checked: a table past ``MAX_ENZYMES`` is refused."""
-    rows = table.select("name", "site", "cut5", "cut3").limit(MAX_ENZYMES + 1).collect()
-    if len(rows) > MAX_ENZYMES:
-        raise ValueError(f"more than {MAX_ENZYMES} enzymes")
-    return [Enzyme(r["name"], r["site"], r["cut5"], r["cut3"]) for r in rows]
-
-
 # Keywords that decide a feature's type and a vector's category.
 RESISTANCE = [
     "ampr", "amp(r)", "bla", "beta-lactamase", "ampicillin", "kanr", "kan(r)", "kanamycin", "aph(3", "nptii", "neor",
