@@ -71,7 +71,8 @@ def _windows(places: DataFrame, min_words: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, th, gone): for each document the line numbers that belong to a later copy of a repeated run.
+    """(d, th, gone): for each document the (first, last) line numbers, ascending and apart, of what belongs to later
+    copies of repeated runs.
 
     Suffixes that share a window's n lines are an interval of the suffix array whose common prefix has n lines or more;
     it is named by the ranks of the two blocks of 2^k lines that cover the window from both ends. The interval's first
@@ -87,8 +88,14 @@ def later_copies(docs: DataFrame, min_words: int = 30, id_col: str = "doc_id", t
     named = cut(named, "line-windows")
     first = named.groupBy("n", "a", "b").agg(F.min(F.struct(*DOC, "s")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     again = named.join(first, ["n", "a", "b"]).where(F.struct(*DOC, "s") > F.col("first"))
-    lines = again.select(*DOC, F.explode(F.sequence(F.col("s"), (F.col("s") + F.col("n") - 1).cast("int"))).alias("idx"))
-    return lines.groupBy(*DOC).agg(F.sort_array(F.collect_set("idx")).alias("gone"))
+    # windows that touch or overlap become one span
+    own = W.partitionBy(*DOC).orderBy("s", "n")
+    spans = again.select(*DOC, "s", "n", (F.col("s") + F.col("n")).alias("stop")).distinct()
+    reach = F.max("stop").over(own.rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.coalesce(F.col("s") > reach, F.lit(True)).cast("int"))
+    spans = spans.withColumn("span", F.sum("fresh").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    each = spans.groupBy(*DOC, "span").agg(F.min("s").alias("first"), (F.max("stop") - 1).alias("last"))
+    return each.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,12 +115,20 @@ def dedup_lines(docs: DataFrame, min_words: int = 30, id_col: str = "doc_id", te
     both = held.join(gone, DOC, "left")
     text = F.col(f"row.{text_col}")
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~x.rlike(rf"^{BLANK}*$"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    # what stays lies between one span and the next; each is cut out at once
+    whole = F.struct(F.size(lines).alias("first"), F.size(lines).alias("last"))
+    edges = F.concat(F.array(F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))), "gone", F.array(whole))
+    between = F.transform(
+        F.sequence(F.lit(0), F.size("gone")),
+        lambda i: F.slice(F.col("lines"), F.get("edges", i)["last"] + 2, F.get("edges", i + 1)["first"] - F.get("edges", i)["last"] - 1),
+    )
+    both = both.withColumn("lines", lines).withColumn("edges", edges)
+    kept = F.array_join(F.flatten(between), "\n")
     out = F.when(F.col("gone").isNull(), text).otherwise(kept)
-    starts = F.filter("gone", lambda x: ~F.array_contains("gone", x - 1))
+    removed = F.aggregate("gone", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return both.select(
         *[(out if c == text_col else F.col(f"row.{c}")).alias(c) for c in names],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.size(starts), F.lit(0)).cast("long").alias("n_spans"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_spans"),
     )

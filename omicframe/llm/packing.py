@@ -148,14 +148,103 @@ def fillings(lengths: np.ndarray, counts: np.ndarray, room: int, waste: int, mos
     return sorted(found, key=lambda x: (x[0], -max(x[1]) if plain else -stock_of(x[1]), len(x[1])))[:most]
 
 
-def bin_completion(counts: dict[int, int], capacity: int, width: int = 3, dives: int = 4) -> list[Pattern]:
+def maximal_fillings(stock: list[tuple[int, int]], room: int) -> Iterator[dict[int, int]]:
+    """Every filling of ``room`` from ``stock`` (length, pieces; falling lengths) to which no piece left can be added, larger
+    pieces first. Any other filling is dominated by one of these."""
+
+    def extend(k: int, free: int, taken: dict[int, int], skipped: int) -> Iterator[dict[int, int]]:
+        # ``skipped``: the smallest length of which a piece was left out; it must not fit at the end
+        while k < len(stock) and stock[k][0] > free:
+            k += 1
+        if k == len(stock):
+            if free < skipped:
+                yield dict(taken)
+            return
+        length, n = stock[k]
+        for uses in range(min(n, free // length), -1, -1):
+            if uses:
+                taken[length] = uses
+            else:
+                taken.pop(length, None)
+            yield from extend(k + 1, free - uses * length, taken, length if uses < n else skipped)
+        taken.pop(length, None)
+
+    yield from extend(0, room, {}, room + 1)
+
+
+def completed(counts: dict[int, int], capacity: int, best: list[Pattern], effort: int = 5_000) -> list[Pattern]:
+    """A packing with fewer bins than ``best`` if the search finds one, else ``best``.
+
+    Depth first with limited discrepancy: a bin holds the largest piece left and one of the maximal fillings beside it,
+    least waste first; taking the k-th one costs k discrepancies at any depth, and the total allowed grows from round to
+    round. A node is left when its waste exceeds that of one bin less than the incumbent, or its histogram was met before
+    with no more bins and no fewer discrepancies to spend. The result is proven least when a round spends none of its limit
+    at a cut; ``effort`` is the number of nodes after which the search ends otherwise.
+    """
+    total = sum(k * n for k, n in counts.items())
+    least = lower_bound(counts, capacity)
+    state: list = [best, sum(t for t, _ in best), 0, False]  # incumbent, its bins, nodes, whether a limit cut something
+    met: dict[tuple, tuple[int, int]] = {}
+
+    def node(left: dict[int, int], made: list[Pattern], waste: int, spend: int) -> None:
+        if not left:
+            if len(made) < state[1]:
+                state[0], state[1] = list(made), len(made)
+            return
+        state[2] += 1
+        key = tuple(sorted(left.items()))
+        before = met.get(key)
+        if before and before[0] <= len(made) and before[1] >= spend:
+            return
+        met[key] = (len(made), spend)
+        if len(made) + lower_bound(left, capacity) >= state[1]:
+            return
+        top = max(left)
+        rest = dict(left)
+        rest[top] -= 1
+        stock = [(k, rest[k]) for k in sorted(rest, reverse=True) if rest[k]]
+        options = []
+        for filling in maximal_fillings(stock, capacity - top):
+            options.append((capacity - top - sum(k * n for k, n in filling.items()), filling))
+            if len(options) >= 5000:
+                state[3] = True
+                break
+        options.sort(key=lambda x: (x[0], len(x[1])))
+        for k, (w, filling) in enumerate(options):
+            if waste + w > (state[1] - 1) * capacity - total or state[1] <= least:
+                return
+            if k > spend or state[2] >= effort:
+                state[3] = True
+                return
+            then = {x: n - filling.get(x, 0) for x, n in rest.items() if n > filling.get(x, 0)}
+            made.append((1, {**filling, top: filling.get(top, 0) + 1}))
+            node(then, made, waste + w, spend - k)
+            made.pop()
+
+    spend = 0
+    while state[1] > least and state[2] < effort:
+        state[3] = False
+        met.clear()
+        node({k: n for k, n in counts.items() if n}, [], 0, spend)
+        if not state[3]:
+            break
+        spend = 2 * spend + 1
+    return state[0]
+
+
+#: Pieces of a table that ``completed`` takes on as a whole.
+WHOLE = 60
+
+
+def bin_completion(counts: dict[int, int], capacity: int, width: int = 3, dives: int = 4, effort: int = 5_000) -> list[Pattern]:
     """A packing of the counted lengths into as few bins as the search finds.
 
     Branch and bound: a node takes the largest piece left and one of its undominated fillings, as often as the counts
     allow. The waste so far may not exceed that of one bin less than the incumbent; else the branch is left. Best-fit
-    packings are the incumbents: of the whole, and of what is left at nodes on the way. The search ends at the lower
-    bound, or after ``dives`` branches of at most ``width`` fillings each (a limit on effort, not on pieces: each
-    result packs all of them).
+    packings are the incumbents: of the whole, and of what is left at nodes on the way. First ``dives`` greedy branches
+    (which differ in the first bin) look for good incumbents. What they leave above the lower bound is searched with backtracking
+    (``completed``): the whole table where it has at most ``WHOLE`` pieces, else the bins with the most waste that hold
+    so many, again and again while that saves a bin. Limits are limits on effort: each result packs all pieces.
     """
     counts = {k: n for k, n in counts.items() if n}
     if any(k > capacity or k < 1 for k in counts):
@@ -210,6 +299,24 @@ def bin_completion(counts: dict[int, int], capacity: int, width: int = 3, dives:
         dive(n // 2 % width, 7 * (n // 2 // width), n % 2 == 1)
         if bins(state[0]) == least:
             break
+    while bins(state[0]) > least:
+        chosen, kept, held = [], [], 0
+        for times, filling in sorted(state[0], key=lambda p: sum(k * n for k, n in p[1].items())):
+            n = sum(filling.values())
+            take = min(times, max(0, WHOLE - held) // n)
+            held += take * n
+            if take:
+                chosen.append((take, filling))
+            if times > take:
+                kept.append((times - take, filling))
+        part: dict[int, int] = {}
+        for times, filling in chosen:
+            for k, n in filling.items():
+                part[k] = part.get(k, 0) + times * n
+        again = completed(part, capacity, chosen, effort)
+        if bins(again) == bins(chosen):
+            break
+        state[0] = kept + again
     return state[0]
 
 

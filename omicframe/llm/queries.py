@@ -51,7 +51,36 @@ def op4_page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-@query("op5_line_runs")
+@query(
+    "op5_line_runs",
+    r"""
+    WITH own AS (
+        SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_full_match(x, '[\x20\x09-\x0D]*')) AS lines
+        FROM documents
+    ), each AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM own),
+    bare AS (SELECT doc_id, i, lines[i] AS line, regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM each),
+    counted AS (SELECT *, len(regexp_split_to_array(bare, '[\x20\x09-\x0D]+')) AS words FROM bare),
+    upto AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM counted),
+    -- the shortest run of 30 words from each line, and the shortest one up to each line
+    enough AS (
+        SELECT a.doc_id, a.i AS s, b.i AS t FROM upto a JOIN upto b
+        ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.words >= 30 AND (b.upto - a.upto - b.words + a.words < 30 OR b.upto - a.upto < 30)
+    ), windows AS (
+        SELECT doc_id, s, min(t) AS t FROM enough GROUP BY doc_id, s UNION SELECT doc_id, max(s), t FROM enough GROUP BY doc_id, t
+    ), named AS (
+        SELECT w.doc_id, w.s, w.t, md5(string_agg(bare, chr(10) ORDER BY i)) AS h
+        FROM windows w JOIN bare b ON b.doc_id = w.doc_id AND b.i BETWEEN w.s AND w.t GROUP BY ALL
+    ), again AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s, t + 1)) AS i FROM again),
+    spans AS (
+        SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < i - 1) AS n_spans
+        FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id
+    ), kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM bare ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT o.doc_id, len(o.lines) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(coalesce(CASE WHEN n_removed IS NULL THEN o.text ELSE k.text END, '')) AS kept_sha256
+    FROM own o LEFT JOIN spans USING (doc_id) LEFT JOIN kept k USING (doc_id)
+    """,
+)
 def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=30)
     return found.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

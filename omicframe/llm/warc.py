@@ -77,7 +77,7 @@ def _field(head: Column, name: str) -> Column:
 
 
 def candidates(spark: SparkSession, path: str, of_payload: dict[str, Column] | None = None) -> DataFrame:
-    """A row for every magic found: (file, part, seq, off, next, run, whole, head fields, of_payload columns).
+    """A row for every magic found: (file, part, seq, md5 of its segment, off, next, run, whole, head fields, of_payload columns).
 
     ``off`` is the offset of the magic and ``next`` the record's successor by its own header (null: no header).
     ``whole`` says that the next magic stands exactly there; then the payload is known and ``of_payload`` (columns over
@@ -93,7 +93,7 @@ def candidates(spark: SparkSession, path: str, of_payload: dict[str, Column] | N
     payload = F.expr(f"substring(cast(value as binary), octet_length(substring_index(value, '\\r\\n\\r\\n', 1)) + {len(END)} + 1, clen)")
     seen = _segments(spark, path).withColumn("clen", length.cast("int"))
     seen = seen.select(
-        "file", "part", "seq", size.alias("size"), ahead.alias("ahead"), F.coalesce(ahead == size, F.lit(False)).alias("whole"), payload.alias("payload"),
+        "file", "part", "seq", F.unhex(F.md5(F.col("value").cast("binary"))).alias("md5"), size.alias("size"), ahead.alias("ahead"), F.coalesce(ahead == size, F.lit(False)).alias("whole"), payload.alias("payload"),
         _field(head, "WARC-Type").alias("record_type"), _field(head, "WARC-Record-ID").alias("record_id"), _field(head, "WARC-Refers-To").alias("refers_to_id"),
         _field(head, "X-Page-ID").try_cast("long").alias("page_id"), _field(head, "WARC-Target-URI").alias("url"),
     )
@@ -161,11 +161,14 @@ def read_records(spark: SparkSession, path: str, of_payload: dict[str, Column] |
     heads = good.where("not whole and next is not null").join(stops, ["file", "next"], "left_semi")
     rest = found.join(good.select("file", "off"), ["file", "off"], "left_anti")
     owner = F.last("own", ignorenulls=True).over(W.partitionBy("file").orderBy("off"))
-    pieces = heads.select("file", "part", "seq", "off", F.col("off").alias("own")).union(rest.select("file", "part", "seq", "off", F.lit(None).cast("long").alias("own")))
+    pieces = heads.select("file", "md5", "off", F.col("off").alias("own")).union(rest.select("file", "md5", "off", F.lit(None).cast("long").alias("own")))
     pieces = pieces.withColumn("own", owner).where("own is not null")
     pieces = pieces.join(heads.select("file", F.col("off").alias("own"), F.col("next").alias("stop")), ["file", "own"]).where("off < stop")
-    pieces = cut(pieces.select("file", "part", "seq", "own", "off"), "warc-pieces")
-    text = _segments(spark, path).join(pieces, ["file", "part", "seq"])
+    pieces = cut(pieces.select("file", "md5", "own", "off"), "warc-pieces")
+    # The texts come from a second scan, which Spark may split in another way: they are found by what they say.
+    wanted = pieces.select("md5").distinct()
+    said = _segments(spark, path).select(F.unhex(F.md5(F.col("value").cast("binary"))).alias("md5"), "value").join(wanted, "md5", "left_semi").dropDuplicates(["md5"])
+    text = said.join(pieces, "md5")
     stretch = F.struct("off", F.when(F.col("off") == F.col("own"), F.col("value").cast("binary")).otherwise(F.concat(F.lit(MAGIC).cast("binary"), F.col("value").cast("binary"))).alias("bytes"))
     whole = text.groupBy("file", "own").agg(F.array_sort(F.collect_list(stretch)).alias("all"))
     glued = whole.select("file", F.col("own").alias("off"), F.expr("aggregate(all, cast('' as binary), (a, x) -> concat(a, x.bytes))").alias("value"))

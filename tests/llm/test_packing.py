@@ -1,5 +1,6 @@
 """Token pieces against the tokenizers library, packings against exhaustive search."""
 
+import itertools
 import random
 import zlib
 from functools import lru_cache
@@ -69,6 +70,28 @@ def test_packings_are_as_small_as_can_be(seed):
     assert packing.lower_bound(counts, 20) <= fewest(items, 20) == n
 
 
+def test_a_thousand_tables_are_packed_exactly():
+    rng = random.Random(0)
+    tables = [[rng.randint(10, 60) for _ in range(rng.randint(8, 16))] for _ in range(1000)]
+    tables.append([58, 54, 52, 52, 49, 47, 43, 39, 39, 36, 33, 29, 24, 20, 11])
+    for items in tables:
+        found = packing.bin_completion({k: items.count(k) for k in items}, 100)
+        used = [k for times, filling in found for k, n in filling.items() for _ in range(n * times)]
+        assert sorted(used) == sorted(items) and all(sum(k * n for k, n in f.items()) <= 100 for _, f in found)
+        assert sum(t for t, _ in found) == fewest(items, 100)
+
+
+def test_maximal_fillings_are_all_that_none_can_be_added_to():
+    stock = [(9, 1), (5, 2), (3, 2), (2, 1)]
+    every = {}
+    for uses in itertools.product(*[range(n + 1) for _, n in stock]):
+        free = 13 - sum(u * k for u, (k, _) in zip(uses, stock))
+        if free >= 0:
+            every[uses] = any(u < n and k <= free for u, (k, n) in zip(uses, stock))
+    got = [tuple(f.get(k, 0) for k, _ in stock) for f in packing.maximal_fillings(stock, 13)]
+    assert sorted(got) == sorted(u for u, more in every.items() if not more)
+
+
 def test_completion_beats_best_fit():
     counts = {6: 2, 5: 2, 4: 3, 3: 2}  # 40 in bins of 10: best fit needs 5
     assert sum(t for t, _ in packing.bin_completion(counts, 10)) == 4

@@ -17,7 +17,6 @@ from .test_crosspolytope import brute as brute_links
 from .test_dedup import brute_components, brute_fp
 from .test_packing import full
 from .test_substrings import brute
-from .test_text import brute_lines
 from .test_warc import expected
 from .test_whitening import want as brute_whitened
 
@@ -89,15 +88,6 @@ def test_op4(spark, duck):
         assert got[i] == " ".join(html.unescape(plain).split())
 
 
-def test_op5(spark, docs):
-    want = brute_lines([(i, t) for i, t in docs if t.count("\n") < 60], 30)
-    few = {i: want[k] for k, (i, _) in enumerate([(i, t) for i, t in docs if t.count("\n") < 60])}
-    got = {r.doc_id: r.kept_sha256 for r in run(spark, "op5_line_runs").itertuples()}
-    assert len(got) == len(docs)
-    if len(few) == len(docs):
-        assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in few.items()}
-
-
 def test_op7(spark, docs, duck):
     got = run(spark, "op7_pu_quality")
     assert sorted(got.doc_id) == [i for i, _ in docs] and got.score.between(0, 1).all()

@@ -75,3 +75,22 @@ def test_a_broken_chain_ends_the_file(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(b"")
     got = warc.read_records(spark, str(tmp_path)).collect()
     assert [(r.page_id, bytes(r.payload)) for r in got] == [(1, b"abc")]
+
+
+def test_other_splits_between_the_scans(spark, monkeypatch):
+    rows = [(k, f"u{k}", f"page {k} " * 40 + (f"a magic {warc.MAGIC} inside, {warc.MAGIC} twice" if k % 7 == 0 else "")) for k in range(400)]
+    path = f"{warc.checkpoint_dir(spark)}/other-splits"
+    warc.write(pages(spark, rows), path)
+    plain, calls, size = warc._segments, [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def other(*args):
+        calls.append(1)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000" if len(calls) > 1 else size)
+        return plain(*args)
+
+    monkeypatch.setattr(warc, "_segments", other)
+    try:
+        found = {r.page_id: bytes(r.payload).decode() for r in warc.read_records(spark, path).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(calls) == 2 and found == {k: t for k, _, t in rows}
