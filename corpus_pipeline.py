@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from omicframe.llm.common import cut, tidy
+from omicframe.llm.common import cut, dropped, tidy
 from omicframe.llm.stages import STAGES
 
 #: SQL can express neither the trained classifier nor the packing search; tests use brute force.
@@ -18,6 +18,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        read, docs = docs, cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if name != STAGES[0][0]:
+            dropped(read)
         tidy(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
