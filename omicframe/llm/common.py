@@ -7,7 +7,8 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ from pyspark.sql.window import Window as W
 BLANK = r"[\x20\x09-\x0D]"
 
 
+#: Folders of ``cut`` by the step that wrote them; ``_steps`` are the steps at work.
+_noted: dict[int, list[str]] = {}
+_steps: list[int] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Where it is unset, a local session (tests) gets
     a folder of its own that is removed at its end; a cluster without it is refused."""
@@ -38,6 +44,8 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _steps:
+        _noted.setdefault(_steps[-1], []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,6 +64,24 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def step(docs: DataFrame, number: int) -> Iterator[None]:
+    """Work of step ``number`` of a chain whose steps each store their result before the next one reads it as ``docs``:
+    the scratch tables of earlier steps go first, but for those that ``docs`` still reads, and its own are noted."""
+    spark = docs.sparkSession
+    read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()}
+    for earlier in [k for k in _noted if k < number]:
+        for path in _noted.pop(earlier):
+            if path.rsplit("/", 1)[-1] not in read:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _steps.append(number)
+    try:
+        yield
+    finally:
+        _steps.pop()
+
+
 def numbered(df: DataFrame, within: Sequence[str], order: Sequence[Column], out: str, block_rows: int = 100_000) -> DataFrame:
     """Gapless numbers from 0 inside each ``within`` group, without sorting a group in one task.
 

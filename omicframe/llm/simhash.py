@@ -97,7 +97,8 @@ def _midpoints(hot: DataFrame, distance: int, within: tuple[str, ...]) -> DataFr
         others = [p for p in range(BITS) if not low <= p < low + bits]
         one_out = F.col("tag").between(low, low + bits - 1)
         for members, reach in ((F.col("tag") == EXACT + s, half), (one_out & (F.col("side") == 0), half), (one_out & (F.col("side") == 1), half - 1)):
-            flips = F.array(*[F.lit(_signed(m)) for m in _masks(others, reach)])
+            masks = " ".join(str(_signed(m)) for m in _masks(others, reach))  # folded to one array, where a literal each would swell the plan
+            flips = F.split(F.lit(masks), " ").cast("array<long>")
             parts.append(hot.where(members).select(*within, "tag", "bits", "side", "fp", F.explode(flips).alias("flip")))
     points = reduce(DataFrame.union, parts)
     out = F.when(F.col("side") == 1, F.expr("shiftleft(1L, cast(tag as int))")).otherwise(F.lit(0))
@@ -199,6 +200,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> D
     return cut(pairs.join(one, "a").join(two, "b").where(alike("t1", "t2")).select("a", "b"), "simhash-alike")
 
 
+RANGES = 16
+SHARED = 4  # shingles that the prefixes of two texts have to share
 SLOTS = 1 << 18  # of the table that estimates how common a shingle is; it orders shingles and decides nothing
 
 
@@ -229,29 +232,41 @@ def _shingle_codes(text: str | None, k: int, known: _Words) -> np.ndarray:
 
 def _commonness(texts: DataFrame, k: int) -> np.ndarray:
     """For each of ``SLOTS`` parts of the codes, the power of two of the number of shingles that fall there, estimated
-    from an eighth of the texts."""
+    from an eighth of the texts. Ranges of parts are summed in Spark; the driver gets one byte for each part."""
+    each = SLOTS // RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, known = np.zeros(SLOTS, np.int64), _Words()
         for b in batches:
             for t in b.column(0):
-                np.add.at(total, (_shingle_codes(t.as_py(), k, known) % np.uint64(SLOTS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["total"])
+                total += np.bincount((_shingle_codes(t.as_py(), k, known) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        if total.any():
+            parts = [total[i * each : (i + 1) * each].astype("<i8").tobytes() for i in range(RANGES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], ["part", "total"])
 
-    total = np.zeros(SLOTS, np.int64)
-    for r in texts.where(F.pmod("th", F.lit(8)) == 0).select("text").mapInArrow(count, "total binary").toLocalIterator():
-        total += np.frombuffer(r.total, "<i8")
-    return np.log2(1 + total).astype(np.uint8)
+    def summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(each, np.int64)
+        for b in batches:
+            for raw in b.column("total"):
+                total += np.frombuffer(raw.as_py(), "<i8")
+        ranks = np.log2(1 + total).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([ranks], pa.binary())], ["part", "ranks"])
+
+    some = texts.where(F.pmod("th", F.lit(8)) == 0).select("text").mapInArrow(count, "part int, total binary")
+    out = np.zeros(SLOTS, np.uint8)
+    for r in some.groupBy("part").applyInArrow(summed, "part int, ranks binary").collect():
+        out[r.part * each : (r.part + 1) * each] = np.frombuffer(r.ranks, np.uint8)
+    return out
 
 
 def _prefixes(texts: DataFrame, threshold: float, k: int, common: np.ndarray) -> DataFrame:
-    """(h, th, root, n, pos) of the first n - ceil(threshold n) + 1 of each text's n distinct shingles, rarest first.
-    Two texts that share ``threshold`` of their shingles (Jaccard) share one of these. Texts without words have one row
-    with n = 0. A text comes once from each task."""
+    """(h, th, root, n) of the first n - ceil(threshold n) + ``SHARED`` of each text's n distinct shingles, rarest first.
+    Two texts that share ``threshold`` of their shingles (Jaccard) share ``SHARED`` of these, or all that they share
+    where that is less. Texts without words have one row with n = 0. A text comes once from each task."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, known = set(), _Words()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int32()], ["h", "th", "root", "n"]
         for b in batches:
             parts: list[tuple] = []
             held = 0
@@ -264,39 +279,42 @@ def _prefixes(texts: DataFrame, threshold: float, k: int, common: np.ndarray) ->
                 rank = common[(codes % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64)
                 codes = np.unique(rank << np.uint64(58) | codes >> np.uint64(6))
                 n = len(codes)
-                codes = codes[: n - math.ceil(threshold * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)
+                codes = codes[: n - math.ceil(threshold * n - 1e-9) + SHARED] if n else np.zeros(1, np.uint64)
                 m = len(codes)
-                parts.append((codes.view(np.int64), np.full(m, th), np.full(m, root), np.full(m, n, np.int32), np.arange(m, dtype=np.int32)))
+                parts.append((codes.view(np.int64), np.full(m, th), np.full(m, root), np.full(m, n, np.int32)))
                 held += m
                 if held >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*parts), kinds)], ["h", "th", "root", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*parts), kinds)], names)
                     parts, held = [], 0
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*parts), kinds)], ["h", "th", "root", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*parts), kinds)], names)
 
-    return texts.select("th", "root", "text").mapInArrow(prefix, "h long, th long, root long, n int, pos int")
+    return texts.select("th", "root", "text").mapInArrow(prefix, "h long, th long, root long, n int")
 
 
 def _between_classes(texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(a, b) pairs among which is every pair of different roots that shares ``threshold`` of its shingles: texts that
-    share one of their first shingles and whose remaining ones suffice. ``texts``: (th, root, text), repeats allowed.
-    Shingles that one class alone holds make no pair."""
-    rows = _prefixes(texts, threshold, k, _commonness(texts, k))
+    """(a, b) pairs among which is every pair of different roots that shares ``threshold`` of its shingles: texts of
+    fitting sizes whose prefixes share ``SHARED`` shingles, or as many as both must share where that is less.
+    ``texts``: (th, root, text), repeats allowed. Shingles that one class alone holds make no pair."""
+    rows = _prefixes(texts, threshold, k, _commonness(texts, k)).distinct()
     at = W.partitionBy("h")
     live = rows.withColumn("lo", F.min("root").over(at)).withColumn("hi", F.max("root").over(at)).where("lo <> hi").drop("lo", "hi")
-    live = cut(live.distinct(), "simhash-prefixes")
+    live = cut(live, "simhash-prefixes")
     tidy(texts.sparkSession)
     a, b = live.alias("a"), live.alias("b")
-    need = F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-6
-    enough = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.th") < F.col("b.th")) & (F.col("a.root") != F.col("b.root")) & enough)
-    pairs = cut(met.select(F.col("a.th").alias("a"), F.col("b.th").alias("b")).distinct(), "simhash-met")
+    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    fits = small >= F.lit(threshold) * large - 1e-6
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.th") < F.col("b.th")) & (F.col("a.root") != F.col("b.root")) & fits)
+    need = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.ceil(F.lit(threshold) * large - 1e-6)))
+    met = met.groupBy(F.col("a.th").alias("a"), F.col("b.th").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need"))
+    pairs = cut(met.where("shared >= need").select("a", "b"), "simhash-met")
     dropped(live)
     return pairs
 
 
 def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, views: int = 3, id_col: str = "doc_id", text_col: str = "text", large: int = 2000) -> DataFrame:
-    """(id, th, keep): for every row the hash of its text and the smallest id of its near-duplicate class.
+    """(id, th, keep, keep_th): for every row the hash of its text, the smallest id of its near-duplicate class and
+    the smallest hash of a text under that id.
 
     Classes are connected by pairs of texts that share at least ``threshold`` of their distinct ``shingle``-word
     shingles, all of them. First candidates: fingerprints of the distinct words of a text under ``views`` independent
@@ -329,26 +347,38 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
     open_ = edges.join(at[0], "a", "left").join(at[1], "b", "left")
     open_ = open_.where(F.coalesce("a_over", "a") != F.coalesce("b_over", "b")).select("a", "b").join(parents, ["a", "b"], "left_anti")
     more = _verified(open_, texts, threshold, shingle)
+    dropped(texts)
+    dropped(edges)
     tidy(docs.sparkSession)
-    roots = cut(components(sure.union(more)), "simhash-first-roots")
-    so_far = roots.select(F.col("node").alias("th"), "root")
+    # A text's class so far: the text that it was verified against, or that one's. Pairs inside one are linked already.
+    over = sure.select(F.col("b").alias("th"), F.col("a").alias("root"))
+    top = over.select(F.col("th").alias("root"), F.col("root").alias("top"))
+    so_far = over.join(top, "root", "left").select("th", F.coalesce("top", "root").alias("root"))
     apart = read.select(F.xxhash64("text").alias("th"), "text").join(so_far, "th", "left").withColumn("root", F.coalesce("root", "th"))
     met = _between_classes(apart, threshold, shingle)
+    tidy(docs.sparkSession)
     ends = met.select(F.col("a").alias("th")).union(met.select("b")).distinct()
     texts = cut(read.withColumn("th", F.xxhash64("text")).join(ends, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text")), "simhash-compared")
     late = _verified(met, texts, threshold, shingle)
+    dropped(texts)
+    dropped(met)
     tidy(docs.sparkSession)
-    roots = components(so_far.select(F.col("root").alias("a"), F.col("th").alias("b")).union(late))
+    roots = components(sure.union(more).union(late))
+    for done in (sure, more, late):
+        dropped(done)
     classed = distinct.select("th").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     named = cut(marked.select("id", "th").distinct().join(classed, "th"), "simhash-classes")
-    least = named.groupBy("root").agg(F.min("id").alias("keep"))
-    return named.join(least, "root").select("id", "th", "keep")
+    for done in (marked, distinct, first):
+        dropped(done)
+    least = named.groupBy("root").agg(F.min(F.struct("id", "th")).alias("least"))
+    return named.join(least, "root").select("id", "th", F.col("least.id").alias("keep"), F.col("least.th").alias("keep_th"))
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, less those whose near-duplicate class (``similar_texts``) has a smaller id."""
+    """The rows of ``docs``, all columns, that have the smallest id of their near-duplicate class (``similar_texts``), of
+    several texts under it the one with the smallest hash; rows that repeat both stay together."""
     classes = similar_texts(docs, threshold, shingle, id_col=id_col, text_col=text_col)
-    gone = cut(classes.where("id <> keep").select("id", "th"), "simhash-gone").alias("gone")
+    gone = cut(classes.where("id <> keep or th <> keep_th").select("id", "th"), "simhash-gone").alias("gone")
     key = F.coalesce(F.col(f"docs.{id_col}").cast("long"), F.lit(-(2**63)))
     th = F.xxhash64(F.coalesce(F.col(f"docs.{text_col}"), F.lit("")))
     return docs.alias("docs").join(gone, (key == F.col("gone.id")) & (th == F.col("gone.th")), "left_anti")

@@ -5,10 +5,13 @@ All but the last return the columns of the documents; extra columns are kept wha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, linededup, packing, quality, simhash
+from .common import step, tidy
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +36,8 @@ def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_likeness(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five-word shingles, 0.8): the one with the smallest id."""
+    """One document of each group of near-duplicates stays (five-word shingles, 0.8): the one with the smallest id (null
+    first), of those the one with the smallest hash of its text. Rows that repeat its id and text stay with it."""
     return simhash.without_near_duplicates(docs, threshold=0.8, shingle=5)
 
 
@@ -51,10 +55,27 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs, size=2048)
 
 
+def _numbered(k: int, stage: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage as the k-th one of a chain: what earlier stages left in the checkpoint folder goes, as their results
+    have been stored and reread."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tidy(spark)
+        with step(docs, k):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", by_quality),
-    ("line dedup", by_lines),
-    ("near-duplicates", by_likeness),
-    ("benchmark decontamination", by_benchmark),
-    ("packing", packed),
+    (name, _numbered(k, stage))
+    for k, (name, stage) in enumerate(
+        (
+            ("quality classifier", by_quality),
+            ("line dedup", by_lines),
+            ("near-duplicates", by_likeness),
+            ("benchmark decontamination", by_benchmark),
+            ("packing", packed),
+        )
+    )
 ]
