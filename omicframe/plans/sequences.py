@@ -394,25 +394,25 @@ def q_ends(spark, sf):
 
 # ---------------------------------------------------------------- guides
 
-# Three coding parts and two exons per sequence, as fractions of its length.
+# Three coding parts and two exons per sequence, as fractions of its length; very short sequences lack some of them.
 _PARTS = f"""
-d AS (SELECT seq_id, s, length(s) AS n FROM ({_DNA}) WHERE length(s) >= 60),
-cds AS (SELECT seq_id, 1 AS part, n // 10 + 1 AS a, n * 3 // 10 AS b FROM d UNION ALL SELECT seq_id, 2, n * 4 // 10, n * 6 // 10 FROM d
-  UNION ALL SELECT seq_id, 3, n * 7 // 10, n FROM d)"""
-_EXON = """ex AS (SELECT seq_id, 1 AS exon, 1 AS a, n // 2 AS b FROM d UNION ALL SELECT seq_id, 2, n // 2 + 20, n FROM d)"""
+d AS (SELECT seq_id, s, length(s) AS n FROM ({_DNA})),
+cds AS (SELECT * FROM (SELECT seq_id, 1 AS part, n // 10 + 1 AS a, n * 3 // 10 AS b FROM d UNION ALL SELECT seq_id, 2, n * 4 // 10, n * 6 // 10 FROM d
+  UNION ALL SELECT seq_id, 3, n * 7 // 10, n FROM d) WHERE a BETWEEN 1 AND b)"""
+_EXON = """ex AS (SELECT * FROM (SELECT seq_id, 1 AS exon, 1 AS a, n // 2 AS b FROM d UNION ALL SELECT seq_id, 2, n // 2 + 20, n FROM d) WHERE a <= b)"""
 
 
 def _coding(spark, sf):
-    d = _dna(spark, sf).where(F.length("sequence") >= 60)
+    d = _dna(spark, sf)
     n = F.length("sequence")
     i = lambda c: F.floor(c).cast("int")
     part = lambda k, a, b: F.struct(F.lit(k).alias("part"), a.alias("start"), b.alias("end"))
     cds = d.select(
         "seq_id",
         F.inline(F.array(part(1, i(n / 10) + 1, i(n * 3 / 10)), part(2, i(n * 4 / 10), i(n * 6 / 10)), part(3, i(n * 7 / 10), n))),
-    )
+    ).where("start between 1 and end")
     exon = lambda k, a, b: F.struct(F.lit(k).alias("exon"), a.alias("start"), b.alias("end"))
-    exons = d.select("seq_id", F.inline(F.array(exon(1, F.lit(1), i(n / 2)), exon(2, i(n / 2) + 20, n))))
+    exons = d.select("seq_id", F.inline(F.array(exon(1, F.lit(1), i(n / 2)), exon(2, i(n / 2) + 20, n)))).where("start <= end")
     return d, cds, exons
 
 
@@ -502,14 +502,14 @@ def q_features_in_fragments(spark, sf):
 @query(
     "band_join",
     """SELECT a.event_type, a.event_id AS a_id, b.event_id AS b_id, (b.t - a.t)::BIGINT AS gap
-FROM (SELECT event_type, event_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events WHERE value > 90) a
-JOIN (SELECT event_type, event_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events WHERE value < 10) b
+FROM (SELECT event_type, event_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events) a
+JOIN (SELECT event_type, event_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events) b
 ON a.event_type = b.event_type AND b.t - a.t BETWEEN 600 AND 7200""",
 )
 def q_band(spark, sf):
-    ev = table(spark, sf, "events").select("event_type", "event_id", "value", F.unix_timestamp(F.date_trunc("second", "ts").cast("timestamp")).alias("t"))
-    a = ev.where(F.col("value") > 90).select("event_type", F.col("event_id").alias("a_id"), F.col("t").alias("ta"))
-    b = ev.where(F.col("value") < 10).select("event_type", F.col("event_id").alias("b_id"), F.col("t").alias("tb"))
+    ev = table(spark, sf, "events").select("event_type", "event_id", F.unix_timestamp(F.date_trunc("second", "ts").cast("timestamp")).alias("t"))
+    a = ev.select("event_type", F.col("event_id").alias("a_id"), F.col("t").alias("ta"))
+    b = ev.select("event_type", F.col("event_id").alias("b_id"), F.col("t").alias("tb"))
     return iv.band_join(a, b, "event_type", "ta", "tb", 600, 7200).select(
         "event_type", "a_id", "b_id", (F.col("tb") - F.col("ta")).alias("gap")
     )

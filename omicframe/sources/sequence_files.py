@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +19,20 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     Text before the first such line, or a file without one, is a record with an empty name (if it has any base).
     """
     parts = spark.read.option("lineSep", "\n>").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
-    first = parts.where("block = 0").groupBy("file").agg(F.min("at").alias("first_at"))
-    records = parts.join(first, "file", "left").withColumn("leading", F.coalesce(F.col("at") == F.col("first_at"), F.lit(False)))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task reads a split from its begin to its end, so a file's first row is the first one of its split at 0.
+        last = None
+        for b in batches:
+            leading = []
+            for place in zip(b.column("file").to_pylist(), b.column("block").to_pylist()):
+                leading.append(place[1] == 0 and place != last)
+                last = place
+            yield pa.RecordBatch.from_arrays([b.column("value"), pa.array(leading, pa.bool_())], ["value", "leading"])
+
+    records = parts.mapInArrow(marked, "value string, leading boolean")
     named = ~F.col("leading") | F.startswith("value", F.lit(">"))
     text = F.when(F.col("leading") & named, F.substr("value", F.lit(2))).otherwise(F.col("value"))
     body = F.when(named, F.regexp_replace(text, r"^[^\r\n]*", "")).otherwise(text)

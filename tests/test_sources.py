@@ -137,6 +137,12 @@ def test_fasta_and_enzymes(spark, tmp_path):
     (tmp_path / "u.fa").write_text("ggcc\n")
     got = sorted(tuple(r) for r in sequence_files.read_fasta(spark, str(tmp_path / "*.fa")).collect())
     assert got == [("", "ACGTAC"), ("", "GGCC"), ("empty", ""), ("last > one", "GGG"), ("named", "TTT"), ("seq1 A->G mutant", "ACGTTT")]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7")  # many splits, several in a task
+    try:
+        assert sorted(tuple(r) for r in sequence_files.read_fasta(spark, str(tmp_path / "*.fa")).collect()) == got
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     (tmp_path / "e.txt").write_text("# list\n\nEcoRI;gaattc;1;5\nbad;line\nNo;AC;x;1\n BamHI ; GGATCC;1;5\necori;AAAAAA;0;0\n")
     t = sequence_files.read_enzymes(spark, str(tmp_path / "e.txt"))
     assert [tuple(r) for r in t.collect()] == [("BamHI", "GGATCC", 1, 5), ("EcoRI", "GAATTC", 1, 5)]
