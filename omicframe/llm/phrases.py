@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, dropped, numbered
+from .common import cut, dropped, numbered, tidy
 from .quotient import QuotientFilter
 
 #: Tokens of a chunk, the shard that is counted in one filter, and of a range of keys, which one task merges. They
@@ -169,17 +169,20 @@ def collocations(
     local = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x"))
     local = local.select("chunk", "lang", (F.col("pos") + 1).alias("local"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     words = cut(local.groupBy("lang", "word").agg(F.sum("c").alias("f")), "phrase-words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = cut(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
     often = words.where(F.col("f") >= min_count)
     ids = cut(numbered(often, ["lang"], [F.col("word")], "id").withColumn("id", F.col("id") + 1), "phrase-ids")
     known = local.drop("c").join(ids.drop("f"), ["lang", "word"]).groupBy("chunk", "lang").agg(F.collect_list(F.struct("local", "id")).alias("known"))
     most, tokens = ids.agg(F.max("id"), F.sum("f")).first()
     if (most or 0) >= 1 << 32:
         raise ValueError(f"{most} words of {min_count} occurrences in one language; 32 bits number them")
+    tidy(docs.sparkSession)
     bits = max(0, ((tokens or 0) // RANGE).bit_length())
     numbers = chunks.select("chunk", "lang", "tokens").join(known, ["chunk", "lang"]).select("lang", "tokens", "known")
     grams = cut(_merged(_counted(numbers, bits), min_count), "phrase-counts")
     dropped(chunks)
+    dropped(words)
+    tidy(docs.sparkSession)
 
     pair = grams.where("w3 = 0")
     left = pair.select("lang", "w1", "w2", F.col("a").alias("a12"))
