@@ -200,6 +200,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> D
     return cut(pairs.join(one, "a").join(two, "b").where(alike("t1", "t2")).select("a", "b"), "simhash-alike")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, ra, rb): the pairs whose ends are in different classes, with these; ``roots`` as ``components`` gives it."""
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
+    named = pairs.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    return named.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+
+
+def _one_each(apart: DataFrame) -> DataFrame:
+    """For each class one (a, b) pair of those that lead to its smallest neighbour, so no more pairs than classes."""
+    turned = apart.select("a", "b", F.col("rb").alias("ra"), F.col("ra").alias("rb"))
+    least = apart.union(turned).groupBy("ra").agg(F.min(F.struct("rb", "a", "b")).alias("least"))
+    return least.select("least.a", "least.b").distinct()
+
+
+def _joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The classes ``roots`` (stored, dropped here) after these stored pairs, dropped likewise, have linked them."""
+    now = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(pairs.select("a", "b")))
+    dropped(roots)
+    dropped(pairs)
+    return now
+
+
 RANGES = 16
 SHARED = 4  # shingles that the prefixes of two texts have to share
 SLOTS = 1 << 18  # of the table that estimates how common a shingle is; it orders shingles and decides nothing
@@ -319,10 +341,10 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
     Classes are connected by pairs of texts that share at least ``threshold`` of their distinct ``shingle``-word
     shingles, all of them. First candidates: fingerprints of the distinct words of a text under ``views`` independent
     hashes, linked at 4 or fewer bits in any of them. Each is verified on the texts: first every text against the
-    smallest one that it is linked to, which settles most of a large group of copies in as many checks as it has
-    members; then the links whose ends have not met under one text. Last, whatever SimHash or the representatives
-    missed: every pair of texts of different classes so far that shares one of its first shingles
-    (``_between_classes``, exact), verified likewise. Equal texts are one text. Texts without words are equal to each other and
+    smallest one that it is linked to, then for each class so far one link to another class, which settles most of a
+    large group of copies in as many checks as it has members. Last, whatever SimHash or these checks missed: every
+    pair of texts of different classes so far that shares enough of its first shingles (``_between_classes``, exact),
+    one of each class first and then all that are still in different classes. Equal texts are one text. Texts without words are equal to each other and
     to no other. Rows that repeat id and text have the same result; null ids count as the smallest. No rows: none.
     """
     read = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -343,29 +365,27 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
     nodes = edges.select(F.col("a").alias("th")).union(edges.select("b")).distinct()
     texts = cut(read.withColumn("th", F.xxhash64("text")).join(nodes, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text")), "simhash-compared")
     sure = _verified(parents, texts, threshold, shingle)
-    at = [sure.select(F.col("b").alias(c), F.col("a").alias(f"{c}_over")) for c in ("a", "b")]
-    open_ = edges.join(at[0], "a", "left").join(at[1], "b", "left")
-    open_ = open_.where(F.coalesce("a_over", "a") != F.coalesce("b_over", "b")).select("a", "b").join(parents, ["a", "b"], "left_anti")
-    more = _verified(open_, texts, threshold, shingle)
+    roots = components(sure)
+    dropped(sure)
+    # Of the links between two classes each class tries the one to its smallest neighbour. What fails or is not tried
+    # is not lost, as the last pass looks at every pair of different classes.
+    more = _verified(_one_each(_apart(edges, roots)), texts, threshold, shingle)
+    roots = _joined(roots, more)
     dropped(texts)
     dropped(edges)
     tidy(docs.sparkSession)
-    # A text's class so far: the text that it was verified against, or that one's. Pairs inside one are linked already.
-    over = sure.select(F.col("b").alias("th"), F.col("a").alias("root"))
-    top = over.select(F.col("th").alias("root"), F.col("root").alias("top"))
-    so_far = over.join(top, "root", "left").select("th", F.coalesce("top", "root").alias("root"))
-    apart = read.select(F.xxhash64("text").alias("th"), "text").join(so_far, "th", "left").withColumn("root", F.coalesce("root", "th"))
+    classes = roots.withColumnRenamed("node", "th")
+    apart = read.select(F.xxhash64("text").alias("th"), "text").join(classes, "th", "left").withColumn("root", F.coalesce("root", "th"))
     met = _between_classes(apart, threshold, shingle)
     tidy(docs.sparkSession)
     ends = met.select(F.col("a").alias("th")).union(met.select("b")).distinct()
     texts = cut(read.withColumn("th", F.xxhash64("text")).join(ends, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text")), "simhash-compared")
-    late = _verified(met, texts, threshold, shingle)
+    # One pair of each class first, which settles what large groups of copies left apart; then every pair still open.
+    roots = _joined(roots, _verified(_one_each(_apart(met, roots)), texts, threshold, shingle))
+    roots = _joined(roots, _verified(_apart(met, roots).select("a", "b"), texts, threshold, shingle))
     dropped(texts)
     dropped(met)
     tidy(docs.sparkSession)
-    roots = components(sure.union(more).union(late))
-    for done in (sure, more, late):
-        dropped(done)
     classed = distinct.select("th").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     named = cut(marked.select("id", "th").distinct().join(classed, "th"), "simhash-classes")
     for done in (marked, distinct, first):
