@@ -201,16 +201,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> D
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b, ra, rb): the pairs whose ends are in different classes, with these; ``roots`` as ``components`` gives it."""
+    """The pairs (a, b, perhaps more) whose ends are in different classes, and these, ra and rb; ``roots`` as ``components`` gives it."""
     ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
-    named = pairs.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
-    return named.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+    named = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    return named.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
 
 
 def _one_each(apart: DataFrame) -> DataFrame:
-    """For each class one (a, b) pair of those that lead to its smallest neighbour, so no more pairs than classes."""
-    turned = apart.select("a", "b", F.col("rb").alias("ra"), F.col("ra").alias("rb"))
-    least = apart.union(turned).groupBy("ra").agg(F.min(F.struct("rb", "a", "b")).alias("least"))
+    """For each class one (a, b) pair that leads to another, of least ``cost`` where the pairs have one, then to the
+    smallest class: no more pairs than classes."""
+    by = [c for c in ("cost", "rb", "a", "b") if c in apart.columns]
+    turned = apart.withColumns({"ra": F.col("rb"), "rb": F.col("ra")})
+    least = apart.unionByName(turned).groupBy("ra").agg(F.min(F.struct(*by)).alias("least"))
     return least.select("least.a", "least.b").distinct()
 
 
@@ -282,13 +284,13 @@ def _commonness(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, threshold: float, k: int, common: np.ndarray) -> DataFrame:
-    """(h, th, root, n) of the first n - ceil(threshold n) + ``SHARED`` of each text's n distinct shingles, rarest first.
-    Two texts that share ``threshold`` of their shingles (Jaccard) share ``SHARED`` of these, or all that they share
+    """(h, th, root, n, pos) of the first n - ceil(threshold n) + ``SHARED`` of each text's n distinct shingles, rarest first,
+    with its place from 1. Two texts that share ``threshold`` of their shingles (Jaccard) share ``SHARED`` of these, or all that they share
     where that is less. Texts without words have one row with n = 0. A text comes once from each task."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, known = set(), _Words()
-        kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int32()], ["h", "th", "root", "n"]
+        kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["h", "th", "root", "n", "pos"]
         for b in batches:
             parts: list[tuple] = []
             held = 0
@@ -303,7 +305,7 @@ def _prefixes(texts: DataFrame, threshold: float, k: int, common: np.ndarray) ->
                 n = len(codes)
                 codes = codes[: n - math.ceil(threshold * n - 1e-9) + SHARED] if n else np.zeros(1, np.uint64)
                 m = len(codes)
-                parts.append((codes.view(np.int64), np.full(m, th), np.full(m, root), np.full(m, n, np.int32)))
+                parts.append((codes.view(np.int64), np.full(m, th), np.full(m, root), np.full(m, n, np.int32), np.arange(1, m + 1, dtype=np.int32)))
                 held += m
                 if held >= 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*parts), kinds)], names)
@@ -311,12 +313,14 @@ def _prefixes(texts: DataFrame, threshold: float, k: int, common: np.ndarray) ->
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*parts), kinds)], names)
 
-    return texts.select("th", "root", "text").mapInArrow(prefix, "h long, th long, root long, n int")
+    return texts.select("th", "root", "text").mapInArrow(prefix, "h long, th long, root long, n int, pos int")
 
 
 def _between_classes(texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(a, b) pairs among which is every pair of different roots that shares ``threshold`` of its shingles: texts of
-    fitting sizes whose prefixes share ``SHARED`` shingles, or as many as both must share where that is less.
+    """(a, b, cost) with every pair of different roots that shares ``threshold`` of its shingles among them: texts of
+    fitting sizes whose prefixes share ``SHARED`` shingles, or as many as both must share where that is less, and that
+    share enough even if all shingles after the last of these are equal. Shingles stand in one order everywhere, so no
+    other lies before it in both. ``cost`` is least where the pair may be most alike.
     ``texts``: (th, root, text), repeats allowed. Shingles that one class alone holds make no pair."""
     rows = _prefixes(texts, threshold, k, _commonness(texts, k)).distinct()
     at = W.partitionBy("h")
@@ -328,8 +332,13 @@ def _between_classes(texts: DataFrame, threshold: float, k: int) -> DataFrame:
     fits = small >= F.lit(threshold) * large - 1e-6
     met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.th") < F.col("b.th")) & (F.col("a.root") != F.col("b.root")) & fits)
     need = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.ceil(F.lit(threshold) * large - 1e-6)))
-    met = met.groupBy(F.col("a.th").alias("a"), F.col("b.th").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need"))
-    pairs = cut(met.where("shared >= need").select("a", "b"), "simhash-met")
+    last = [F.max(F.col(f"{c}.pos")).alias(f"p{c}") for c in ("a", "b")]
+    sizes = [F.first(F.col(f"{c}.n")).alias(f"n{c}") for c in ("a", "b")]
+    met = met.groupBy(F.col("a.th").alias("a"), F.col("b.th").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need"), *last, *sizes)
+    met = met.withColumn("most", F.when(F.col("na") == 0, 0).otherwise(F.col("shared") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))))
+    enough = F.col("most") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("most")) - 1e-6
+    cost = (-F.col("most") / F.greatest(F.lit(1), F.col("na") + F.col("nb"))).alias("cost")
+    pairs = cut(met.where("shared >= need").where(enough).select("a", "b", cost), "simhash-met")
     dropped(live)
     return pairs
 
@@ -380,8 +389,10 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
     tidy(docs.sparkSession)
     ends = met.select(F.col("a").alias("th")).union(met.select("b")).distinct()
     texts = cut(read.withColumn("th", F.xxhash64("text")).join(ends, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text")), "simhash-compared")
-    # One pair of each class first, which settles what large groups of copies left apart; then every pair still open.
-    roots = _joined(roots, _verified(_one_each(_apart(met, roots)), texts, threshold, shingle))
+    # The likeliest pair of each class first, twice, which settles what large groups of copies left apart; then every
+    # pair still open.
+    for _ in range(2):
+        roots = _joined(roots, _verified(_one_each(_apart(met, roots)), texts, threshold, shingle))
     roots = _joined(roots, _verified(_apart(met, roots).select("a", "b"), texts, threshold, shingle))
     dropped(texts)
     dropped(met)
