@@ -78,6 +78,14 @@ def format_p(p: Name) -> Column:
     )
 
 
+def format_p_short(p: Name) -> Column:
+    """Display text of a p-value in cohort tables: below .001 two decimals and an exponent of three digits
+    (``1.23E-004``), else four decimals; NaN as ``NaN``, unknown stays NULL."""
+    p = as_col(p)
+    small = F.regexp_replace(F.format_string("%.2E", p), r"(?<=E[+-])(?=\d\d$)", "0")
+    return F.when(p.isNotNull(), F.when(p < 0.001, small).otherwise(F.format_string("%.4f", p)))
+
+
 # Two-sided 5 % critical t by upper limit of the degrees of freedom, as in the three displays.
 T_TABLES: dict[str, list[tuple[int, float]]] = {
     "table": [(1, 12.706), (2, 4.303), (5, 2.571), (10, 2.228), (20, 2.086), (30, 2.042)],

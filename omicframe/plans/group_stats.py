@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.tails import format_p, stars
+from ..functions.tails import format_p, format_p_short, stars
 from ..operators import anova, fdr, group_tests, moments, ordering
 from .registry import query, rounded, table
 from .sql import sql_f_upper, sql_stars, sql_t_critical, sql_t_two, sql_welch
@@ -293,6 +293,22 @@ def q_p_display(spark, sf):
     return res.select("yr", stars("p_value").alias("sig"), format_p("p_value").alias("p_text"))
 
 
+_PER_PART_W = f"""
+m AS ({_TWO.format(by='l_partkey', g='l_linestatus', a='F', b='O', v='l_quantity', t='lineitem')}),
+w AS ({sql_welch('m', 'l_partkey')})"""
+
+
+@query(
+    "p_display_short",
+    f"""WITH {_PER_PART_W}
+SELECT l_partkey, CASE WHEN p_value < 0.001 THEN regexp_replace(printf('%.2E', p_value), 'E([+-])([0-9]{{2}})$', 'E\\10\\2')
+  ELSE printf('%.4f', p_value) END AS p_text FROM w""",
+)
+def q_p_display_short(spark, sf):
+    res = group_tests.welch_ttest(table(spark, sf, "lineitem"), "l_partkey", "l_linestatus", "l_quantity", "F", "O")
+    return res.select("l_partkey", format_p_short("p_value").alias("p_text"))
+
+
 # ---------------------------------------------------------------- multiplicity
 
 _PER_PART = f"""

@@ -215,3 +215,11 @@ def test_narrow_ranges_are_spread_over_parts(spark):
     assert totals.where("before_n_equal <> floor((v - 1e12) / 2)").count() == 0
     stats = ordering.order_statistics(df, "g", "v", {"low": F.lit(0), "mid": F.floor(F.col("n") / 2), "high": F.col("n") - 1}).orderBy("g").collect()
     assert [(r.n, r.low - 1e12, r.mid - 1e12, r.high - 1e12, r.mid_below) for r in stats] == [(100_000, 0, 100_000, 199_998, 50_000), (100_000, 1, 100_001, 199_999, 50_000)]
+
+
+def test_short_p_text(spark):
+    from omicframe.functions.tails import format_p_short
+
+    ps = [0.0, 1e-120, 0.000123, 0.00099949, 0.001, 0.05, 1.0, float("nan"), None]
+    got = [r.t for r in spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double").orderBy("i").select(format_p_short("p").alias("t")).collect()]
+    assert got == ["0.00E+000", "1.00E-120", "1.23E-004", "9.99E-004", "0.0010", "0.0500", "1.0000", "NaN", None]
