@@ -42,8 +42,8 @@ def cohort_index(samples: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def with_index_views(index: DataFrame) -> DataFrame:
-    """Derived columns of a cohort index: the code after the last dash and whether survival data exist."""
-    return index.withColumn("cancer_code", F.regexp_replace("project_id", "^[^-]*-", "")).withColumn(
+    """Derived columns of a cohort index: the id without ``TCGA-`` (unknown: empty) and whether survival data exist."""
+    return index.withColumn("cancer_code", F.coalesce(F.replace("project_id", F.lit("TCGA-"), F.lit("")), F.lit(""))).withColumn(
         "has_survival", F.col("n_survival_available") > 0
     )
 

@@ -419,3 +419,14 @@ def test_windows_with_other_letters_are_left_out():
     got = og.window_table(text, 5, 7, "", og.Ions())
     want = {(i, k) for k in (5, 6, 7) for i in range(len(text) - k + 1) if "N" not in text[i : i + k]}
     assert set(zip(got["start"], got["length"])) == want
+
+
+def test_cds_by_transcript_takes_the_first(spark):
+    from omicframe.operators.intervals import cds_by_transcript
+
+    mrna = spark.createDataFrame([("s", "t1", 1), ("s", "t2", 2), ("r", "t1", 1)], "seq_id string, transcript_id string, feature_no int")
+    cds = spark.createDataFrame(
+        [("s", "t1", 9, 50), ("s", "t1", 4, 20), ("r", "t1", 3, 70), ("r", "t9", 1, 1)], "seq_id string, transcript_id string, feature_no int, begin int"
+    )
+    got = sorted((r.seq_id, r.transcript_id, r.cds_feature_no, r.cds_begin) for r in cds_by_transcript(mrna, cds).collect())
+    assert got == [("r", "t1", 3, 70), ("s", "t1", 4, 20), ("s", "t2", None, None)]

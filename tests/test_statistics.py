@@ -223,3 +223,11 @@ def test_short_p_text(spark):
     ps = [0.0, 1e-120, 0.000123, 0.00099949, 0.001, 0.05, 1.0, float("nan"), None]
     got = [r.t for r in spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double").orderBy("i").select(format_p_short("p").alias("t")).collect()]
     assert got == ["0.00E+000", "1.00E-120", "1.23E-004", "9.99E-004", "0.0010", "0.0500", "1.0000", "NaN", None]
+
+
+def test_index_views(spark):
+    from omicframe.operators.cohort import with_index_views
+
+    index = spark.createDataFrame([("TCGA-BRCA", 3), ("OTHER-LUAD", 0), ("PLAIN", 1), (None, 0)], "project_id string, n_survival_available int")
+    got = {r.project_id: (r.cancer_code, r.has_survival) for r in with_index_views(index).collect()}
+    assert got == {"TCGA-BRCA": ("BRCA", True), "OTHER-LUAD": ("OTHER-LUAD", False), "PLAIN": ("PLAIN", True), None: ("", False)}
