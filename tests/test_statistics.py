@@ -231,3 +231,9 @@ def test_index_views(spark):
     index = spark.createDataFrame([("TCGA-BRCA", 3), ("OTHER-LUAD", 0), ("PLAIN", 1), (None, 0)], "project_id string, n_survival_available int")
     got = {r.project_id: (r.cancer_code, r.has_survival) for r in with_index_views(index).collect()}
     assert got == {"TCGA-BRCA": ("BRCA", True), "OTHER-LUAD": ("OTHER-LUAD", False), "PLAIN": ("PLAIN", True), None: ("", False)}
+
+
+def test_low_count_total_does_not_hang_on_last_bits(spark):
+    rows = [("g", i, 0.1) for i in range(10)] + [("h", i, 0.1) for i in range(9)]  # ten times 0.1 add up to 0.9999999999999999
+    df = spark.createDataFrame(rows, "gene string, sample int, value double").coalesce(1)
+    assert {r["gene"] for r in expression.filter_low_counts(df, min_total=1).collect()} == {"g"}
