@@ -430,3 +430,25 @@ def test_cds_by_transcript_takes_the_first(spark):
     )
     got = sorted((r.seq_id, r.transcript_id, r.cds_feature_no, r.cds_begin) for r in cds_by_transcript(mrna, cds).collect())
     assert got == [("r", "t1", 3, 70), ("s", "t1", 4, 20), ("s", "t2", None, None)]
+
+
+def test_primer_candidates_of_many_templates(spark, monkeypatch):
+    """Templates that are scanned together give what each gives alone, also where a scan or a chunk ends."""
+    rng = random.Random(12)
+    texts = [dna(n, rng) for n in (0, 17, 18, 25, 26, 60, 300, 41)] + [dna(50, rng) + "N" + dna(50, rng)]
+    df = spark.createDataFrame(list(enumerate(texts)), "template_id int, sequence string").coalesce(1)
+    seen = ["template_id", "side", "start", "length", "sequence", "tm", "gc"]
+    opts = primers.PrimerOptions(min_tm=40.0)
+    monkeypatch.setattr(primers, "CHUNK", 64)
+    together = sorted(map(tuple, primers.primer_candidates(df, opts).select(*seen).collect()))
+    monkeypatch.setattr(primers, "SCAN", 1)
+    alone = sorted(map(tuple, primers.primer_candidates(df, opts).select(*seen).collect()))
+    assert together == alone and {r[0] for r in together} >= {5, 6, 8}
+    for _, side, start, length, oligo, _, _ in together:
+        assert len(oligo) == length and "N" not in oligo
+    assert all(texts[i][s : s + n] == o for i, side, s, n, o, _, _ in together if side == "forward")
+
+
+def test_scores_of_an_empty_oligo(spark):
+    df = spark.createDataFrame([("", "ACGT"), ("ACGTT", "")], "a string, b string")
+    assert [r[0] for r in df.select(og.hetero_dimer("a", "b")).collect()] == [0, 0]
