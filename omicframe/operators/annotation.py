@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,50 +89,78 @@ _HITS = T.ArrayType(
 )
 
 
-def _best_place(text: str, bases: np.ndarray, marker: str, codes: np.ndarray) -> tuple[float, int]:
-    """Best similarity and its first position among the starts the seeded search looks at."""
-    last, size = len(bases) - len(codes), len(codes)
-    if last < 0:
-        return 0.0, -1
-    near, resume, seed = [], 0, marker[:SEED]
+def _starts(text: str, marker: str) -> np.ndarray | None:
+    """Starts the seeded search looks at: near each hit of the marker's first letters, then in steps behind the last hit.
+    None where there is no hit, which leaves the steps alone."""
+    last, seed, near, resume = len(text) - len(marker), marker[:SEED], [], 0
     while resume <= last and (hit := text.find(seed, resume)) >= 0:
         near.append(np.arange(max(0, hit - 5), min(last, hit + 5) + 1))
         resume = hit + 1
-    starts = np.unique(np.concatenate([*near, np.arange(resume, last + 1, max(1, size // 3))]).astype(int))
-    if not len(starts):
-        return 0.0, -1
-    windows = sliding_window_view(bases, size)[starts]
-    same = ((windows == codes) | (windows == ord("N"))).sum(axis=1)
-    k = int(same.argmax())
-    return float(same[k] / size), int(starts[k])
+    if not near:
+        return None
+    return np.unique(np.concatenate([*near, np.arange(resume, last + 1, max(1, len(marker) // 3))]))
+
+
+def _best_places(texts: list[str], whole: str, marker: str) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the best similarity and its first position among the starts the seeded search looks at (0 and -1 where
+    there is none). ``whole`` holds the texts one behind the other."""
+    size, step = len(marker), max(1, len(marker) // 3)
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    first = np.cumsum(n) - n
+    count = np.maximum((n - size) // step + 1, 0)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    owner, at = np.repeat(np.arange(len(texts)), count), at * step
+    hits = {i: found for i, t in enumerate(texts) if marker[:SEED] in t and (found := _starts(t, marker)) is not None}
+    if hits:
+        plain = ~np.isin(owner, list(hits))
+        owner = np.concatenate([owner[plain], *[np.full(len(f), i) for i, f in hits.items()]])
+        at = np.concatenate([at[plain], *hits.values()])
+    best, place = np.zeros(len(texts)), np.full(len(texts), -1)
+    if not len(at):
+        return best, place
+    bases = np.frombuffer(whole.encode("ascii", "replace"), dtype=np.uint8)
+    same, begin = np.zeros(len(at), dtype=np.int32), first[owner] + at
+    for i, code in enumerate(marker.encode()):
+        letter = bases[begin + i]
+        same += (letter == code) | (letter == ord("N"))
+    order = np.lexsort((at, -same, owner))
+    owner, lead = np.unique(owner[order], return_index=True)
+    best[owner], place[owner] = same[order][lead] / size, at[order][lead]
+    return best, place
+
+
+LETTERS = 1 << 18  # of text that are searched at once
 
 
 def _search(probes: Sequence[Probe]):
     """Arrow function: sequence text -> best place per probe and strand that reaches the probe's similarity."""
-    table = [
-        (i, p.min_similarity, [(v, np.frombuffer(v.encode(), dtype=np.uint8)) for v in p.variants])
-        for i, p in enumerate(probes)
-    ]
+    table = [(i, p.min_similarity, p.variants) for i, p in enumerate(probes)]
+
+    def places(texts: list[str], is_reverse: bool, out: list[list[dict]]) -> None:
+        whole = "".join(texts)
+        for no, floor, variants in table:
+            best, at, size = np.zeros(len(texts)), np.full(len(texts), -1), np.zeros(len(texts), dtype=int)
+            for marker in variants:
+                similarity, start = _best_places(texts, whole, marker)
+                better = similarity > best
+                best[better], at[better], size[better] = similarity[better], start[better], len(marker)
+            for i in np.flatnonzero((at >= 0) & (best >= floor)):
+                out[i].append(
+                    {"probe_no": no, "is_reverse": is_reverse, "similarity": float(best[i]), "at": int(at[i]), "size": int(size[i])}
+                )
 
     @F.pandas_udf(_HITS)
     def search(forward: pd.Series, reverse: pd.Series) -> pd.Series:
-        def places(fwd: str, rev: str) -> list[dict]:
-            out = []
-            for is_reverse, text in ((False, fwd), (True, rev)):
-                bases = np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)
-                for no, floor, variants in table:
-                    best, at, size = 0.0, -1, 0
-                    for marker, codes in variants:
-                        similarity, start = _best_place(text, bases, marker, codes)
-                        if similarity > best:
-                            best, at, size = similarity, start, len(codes)
-                    if at >= 0 and best >= floor:
-                        out.append(
-                            {"probe_no": no, "is_reverse": is_reverse, "similarity": best, "at": at, "size": size}
-                        )
-            return out
-
-        return pd.Series([places(f, r) for f, r in zip(forward, reverse)])
+        found: list[list[dict]] = []
+        if not len(forward):
+            return pd.Series(found, dtype=object)
+        share = forward.str.len().cumsum().to_numpy() // LETTERS
+        for rows in np.split(np.arange(len(forward)), np.flatnonzero(np.diff(share)) + 1):
+            out: list[list[dict]] = [[] for _ in rows]
+            for is_reverse, column in ((False, forward), (True, reverse)):
+                places(column.iloc[rows].tolist(), is_reverse, out)
+            found += out
+        return pd.Series(found)
 
     return search
 

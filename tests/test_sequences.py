@@ -3,6 +3,7 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -452,3 +453,17 @@ def test_primer_candidates_of_many_templates(spark, monkeypatch):
 def test_scores_of_an_empty_oligo(spark):
     df = spark.createDataFrame([("", "ACGT"), ("ACGTT", "")], "a string, b string")
     assert [r[0] for r in df.select(og.hetero_dimer("a", "b")).collect()] == [0, 0]
+
+
+def test_annotation_of_many_constructs(monkeypatch):
+    """Constructs that are searched together give what each gives alone; no constructs give none."""
+    rng = random.Random(21)
+    markers = [v for p in annotation.KNOWN_PROBES for v in p.variants]
+    texts = [""] + [dna(rng.choice([0, 30, 200]), rng) + rng.choice(markers)[rng.choice([0, 0, 2]) :] + dna(rng.choice([0, 3, 150]), rng) for _ in range(60)]
+    search = annotation._search(annotation.KNOWN_PROBES).func
+    forward, reverse = pd.Series(texts, dtype=object), pd.Series([rc(t) for t in texts], dtype=object)
+    together = search(forward, reverse).tolist()
+    assert sum(map(len, together)) > 30 and together[0] == []
+    monkeypatch.setattr(annotation, "LETTERS", 1)
+    assert search(forward, reverse).tolist() == together
+    assert len(search(forward[:0], reverse[:0])) == 0
