@@ -10,6 +10,7 @@ from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ from ..functions.sequences import IUPAC, IUPAC_BASES, IUPAC_COMPLEMENT, ascii_sl
 
 CHUNK = 2048  # letters of text that one row of the scan holds
 BLOCK = 1 << 16  # letters whose matches of one probe one row of the chain walk holds
-SEED = 6  # letters by which the sites of an enzyme table meet the text
+SEED = 6  # letters by which the sites of an enzyme table meet the words of the text
+WORD = 8  # letters of a word: four bits each, one for each base, so a long holds a word and the next one
 PAD = "-"  # stands for the end of the text and for letters that no code matches
 
 
@@ -88,13 +90,28 @@ def usable_enzymes(enzymes: Enzymes, min_length: int = 6) -> Enzymes:
     return [e for e in enzymes if len(e.site) >= min_length and "N" not in e.site.upper()]
 
 
-def _alternatives() -> Column:
-    return F.create_map(*[x for c, b in IUPAC_BASES.items() for x in (F.lit(c), F.array(*[F.lit(y) for y in b]))])
+BITS = {c: sum(1 << "ACGT".index(y) for y in b) for c, b in IUPAC_BASES.items()}
+
+
+def _seeds(site: str) -> list[int]:
+    """The codes of all concrete texts of the first ``SEED`` letters."""
+    found = [0]
+    for c in site[:SEED].ljust(SEED):
+        bits = [1 << i for i in range(4) if BITS[c] >> i & 1] if c in BITS else [0, 1, 2, 4, 8]
+        found = [f << 4 | x for f in found for x in bits]
+    return found
+
+
+def _mask(site: Column) -> Column:
+    """The code of the bases that each of the first ``WORD`` letters allows, 0 for those past the end."""
+    digits = F.translate(site, "".join(BITS), "".join("{:X}".format(b) for b in BITS.values()))
+    return F.conv(F.rpad(F.substr(digits, F.lit(1), F.lit(WORD)), WORD, "0"), 16, 10).cast("long")
 
 
 def table_probes(enzymes: DataFrame) -> DataFrame:
-    """(enzyme_no, enzyme, site_len, pattern, shift, is_reverse, can_overlap, seed): every enzyme and searched strand, once for
-    each concrete text of its first ``SEED`` letters; past the end of a shorter site any letter, or none, may stand.
+    """(enzyme_no, enzyme, site_len, pattern, mask, shift, is_reverse, can_overlap, seed): every enzyme and searched strand,
+    once for each concrete text of its first ``SEED`` letters; past the end of a shorter site any letter, or none, may
+    stand. ``mask`` has the bases that its first ``WORD`` letters allow, ``pattern`` is set for longer sites only.
 
     ``enzymes``: (name, site, cut5, cut3), and enzyme_no to number them by something else than their name. Sites with
     letters that are no code, and empty ones, are left out; names are taken as they are, repeated ones too.
@@ -108,27 +125,26 @@ def table_probes(enzymes: DataFrame) -> DataFrame:
     each = enzymes.where(F.rlike("site", F.lit(f"^[{IUPAC}{IUPAC.lower()}]+$"))).select(
         number.alias("enzyme_no"), F.col("name").alias("enzyme"), n.alias("site_len"), F.inline(strands)
     )
-    letters = F.split("site", "")
-    masks = F.create_map(*[x for c, b in IUPAC_BASES.items() for x in (F.lit(c), F.lit(sum(1 << "ACGT".index(y) for y in b)))])
-    meets = lambda i, d: F.element_at(masks, F.get(letters, i)).bitwiseAND(F.element_at(masks, F.get(letters, i + d))) > 0
-    shifted = lambda d: F.forall(F.sequence(F.lit(0), F.col("site_len") - 1 - d), lambda i: meets(i, d))
-    overlaps = (F.col("site_len") > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.col("site_len") - 1, F.lit(1))), shifted)
-    any_ = F.array(*[F.lit(c) for c in "ACGT" + PAD])
-    choice = lambda i: F.when(i < F.col("site_len"), F.element_at(_alternatives(), F.get(letters, i))).otherwise(any_)
-    seeds = F.aggregate(
-        F.sequence(F.lit(0), F.lit(SEED - 1)),
-        F.array(F.lit("")),
-        lambda acc, i: F.flatten(F.transform(acc, lambda a: F.transform(choice(i), lambda c: F.concat(a, c)))),
-    )
+
+    @F.pandas_udf("boolean")
+    def overlaps(site: pd.Series) -> pd.Series:
+        return site.map(_can_overlap).astype(bool)
+
+    @F.pandas_udf("array<long>")
+    def seeds(site: pd.Series) -> pd.Series:
+        return pd.Series([_seeds(s) for s in site], dtype=object)
+
+    each = spread(each, "enzyme_no")
     return each.select(
         "enzyme_no",
         "enzyme",
         "site_len",
-        iupac_regex("site").alias("pattern"),
+        F.when(F.col("site_len") > WORD, iupac_regex("site")).alias("pattern"),
+        _mask(F.col("site")).alias("mask"),
         "shift",
         "is_reverse",
-        overlaps.alias("can_overlap"),
-        F.explode(seeds).alias("seed"),
+        overlaps("site").alias("can_overlap"),
+        F.explode(seeds("site")).alias("seed"),
     )
 
 
@@ -152,26 +168,103 @@ def _texts(seqs: DataFrame, key: str, sequence: str, wrap_origin: bool, longest:
 HIT = ["enzyme_no", "enzyme", "site_len", "shift", "is_reverse", "can_overlap"]
 
 
+def _places(seqs: DataFrame, enzymes: DataFrame, key: str, sequence: str, wrap_origin: bool, chunk: int) -> DataFrame:
+    """(key, n, start, word, _before, _after, _window): every place of the cleaned sequences with the codes of its word, of
+    the ``2 * WORD`` letters about it and of those from it on; the text of the longest site's size where that is over ``WORD``."""
+    longest = F.coalesce(enzymes.select(F.max(F.length("site"))).scalar(), F.lit(1))
+    circular = F.coalesce(F.col("is_circular"), F.lit(False)) if wrap_origin and "is_circular" in seqs.columns else F.lit(False)
+    base = (
+        seqs.select(key, clean_sequence(sequence, "iupac").alias("_s"), circular.alias("_circ"))
+        .withColumn("n", F.length("_s"))
+        .withColumn("_s", F.when(F.col("_circ"), F.concat("_s", F.substr("_s", F.lit(1), longest - 1))).otherwise(F.col("_s")))
+        .withColumn("_raw", F.when(longest > WORD, F.encode("_s", "UTF-8")))
+        .withColumn("_padded", F.encode(F.concat(F.lit(PAD * WORD), F.col("_s"), F.lit(PAD * 2 * WORD)), "UTF-8"))
+    )
+    chunks = base.select(key, "n", "_raw", "_padded", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk)))).alias("_at"))
+    part = lambda c, size: F.substr(c, F.col("_at") + 1, size)
+    texts = spread(chunks.select(key, "n", "_at", longest.alias("_size"), part("_raw", F.lit(chunk) + longest).alias("_raw"), part("_padded", F.lit(chunk + 3 * WORD)).alias("_padded")), key, "_at")
+    bits = np.array([BITS.get(chr(c), 0) if chr(c) in "ACGT" else 0 for c in range(256)], np.uint64)
+
+    @F.pandas_udf("array<long>")
+    def codes(padded: pd.Series) -> pd.Series:
+        out = []
+        for letters in padded:
+            code, have = bits[np.frombuffer(letters, np.uint8)], 1
+            while have < 2 * WORD:
+                code, have = code[:-have] << np.uint64(4 * have) | code[have:], 2 * have
+            out.append(code.view(np.int64))
+        return pd.Series(out, dtype=object)
+
+    own = F.sequence(F.lit(0), F.least(F.lit(chunk), F.col("n") - F.col("_at")) - 1)
+    each = texts.withColumn("_codes", codes("_padded")).select(key, "n", "_at", "_raw", "_size", "_codes", F.explode(own).alias("_i"))
+    after = F.get("_codes", F.col("_i") + WORD)
+    return each.select(
+        key,
+        "n",
+        (F.col("_at") + F.col("_i")).alias("start"),
+        F.shiftrightunsigned(after, 4 * WORD).alias("word"),
+        F.get("_codes", F.col("_i")).alias("_before"),
+        after.alias("_after"),
+        F.substr("_raw", F.col("_i") + 1, F.col("_size")).cast("string").alias("_window"),
+    )
+
+
+def _fits(code: Column) -> Column:
+    """Whether a word, in the low bits of ``code``, has bases that the probe's first letters allow."""
+    return F.bit_count(code.bitwiseAND(F.col("mask"))) == F.least(F.col("site_len"), F.lit(WORD))
+
+
+def _meet(words: DataFrame, enzymes: DataFrame) -> DataFrame:
+    """``words`` (word, and more) with every probe that their letters allow. Spark takes the probes for as small as the
+    enzymes, of which each becomes many, so they are never broadcast."""
+    seed = F.shiftrightunsigned("word", 4 * (WORD - SEED))
+    return words.withColumn("seed", seed).join(table_probes(enzymes).hint("merge"), "seed").where(_fits(F.col("word"))).drop("seed")
+
+
+def _in_full() -> Column:
+    return (F.col("site_len") <= WORD) | F.rlike("_window", F.concat(F.lit("^"), F.col("pattern")))
+
+
+def _has_neighbour() -> Column:
+    """Whether the match may overlap another one of its probe: no match of a short site that this leaves out does."""
+    near = F.col("site_len") > WORD
+    for d in range(1, WORD):
+        sides = _fits(F.shiftrightunsigned("_before", 4 * d)) | _fits(F.shiftrightunsigned("_after", 4 * (WORD - d)))
+        near = near | ((F.col("site_len") > d) & sides)
+    return F.col("can_overlap") & near
+
+
+def _table_matches(seqs: DataFrame, enzymes: DataFrame, key: str, sequence: str, wrap_origin: bool, chunk: int) -> DataFrame:
+    """(key, n, *HIT, start): every match of a table's probes; ``can_overlap`` holds for those that may overlap another
+    match there. Probes meet each distinct word of the texts once, and places take the probes of their word."""
+    places = _places(seqs, enzymes, key, sequence, wrap_origin, chunk)
+    met = _meet(places.select("word").distinct(), enzymes)
+    return places.join(met, "word").where(_in_full()).withColumn("can_overlap", _has_neighbour()).select(key, "n", *HIT, "start")
+
+
+def site_totals(
+    seqs: DataFrame, enzymes: DataFrame, key: str = "seq_id", sequence: str = "sequence", wrap_origin: bool = False, chunk: int = CHUNK
+) -> DataFrame:
+    """(enzyme_no, enzyme, is_reverse, cuts, places): number and sum of the starts of all matches, overlapping ones too, of
+    each probe of a table that has any. Places are added up by their word before probes meet them, so no row is made for
+    a match; with sites over ``WORD`` letters, by the text of the longest site's size."""
+    places = _places(seqs, enzymes, key, sequence, wrap_origin, chunk)
+    words = places.groupBy("word", "_window").agg(F.count("*").alias("_cuts"), F.sum("start").alias("_places"))
+    found = _meet(words, enzymes).where(_in_full())
+    return found.groupBy("enzyme_no", "enzyme", "is_reverse").agg(F.sum("_cuts").alias("cuts"), F.sum("_places").alias("places"))
+
+
 def _every_match(seqs: DataFrame, enzymes: Enzymes, key: str, sequence: str, wrap_origin: bool, chunk: int) -> DataFrame:
     """(key, n, *HIT, start): every match, overlapping ones too. A start belongs to the chunk it begins in; starts past
     the end are copies of the origin."""
-    if not isinstance(enzymes, DataFrame):
-        longest = max(len(e.site) for e in enzymes)
-        texts = _texts(seqs, key, sequence, wrap_origin, F.lit(longest), chunk)
-        tried = texts.select(key, "n", "_at", "_text", F.inline(_probes(enzymes)))
-        found = F.transform(match_starts(F.col("_text"), F.col("pattern"), F.col("site_len"), True), lambda s: s + F.col("_at"))
-        own = F.filter(found, lambda s: (s < F.col("_at") + chunk) & (s < F.col("n")))
-        return tried.select(key, "n", *HIT, F.explode(own).alias("start"))
-    longest = F.coalesce(enzymes.select(F.max(F.length("site"))).scalar(), F.lit(1))
-    size = F.greatest(longest, F.lit(SEED))
-    texts = _texts(seqs, key, sequence, wrap_origin, longest, chunk)
-    texts = texts.select(key, "n", "_at", F.encode(F.concat("_text", F.lit(PAD * SEED)), "UTF-8").alias("_raw"), size.alias("_size"))
-    own = F.sequence(F.lit(0), F.least(F.lit(chunk), F.col("n") - F.col("_at")) - 1)
-    windows = texts.select(key, "n", "_at", F.posexplode(F.transform(own, lambda i: ascii_slice(F.col("_raw"), i, F.col("_size")))).alias("_i", "_window"))
-    seed = F.regexp_replace(F.substr("_window", F.lit(1), F.lit(SEED)), "[^ACGT]", PAD)
-    places = windows.select(key, "n", (F.col("_at") + F.col("_i")).alias("start"), "_window", seed.alias("seed"))
-    full = (F.col("site_len") <= SEED) | F.rlike("_window", F.concat(F.lit("^"), F.col("pattern")))
-    return places.join(table_probes(enzymes), "seed").where(full).select(key, "n", *HIT, "start")
+    if isinstance(enzymes, DataFrame):
+        return _table_matches(seqs, enzymes, key, sequence, wrap_origin, chunk)
+    longest = max(len(e.site) for e in enzymes)
+    texts = _texts(seqs, key, sequence, wrap_origin, F.lit(longest), chunk)
+    tried = texts.select(key, "n", "_at", "_text", F.inline(_probes(enzymes)))
+    found = F.transform(match_starts(F.col("_text"), F.col("pattern"), F.col("site_len"), True), lambda s: s + F.col("_at"))
+    own = F.filter(found, lambda s: (s < F.col("_at") + chunk) & (s < F.col("n")))
+    return tried.select(key, "n", *HIT, F.explode(own).alias("start"))
 
 
 def _exits(starts: list[int], size: int, begin: int, end: int) -> list[int]:

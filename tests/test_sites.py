@@ -175,3 +175,25 @@ def test_spread_follows_the_bytes(spark, tmp_path, monkeypatch):
     assert spread(df, "id").rdd.getNumPartitions() == least
     monkeypatch.setattr(columns, "SPREAD_BYTES", 5000)
     assert columns.spread(df, "id").rdd.getNumPartitions() > 10 * least
+
+
+def test_totals_of_a_table(spark, seqs):
+    df = spark.createDataFrame(seqs, "seq_id int, sequence string")
+    want = {}
+    for _, no, start, _, reverse in brute([(i, s or "") for i, s in seqs], LIST, True):
+        n, places = want.get((no, reverse), (0, 0))
+        want[no, reverse] = (n + 1, places + start)
+    for chunk in (2048, 9):
+        got = {(r.enzyme_no, r.is_reverse): (r.cuts, r.places) for r in sites.site_totals(df, table(spark, LIST), chunk=chunk).collect()}
+        assert got == want and len(got) == 8
+
+
+def test_probes_are_never_broadcast(spark):
+    """The probes of a table are many times what Spark takes the enzymes for; only matches that have a neighbour are walked."""
+    df = spark.createDataFrame([(1, "ACGTACGTACGTACGT" + "C" * 30 + "ACGTACGT")], "seq_id int, sequence string")
+    enzymes = table(spark, [rs.Enzyme("a", "ACGTACGT", 1, 1)])
+    plan = sites.site_totals(df, enzymes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    every = sites.site_hits(df, enzymes, overlapping=True)
+    assert sorted((r.start, r.can_overlap) for r in sites._table_matches(df, enzymes, "seq_id", "sequence", False, 2048).collect()) == [(0, True), (4, True), (8, True), (46, False)]
+    assert [r.start for r in sites.site_hits(df, enzymes).orderBy("start").collect()] == [0, 8, 46] and every.count() == 4
