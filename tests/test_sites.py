@@ -195,5 +195,6 @@ def test_probes_are_never_broadcast(spark):
     plan = sites.site_totals(df, enzymes)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     every = sites.site_hits(df, enzymes, overlapping=True)
+    assert "BroadcastHashJoin" not in every._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.start, r.can_overlap) for r in sites._table_matches(df, enzymes, "seq_id", "sequence", False, 2048).collect()) == [(0, True), (4, True), (8, True), (46, False)]
     assert [r.start for r in sites.site_hits(df, enzymes).orderBy("start").collect()] == [0, 8, 46] and every.count() == 4
