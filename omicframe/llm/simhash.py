@@ -316,16 +316,21 @@ def _prefixes(texts: DataFrame, threshold: float, k: int, common: np.ndarray) ->
     return texts.select("th", "root", "text").mapInArrow(prefix, "h long, th long, root long, n int, pos int")
 
 
+def _between(prefixes: DataFrame) -> DataFrame:
+    """The distinct rows whose shingle is in more than one class. They are dealt out by shingle first: repeats and the
+    classes of a shingle are then found where its rows lie, after one exchange."""
+    at = W.partitionBy("h")
+    rows = prefixes.repartition("h").distinct()
+    return rows.withColumn("lo", F.min("root").over(at)).withColumn("hi", F.max("root").over(at)).where("lo <> hi").drop("lo", "hi")
+
+
 def _between_classes(texts: DataFrame, threshold: float, k: int) -> DataFrame:
     """(a, b, cost) with every pair of different roots that shares ``threshold`` of its shingles among them: texts of
     fitting sizes whose prefixes share ``SHARED`` shingles, or as many as both must share where that is less, and that
     share enough even if all shingles after the last of these are equal. Shingles stand in one order everywhere, so no
     other lies before it in both. ``cost`` is least where the pair may be most alike.
     ``texts``: (th, root, text), repeats allowed. Shingles that one class alone holds make no pair."""
-    rows = _prefixes(texts, threshold, k, _commonness(texts, k)).distinct()
-    at = W.partitionBy("h")
-    live = rows.withColumn("lo", F.min("root").over(at)).withColumn("hi", F.max("root").over(at)).where("lo <> hi").drop("lo", "hi")
-    live = cut(live, "simhash-prefixes")
+    live = cut(_between(_prefixes(texts, threshold, k, _commonness(texts, k))), "simhash-prefixes")
     tidy(texts.sparkSession)
     a, b = live.alias("a"), live.alias("b")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")

@@ -137,3 +137,10 @@ def test_pipeline_runs_its_stages(spark):
     n = got.select("doc_id").distinct().count()
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     assert 0.5 * documents.count() < n < documents.count()
+
+
+def test_shared_prefixes_take_one_exchange(spark):
+    rows = [(1, 10, 10, 3, 1), (1, 10, 10, 3, 1), (1, 11, 11, 3, 2), (2, 10, 10, 3, 2), (2, 12, 10, 3, 1), (3, 13, 13, 1, 1)]
+    found = simhash._between(spark.createDataFrame(rows, "h long, th long, root long, n int, pos int"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, 10, 10, 3, 1), (1, 11, 11, 3, 2)]
