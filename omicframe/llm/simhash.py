@@ -207,15 +207,6 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return named.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
 
 
-def _one_each(apart: DataFrame) -> DataFrame:
-    """For each class one (a, b) pair that leads to another, of least ``cost`` where the pairs have one, then to the
-    smallest class: no more pairs than classes."""
-    by = [c for c in ("cost", "rb", "a", "b") if c in apart.columns]
-    turned = apart.withColumns({"ra": F.col("rb"), "rb": F.col("ra")})
-    least = apart.unionByName(turned).groupBy("ra").agg(F.min(F.struct(*by)).alias("least"))
-    return least.select("least.a", "least.b").distinct()
-
-
 def _joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
     """The classes ``roots`` (stored, dropped here) after these stored pairs, dropped likewise, have linked them."""
     now = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(pairs.select("a", "b")))
@@ -226,6 +217,9 @@ def _joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
 
 RANGES = 16
 SHARED = 4  # shingles that the prefixes of two texts have to share
+HOT = 64  # texts: those of a shingle that more have in their prefixes are compared in blocks and make no rows of pairs
+BLOCK, CODES = 512, 250_000  # texts and shingles in a block, about
+COLUMNS = 4096  # shingles that are counted at once
 SLOTS = 1 << 18  # of the table that estimates how common a shingle is; it orders shingles and decides nothing
 
 
@@ -324,15 +318,105 @@ def _between(prefixes: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.min("root").over(at)).withColumn("hi", F.max("root").over(at)).where("lo <> hi").drop("lo", "hi")
 
 
-def _between_classes(texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(a, b, cost) with every pair of different roots that shares ``threshold`` of its shingles among them: texts of
-    fitting sizes whose prefixes share ``SHARED`` shingles, or as many as both must share where that is less, and that
-    share enough even if all shingles after the last of these are equal. Shingles stand in one order everywhere, so no
-    other lies before it in both. ``cost`` is least where the pair may be most alike.
+def _groups(hot: DataFrame) -> DataFrame:
+    """(leader, th, root, n) of the texts of each shingle in ``hot``, under the one of them that holds most of these shingles.
+    Large groups of near copies have many common shingles, but nearly all of them have one leader. Every two texts of a
+    shingle share a group, and a text is in no more groups than it has shingles here."""
+    held = hot.groupBy("th").agg(F.count("*").alias("held"))
+    lead = hot.join(held, "th").groupBy("h").agg(F.max(F.struct("held", "th")).alias("lead"))
+    return hot.join(lead.select("h", F.col("lead.th").alias("leader")), "h").select("leader", "th", "root", "n").distinct()
+
+
+def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many codes each of the sets ``one`` shares with each of ``two``."""
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(c) for c in s])) for s in (one, two)]
+    both = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    total = np.zeros((len(one), len(two)))
+    if not len(both):
+        return total
+    placed = []
+    for codes, owner in sides:
+        at = np.searchsorted(both, codes)
+        at[at == len(both)] = 0
+        known = both[at] == codes
+        at, owner = at[known], owner[known]
+        order = np.argsort(at, kind="stable")
+        placed.append((at[order], owner[order]))
+    for c in range(0, len(both), COLUMNS):
+        parts = []
+        for (at, owner), n in zip(placed, total.shape):
+            i, j = np.searchsorted(at, (c, c + COLUMNS))
+            part = np.zeros((n, COLUMNS), np.float32)
+            part[owner[i:j], at[i:j] - c] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return total
+
+
+def _alike_in_groups(groups: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Pairs (a, b) that link whatever classes the pairs of each group link that share at least ``threshold`` of their
+    distinct shingles (Jaccard): all pairs are compared, but a task returns fewer than it has texts. Groups are dealt
+    into blocks, and every two blocks meet in a task; pairs of the commonest class there are not looked at.
+    ``texts``: (th, text), each once."""
+
+    @F.pandas_udf("binary")
+    def codes(read: pd.Series) -> pd.Series:
+        known = _Words()
+        return pd.Series([np.unique(_shingle_codes(t, k, known)).astype("<u8").tobytes() for t in read])
+
+    def linked(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ths, roots, owns, raws = [], [], [], []
+        for b in batches:
+            ths.append(b.column("th").to_numpy())
+            roots.append(b.column("root").to_numpy())
+            owns.append(b.column("own").to_numpy())
+            raws += [np.frombuffer(c.as_py(), "<u8") for c in b.column("codes")]
+        th, root, own = np.concatenate(ths), np.concatenate(roots), np.concatenate(owns)
+        n = np.array([len(c) for c in raws])
+        names, root, members = np.unique(root, return_inverse=True, return_counts=True)
+        rare = root != members.argmax()
+        one, two = (np.flatnonzero(own == part.as_py()) for part in key[1:])
+        first, found = list(range(len(names))), []
+
+        def find(x: int) -> int:
+            while first[x] != x:
+                first[x] = x = first[first[x]]
+            return x
+
+        for x, y in ((one[rare[one]], two), (one[~rare[one]], two[rare[two]])):
+            if len(x) and len(y):
+                same = _shared([raws[r] for r in x], [raws[r] for r in y])
+                near = same >= threshold * (n[x][:, None] + n[y] - same) - 1e-9
+                for p, q in np.argwhere(near & (root[x][:, None] != root[y])).tolist():
+                    s, t = find(root[x[p]]), find(root[y[q]])
+                    if s != t:
+                        first[max(s, t)] = min(s, t)
+                        found.append((th[x[p]], th[y[q]]))
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / CODES)).cast("int")
+    dealt = groups.join(groups.groupBy("leader").agg(blocks.alias("blocks")), "leader")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    coded = texts.join(groups.select("th").distinct(), "th", "left_semi").select("th", codes("text").alias("codes"))
+    each = dealt.join(coded, "th").select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "th", "root", "codes")
+    return cut(each.groupBy("leader", "i", "j").applyInArrow(linked, "a long, b long"), "simhash-alike")
+
+
+def _between_classes(texts: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """(leader, th, root, n) and (a, b), stored, with every pair of different roots that shares ``threshold`` of its shingles
+    among them: texts of fitting sizes whose prefixes share ``SHARED`` shingles, or as many as both must share where that
+    is less, and that share enough even if all shingles after the last of these are equal. Shingles stand in one order
+    everywhere, so no other lies before it in both. A shingle of up to ``HOT`` texts makes their pairs, as rows (a, b); the
+    texts of a more common one come as groups (``_groups``), so no table has more than ``HOT`` rows for a row of the prefixes.
     ``texts``: (th, root, text), repeats allowed. Shingles that one class alone holds make no pair."""
-    live = cut(_between(_prefixes(texts, threshold, k, _commonness(texts, k))), "simhash-prefixes")
+    prefixes = _between(_prefixes(texts, threshold, k, _commonness(texts, k)))
+    live = cut(prefixes.withColumn("size", F.count("*").over(W.partitionBy("h"))), "simhash-prefixes")
     tidy(texts.sparkSession)
-    a, b = live.alias("a"), live.alias("b")
+    groups = cut(_groups(live.where(F.col("size") > HOT)), "simhash-groups")
+    light = live.where(F.col("size") <= HOT)
+    a, b = light.alias("a"), light.alias("b")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     fits = small >= F.lit(threshold) * large - 1e-6
     met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.th") < F.col("b.th")) & (F.col("a.root") != F.col("b.root")) & fits)
@@ -342,10 +426,9 @@ def _between_classes(texts: DataFrame, threshold: float, k: int) -> DataFrame:
     met = met.groupBy(F.col("a.th").alias("a"), F.col("b.th").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need"), *last, *sizes)
     met = met.withColumn("most", F.when(F.col("na") == 0, 0).otherwise(F.col("shared") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))))
     enough = F.col("most") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("most")) - 1e-6
-    cost = (-F.col("most") / F.greatest(F.lit(1), F.col("na") + F.col("nb"))).alias("cost")
-    pairs = cut(met.where("shared >= need").where(enough).select("a", "b", cost), "simhash-met")
+    pairs = cut(met.where("shared >= need").where(enough).select("a", "b"), "simhash-met")
     dropped(live)
-    return pairs
+    return groups, pairs
 
 
 def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, views: int = 3, id_col: str = "doc_id", text_col: str = "text", large: int = 2000) -> DataFrame:
@@ -354,12 +437,12 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
 
     Classes are connected by pairs of texts that share at least ``threshold`` of their distinct ``shingle``-word
     shingles, all of them. First candidates: fingerprints of the distinct words of a text under ``views`` independent
-    hashes, linked at 4 or fewer bits in any of them. Each is verified on the texts: first every text against the
-    smallest one that it is linked to, then for each class so far one link to another class, which settles most of a
-    large group of copies in as many checks as it has members. Last, whatever SimHash or these checks missed: every
-    pair of texts of different classes so far that shares enough of its first shingles (``_between_classes``, exact),
-    one of each class first and then all that are still in different classes. Equal texts are one text. Texts without words are equal to each other and
-    to no other. Rows that repeat id and text have the same result; null ids count as the smallest. No rows: none.
+    hashes, linked at 4 or fewer bits in any of them. Every text is verified against the smallest one that it is linked
+    to. Then whatever SimHash or these checks missed: every pair of texts of different classes so far that shares enough
+    of its first shingles (``_between_classes``, exact), block by block where very many texts share one, and then those
+    pairs of the others that are still in different classes. Equal texts are one text. Texts without words are equal to
+    each other and to no other. Rows that repeat id and text have the same result; null ids count as the smallest. No
+    rows: none.
     """
     read = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fps = [fingerprint(1, 42 + v, once=True)("text").alias(f"f{v}") for v in range(views)]
@@ -372,35 +455,26 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
     ends = [first.select("view", F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in ("a", "b")]
     between = linked.join(ends[0], ["view", "a"]).join(ends[1], ["view", "b"]).select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     within = own.join(first, ["view", "fp"]).where("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
-    found = between.union(within).where("a <> b")
-    edges = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-edges")
+    found = between.union(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    parents = cut(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "simhash-parents")
     tidy(docs.sparkSession)
-    parents = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    nodes = edges.select(F.col("a").alias("th")).union(edges.select("b")).distinct()
+    nodes = parents.select(F.col("a").alias("th")).union(parents.select("b")).distinct()
     texts = cut(read.withColumn("th", F.xxhash64("text")).join(nodes, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text")), "simhash-compared")
     sure = _verified(parents, texts, threshold, shingle)
     roots = components(sure)
-    dropped(sure)
-    # Of the links between two classes each class tries the one to its smallest neighbour. What fails or is not tried
-    # is not lost, as the last pass looks at every pair of different classes.
-    more = _verified(_one_each(_apart(edges, roots)), texts, threshold, shingle)
-    roots = _joined(roots, more)
-    dropped(texts)
-    dropped(edges)
+    for done in (sure, texts, parents):
+        dropped(done)
     tidy(docs.sparkSession)
     classes = roots.withColumnRenamed("node", "th")
     apart = read.select(F.xxhash64("text").alias("th"), "text").join(classes, "th", "left").withColumn("root", F.coalesce("root", "th"))
-    met = _between_classes(apart, threshold, shingle)
+    groups, met = _between_classes(apart, threshold, shingle)
     tidy(docs.sparkSession)
-    ends = met.select(F.col("a").alias("th")).union(met.select("b")).distinct()
+    ends = met.select(F.col("a").alias("th")).union(met.select("b")).union(groups.select("th")).distinct()
     texts = cut(read.withColumn("th", F.xxhash64("text")).join(ends, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text")), "simhash-compared")
-    # The likeliest pair of each class first, twice, which settles what large groups of copies left apart; then every
-    # pair still open.
-    for _ in range(2):
-        roots = _joined(roots, _verified(_one_each(_apart(met, roots)), texts, threshold, shingle))
+    roots = _joined(roots, _alike_in_groups(groups, texts, threshold, shingle))
     roots = _joined(roots, _verified(_apart(met, roots).select("a", "b"), texts, threshold, shingle))
-    dropped(texts)
-    dropped(met)
+    for done in (texts, met, groups):
+        dropped(done)
     tidy(docs.sparkSession)
     classed = distinct.select("th").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     named = cut(marked.select("id", "th").distinct().join(classed, "th"), "simhash-classes")

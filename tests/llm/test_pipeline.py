@@ -144,3 +144,67 @@ def test_shared_prefixes_take_one_exchange(spark):
     found = simhash._between(spark.createDataFrame(rows, "h long, th long, root long, n int, pos int"))
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, found.collect())) == [(1, 10, 10, 3, 1), (1, 11, 11, 3, 2)]
+
+
+def edited(rng, base, most):
+    """``base`` with up to ``most`` words replaced by ones of its own, in places of its own."""
+    words = list(base)
+    for p in rng.sample(range(len(words)), rng.randint(0, most)):
+        words[p] = f"own{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_large_group_of_near_copies_makes_no_table_of_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    base, other = say(rng, 200).split(), say(rng, 60).split()
+    texts = [edited(rng, base, 8) for _ in range(220)] + [edited(rng, other, 3) for _ in range(12)] + [say(rng, 50) for _ in range(5)]
+    rng.shuffle(texts)
+    want, sizes, store = classes(texts), [], simhash.cut
+
+    def counted(df, what="step"):
+        stored = store(df, what)
+        if {"a", "b"} <= set(stored.columns):
+            sizes.append((stored.count(), what))
+        return stored
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    assert {r.id: r.keep for r in simhash.similar_texts(docs(spark, list(enumerate(texts)))).collect()} == want
+    assert len(set(want.values())) > 10
+    assert max(sizes)[0] <= 10 * len(texts)
+
+
+def test_groups_link_what_all_pairs_link(spark, monkeypatch):
+    rng = random.Random(12)
+    base = say(rng, 100).split()
+    texts = [edited(rng, base, 6) for _ in range(60)] + ["", " \n"]
+    rows = [(9, i, 0 if i in (1, 2) else i, len(shingles(t))) for i, t in enumerate(texts)]
+    groups = spark.createDataFrame(rows, "leader long, th long, root long, n int")
+    held = spark.createDataFrame(list(enumerate(texts)), "th long, text string")
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if alike(texts[a], texts[b])]
+    for block, codes in ((512, 250_000), (7, 250_000), (512, 500)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "CODES", codes)
+        got = [(r.a, r.b) for r in simhash._alike_in_groups(groups, held, 0.8, 5).collect()]
+        assert {(max(p), min(p)) for p in got} <= set(links)
+        found = []
+        for some in (links, got):
+            root = list(range(len(texts)))
+            for a, b in [*some, (1, 0), (2, 0)]:
+                a, b = root[a], root[b]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+            found.append(root)
+        assert found[0] == found[1]
+
+
+def test_texts_of_a_common_shingle_share_a_group(spark):
+    rng = random.Random(4)
+    rows = [(h, th, th, 20, 1) for h in range(12) for th in rng.sample(range(30), rng.randint(2, 9))]
+    found = simhash._groups(spark.createDataFrame(rows, "h long, th long, root long, n int, pos int")).collect()
+    members = {}
+    for r in found:
+        members.setdefault(r.leader, set()).add(r.th)
+    assert len(found) == sum(map(len, members.values())) <= len(rows)
+    for a in rows:
+        for b in rows:
+            assert a[0] != b[0] or any({a[1], b[1]} <= m for m in members.values())
