@@ -105,7 +105,7 @@ def _midpoints(hot: DataFrame, distance: int, within: tuple[str, ...]) -> DataFr
     at = [*within, "tag", "bits", "point"]
     keyed = points.select(*within, "tag", "bits", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseXOR(out).alias("point"), "fp")
     least = keyed.groupBy(*at).agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(least, at).select(*within, "a", F.col("fp").alias("b")).where("a <> b").distinct()
+    return keyed.hint("merge").join(least.hint("merge"), at).select(*within, "a", F.col("fp").alias("b")).where("a <> b").distinct()
 
 
 def _masks(positions: list[int], reach: int) -> list[int]:
@@ -132,7 +132,8 @@ def links(fps: DataFrame, distance: int = 4, large: int = 2000, within: tuple[st
     buckets = keys.groupBy(*at).agg(F.count("*").alias("n"))
     over = cut(buckets.where(F.col("n") > large).select(*at), "simhash-large")
     light = keys.join(over, at, "left_anti")
-    a, b = light.alias("a"), light.alias("b")
+    # Spark takes the exploded keys for as small as the table they are made of
+    a, b = light.alias("a").hint("merge"), light.alias("b").hint("merge")
     pair = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in at])
     pair = (
         pair
@@ -171,7 +172,7 @@ def near_duplicates(
     marked = cut(read.select("id", fingerprint(words_each)("text").alias("fp")), "simhash")
     first = cut(marked.groupBy("fp").agg(F.min("id").alias("id")), "simhash-first")
     roots = components(links(_spread(first), distance, large))
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = first.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut(named, "simhash-roots")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from omicframe.llm import cuckoo, shards, simhash
 from omicframe.llm.components import components
@@ -176,3 +177,9 @@ def test_filter_overflow_and_removal():
         p.insert(k, i, 1)
     assert len(p.content) == 4000 and all(k in p.filter for k in keys)
     assert p.delete(keys[7]) and not p.delete(keys[7]) and keys[7] not in p.content
+
+
+def test_keys_made_of_a_small_table_are_not_broadcast(spark):
+    fps = spark.range(40).select(F.col("id").alias("fp"))
+    plan = simhash.links(fps, 4)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin .*Inner", plan) and len(re.findall(r"SortMergeJoin .*Inner", plan)) == 2
