@@ -35,7 +35,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = F.size(F.split(bare, f"{BLANK}+"))
     each = cut(each.select(*DOC, "idx", n.alias("words"), F.unhex(F.md5(bare)).alias("digest")).distinct(), "lines")  # repeated rows once
     ids = _ranked(each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "r0")
-    return each.join(ids, "digest").drop("digest")
+    return each.hint("merge").join(ids.hint("merge"), "digest").drop("digest")
 
 
 def doubled(places: DataFrame, levels: int) -> DataFrame:
@@ -48,7 +48,7 @@ def doubled(places: DataFrame, levels: int) -> DataFrame:
         ahead = F.when(F.lead("idx", 2**k).over(w) == F.col("idx") + 2**k, F.lead(f"r{k}", 2**k).over(w))
         wide = now.withColumn("here", F.when(ahead.isNotNull(), F.col(f"r{k}"))).withColumn("ahead", ahead)
         ids = _ranked(wide.where("ahead is not null and here is not null").select("here", "ahead").distinct(), f"r{k + 1}")
-        then = cut(wide.join(ids, ["here", "ahead"], "left").drop("here", "ahead"), "line-suffixes")
+        then = cut(wide.join(ids.hint("merge"), ["here", "ahead"], "left").drop("here", "ahead"), "line-suffixes")
         dropped(now)
         now = then
     return now
@@ -82,7 +82,8 @@ def later_copies(docs: DataFrame, min_words: int = 30, id_col: str = "doc_id", t
     places = doubled(repeated_lines(docs, id_col, text_col), levels)
     k = F.floor(F.log2("n")).cast("int")
     windows = _windows(places, min_words).withColumn("k", k).withColumn("s2", (F.col("s") + F.col("n") - F.expr("shiftleft(1, k)")).cast("int"))
-    ranks = places.select(*DOC, "idx", F.array(*[f"r{j}" for j in range(levels + 1)]).alias("r"))
+    # merge hints: stored tables are several times smaller than their rows, which Spark would broadcast by the size of the files
+    ranks = places.select(*DOC, "idx", F.array(*[f"r{j}" for j in range(levels + 1)]).alias("r")).hint("merge")
     named = windows.join(ranks.withColumnRenamed("idx", "s"), [*DOC, "s"]).withColumn("a", F.get("r", F.col("k"))).drop("r")
     named = named.join(ranks.withColumnRenamed("idx", "s2"), [*DOC, "s2"]).withColumn("b", F.get("r", F.col("k"))).select(*DOC, "s", "n", "a", "b")
     named = cut(named, "line-windows")

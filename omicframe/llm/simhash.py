@@ -401,7 +401,8 @@ def _alike_in_groups(groups: DataFrame, texts: DataFrame, threshold: float, k: i
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     coded = texts.join(groups.select("th").distinct(), "th", "left_semi").select("th", codes("text").alias("codes"))
-    each = dealt.join(coded, "th").select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "th", "root", "codes")
+    # the rows dealt out are more than what Spark takes them for
+    each = dealt.hint("merge").join(coded.hint("merge"), "th").select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "th", "root", "codes")
     return cut(each.groupBy("leader", "i", "j").applyInArrow(linked, "a long, b long"), "simhash-alike")
 
 
@@ -417,7 +418,7 @@ def _between_classes(texts: DataFrame, threshold: float, k: int) -> tuple[DataFr
     tidy(texts.sparkSession)
     groups = cut(_groups(live.where(F.col("size") > HOT)), "simhash-groups")
     light = live.where(F.col("size") <= HOT)
-    a, b = light.alias("a"), light.alias("b")
+    a, b = light.alias("a").hint("merge"), light.alias("b").hint("merge")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     fits = small >= F.lit(threshold) * large - 1e-6
     met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.th") < F.col("b.th")) & (F.col("a.root") != F.col("b.root")) & fits)
@@ -453,9 +454,10 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
     own = distinct.select("th", F.explode(each).alias("v")).select("th", "v.view", "v.fp")
     first = cut(own.groupBy("view", "fp").agg(F.min("th").alias("head")), "simhash-first")
     linked = links(_spread(first, "view"), 4, large, ("view",))
-    ends = [first.select("view", F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in ("a", "b")]
+    # merge hints: stored tables are several times smaller than their rows, which Spark would broadcast by the size of the files
+    ends = [first.select("view", F.col("fp").alias(c), F.col("head").alias(f"{c}_head")).hint("merge") for c in ("a", "b")]
     between = linked.join(ends[0], ["view", "a"]).join(ends[1], ["view", "b"]).select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-    within = own.join(first, ["view", "fp"]).where("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
+    within = own.hint("merge").join(first.hint("merge"), ["view", "fp"]).where("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
     found = between.union(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     parents = cut(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "simhash-parents")
     tidy(docs.sparkSession)
@@ -477,7 +479,7 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, vie
     for done in (texts, met, groups):
         dropped(done)
     tidy(docs.sparkSession)
-    classed = distinct.select("th").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    classed = distinct.select("th").join(roots.withColumnRenamed("node", "th").hint("merge"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     named = cut(marked.select("id", "th").distinct().join(classed, "th"), "simhash-classes")
     for done in (marked, distinct, first):
         dropped(done)

@@ -1,11 +1,12 @@
 """The pipeline's stages on small tables, and near-duplicate classes against brute force."""
 
 import random
+import re
 
 import pytest
 
 import corpus_pipeline
-from omicframe.llm import simhash, stages
+from omicframe.llm import common, linededup, simhash, stages
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, score int, row int, id int, n_lines int, gone int"
@@ -208,3 +209,23 @@ def test_texts_of_a_common_shingle_share_a_group(spark):
     for a in rows:
         for b in rows:
             assert a[0] != b[0] or any({a[1], b[1]} <= m for m in members.values())
+
+
+def test_stored_tables_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    plans = []
+
+    def seen(df, what="step"):
+        plans.append((what, df._jdf.queryExecution().executedPlan().toString()))
+        return common.cut(df, what)
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    monkeypatch.setattr(linededup, "cut", seen)
+    rng = random.Random(2)
+    same = "\n".join(say(rng, 8) for _ in range(9))
+    some = docs(spark, [(k, f"{say(rng, 30)}\n{same}") for k in range(6)])
+    linededup.later_copies(some).count()
+    simhash.similar_texts(some).count()
+    for what in ("line-suffixes", "line-windows", "simhash-parents", "simhash-met"):
+        made = [p for w, p in plans if w == what]
+        assert made and not any(re.search(r"BroadcastHashJoin .*(Inner|LeftOuter)", p) for p in made), what
+        assert any("SortMergeJoin" in p for p in made), what
