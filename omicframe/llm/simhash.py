@@ -216,12 +216,13 @@ def _joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
     return now
 
 
-RANGES = 16
+RANGES = 256  # parts of the codes, in which shingles are counted
+SLOTS = 1 << 21  # of the table that tells most other shingles from those whose counts are kept
+KNOWN = 1024  # shingles of a part, its commonest, whose counts are kept; they order shingles and decide nothing
 SHARED = 4  # shingles that the prefixes of two texts have to share
 HOT = 64  # texts: those of a shingle that more have in their prefixes are compared in blocks and make no rows of pairs
 BLOCK, CODES = 512, 250_000  # texts and shingles in a block, about
 COLUMNS = 4096  # shingles that are counted at once
-SLOTS = 1 << 18  # of the table that estimates how common a shingle is; it orders shingles and decides nothing
 
 
 class _Words(dict):
@@ -249,42 +250,63 @@ def _shingle_codes(text: str | None, k: int, known: _Words) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
-def _commonness(texts: DataFrame, k: int) -> np.ndarray:
-    """For each of ``SLOTS`` parts of the codes, the power of two of the number of shingles that fall there, estimated
-    from an eighth of the texts. Ranges of parts are summed in Spark; the driver gets one byte for each part."""
-    each = SLOTS // RANGES
+def _commonness(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of common shingles, ascending, and the power of two of their number of texts (from 1 up), both counted in
+    an eighth of the texts, where they have to be in two. Shingles are counted one by one, in ``RANGES`` parts; the driver
+    gets the ``KNOWN`` commonest of each, nine bytes a shingle, however many there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(SLOTS, np.int64), _Words()
-        for b in batches:
-            for t in b.column(0):
-                total += np.bincount((_shingle_codes(t.as_py(), k, known) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        if total.any():
-            parts = [total[i * each : (i + 1) * each].astype("<i8").tobytes() for i in range(RANGES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], ["part", "total"])
+        seen, known, held, size = set(), _Words(), [], 0
 
-    def summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(each, np.int64)
-        for b in batches:
-            for raw in b.column("total"):
-                total += np.frombuffer(raw.as_py(), "<i8")
-        ranks = np.log2(1 + total).astype(np.uint8).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([ranks], pa.binary())], ["part", "ranks"])
-
-    some = texts.where(F.pmod("th", F.lit(8)) == 0).select("text").mapInArrow(count, "part int, total binary")
-    out = np.zeros(SLOTS, np.uint8)
-    for r in some.groupBy("part").applyInArrow(summed, "part int, ranks binary").collect():
-        out[r.part * each : (r.part + 1) * each] = np.frombuffer(r.ranks, np.uint8)
-    return out
+        def counted() -> pa.RecordBatch:
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            part = codes % np.uint64(RANGES)
+            order = np.argsort(part, kind="stable")
+            codes, n = codes[order].astype("<u8"), n[order].astype("<u4")
+            edges = np.searchsorted(part[order], np.arange(RANGES + 1)).tolist()
+            parts = [(i, codes[a:z].tobytes(), n[a:z].tobytes()) for i, (a, z) in enumerate(zip(edges, edges[1:])) if a < z]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), (pa.int32(), pa.binary(), pa.binary()))], ["part", "codes", "n"])
 
+        for b in batches:
+            for th, t in zip(b.column(0).to_pylist(), b.column(1)):
+                if th in seen:
+                    continue
+                seen.add(th)
+                codes = np.unique(_shingle_codes(t.as_py(), k, known))
+                held.append(codes)
+                size += len(codes)
+                if size >= 2_000_000:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
 
-def _prefixes(texts: DataFrame, threshold: float, k: int, common: np.ndarray) -> DataFrame:
-    """(h, th, root, n, pos) of the first n - ceil(threshold n) + ``SHARED`` of each text's n distinct shingles, rarest first,
-    with its place from 1. Two texts that share ``threshold`` of their shingles (Jaccard) share ``SHARED`` of these, or all that they share
+    def summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raws = [(c.as_py(), n.as_py()) for b in batches for c, n in zip(b.column("codes"), b.column("n"))]
+        codes, own = np.unique(np.frombuffer(b"".join(c for c, _ in raws), "<u8"), return_inverse=True)
+        n = np.bincount(own, np.frombuffer(b"".join(n for _, n in raws), "<u4"))
+        top = np.argsort(-n, kind="stable")[:KNOWN]
+        top = np.sort(top[n[top] >= 2])
+        ranks = np.log2(n[top]).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([codes[top].tobytes()], pa.binary()), pa.array([ranks], pa.binary())], ["codes", "ranks"])
+
+    some = texts.where(F.pmod("th", F.lit(8)) == 0).select("th", "text").mapInArrow(count, "part int, codes binary, n binary")
+    rows = some.groupBy("part").applyInArrow(summed, "codes binary, ranks binary").collect()
+    codes = np.frombuffer(b"".join(r.codes for r in rows), "<u8")
+    order = np.argsort(codes)
+    return codes[order], np.frombuffer(b"".join(r.ranks for r in rows), np.uint8)[order]
+
+
+def _prefixes(texts: DataFrame, threshold: float, k: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(h, th, root, n, pos) of the first n - ceil(threshold n) + ``SHARED`` of each text's n distinct shingles, rarest first
+    as far as ``common`` (from ``_commonness``) tells, with its place from 1. Two texts that share ``threshold`` of their shingles (Jaccard) share ``SHARED`` of these, or all that they share
     where that is less. Texts without words have one row with n = 0. A text comes once from each task."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, known = set(), _Words()
+        frequent, ranks = common
+        likely = np.zeros(SLOTS, bool)
+        likely[frequent % np.uint64(SLOTS)] = True
         kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["h", "th", "root", "n", "pos"]
         for b in batches:
             parts: list[tuple] = []
@@ -294,8 +316,12 @@ def _prefixes(texts: DataFrame, threshold: float, k: int, common: np.ndarray) ->
                     continue
                 seen.add(th)
                 codes = _shingle_codes(t.as_py(), k, known)
-                # the part of the table in the low bits gives its rank to the high ones, so that one sort does
-                rank = common[(codes % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64)
+                rank = np.zeros(len(codes), np.uint64)
+                asked = np.flatnonzero(likely[codes % np.uint64(SLOTS)])
+                if len(asked):
+                    at = np.minimum(np.searchsorted(frequent, codes[asked]), len(frequent) - 1)
+                    rank[asked] = np.where(frequent[at] == codes[asked], ranks[at], 0)
+                # the rank goes to the high bits, so that one sort does
                 codes = np.unique(rank << np.uint64(58) | codes >> np.uint64(6))
                 n = len(codes)
                 codes = codes[: n - math.ceil(threshold * n - 1e-9) + SHARED] if n else np.zeros(1, np.uint64)

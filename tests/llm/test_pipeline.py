@@ -229,3 +229,15 @@ def test_stored_tables_are_not_broadcast_by_the_size_of_their_files(spark, monke
         made = [p for w, p in plans if w == what]
         assert made and not any(re.search(r"BroadcastHashJoin .*(Inner|LeftOuter)", p) for p in made), what
         assert any("SortMergeJoin" in p for p in made), what
+
+
+def test_prefixes_leave_out_shingles_that_very_many_texts_hold(spark):
+    rng = random.Random(6)
+    phrase = say(rng, 12)
+    rows = [(th, th, f"{say(rng, 60)} {phrase} {say(rng, 60)}") for th in range(400)]
+    texts = spark.createDataFrame(rows, "th long, root long, text string")
+    known, ranks = simhash._commonness(texts, 5)
+    codes = simhash._shingle_codes(phrase, 5, simhash._Words())
+    assert set(codes.tolist()) <= set(known.tolist()) and list(known) == sorted(known) and min(ranks) >= 1
+    groups, _ = simhash._between_classes(texts, 0.8, 5)
+    assert groups.count() == 0
