@@ -335,6 +335,26 @@ def test_find_mate(spark, side):
     assert len(got) == 1 and (got[0]["mate"], got[0]["product"]) == (best[3], best[4]) and got[0]["score"] == pytest.approx(best[0], abs=1e-6)
 
 
+def test_mates_are_looked_for_where_they_can_be(spark, monkeypatch):
+    rng = random.Random(23)
+    t = dna(9000, rng)
+    df = spark.createDataFrame([(1, t), (2, t[:300])], "template_id int, sequence string")
+    p = spark.createDataFrame([(1, t[4000:4020], "forward"), (1, rc(t[5000:5020]), "reverse"), (2, rc(t[20:40]), "reverse"), (None, "ACGT", "forward")], "template_id int, primer string, side string")
+    read, scan = [], primers.primer_candidates
+
+    def counted(templates, opts, key):
+        read.append(templates.agg(F.sum(F.length("sequence"))).first()[0])
+        return scan(templates, opts, key)
+
+    monkeypatch.setattr(primers, "primer_candidates", counted)
+    got = primers.find_mate(p, df).collect()
+    assert sorted(r["side"] for r in got) == ["forward", "reverse"] and sum(read) < 1500
+    for r in got:
+        mate = r["mate"] if r["side"] == "reverse" else rc(r["mate"])
+        assert mate in t[4000:4520] or mate in t[4520:5020]
+        assert r["place"] == (4000 if r["side"] == "forward" else 5000) and 100 <= r["product"] <= 520
+
+
 # ---------------------------------------------------------------- gates
 
 
